@@ -1 +1,6 @@
-"""tidemark.plans"""
+"""The registered queries; importing this module registers them all."""
+
+from . import relational  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
