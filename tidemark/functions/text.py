@@ -10,14 +10,15 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -25,7 +26,7 @@ def html_unescape(s: pd.Series) -> pd.Series:
 _U = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_escapes(s: pd.Series) -> pd.Series:
     r"""Literal \uXXXX sequences, surrogate pairs included, as characters."""
 
@@ -134,7 +135,11 @@ def ngrams(words: Column, n: int) -> Column:
 
 def substrings(c: Column, lo: int, hi: int) -> Column:
     """The distinct substrings of lo..hi characters."""
-    each = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
+
+    def of(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    each = [of(n) for n in range(lo, hi + 1)]
     return F.array_distinct(F.flatten(F.array(*each)))
 
 

@@ -1,6 +1,6 @@
 """The registered queries; importing this module registers them all."""
 
-from . import relational, series  # noqa: F401
+from . import models, quality, relational, series, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
