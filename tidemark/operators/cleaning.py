@@ -129,7 +129,7 @@ def contracts(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def demand(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """df, whose rows raise when they are read and break a check."""
     bad = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in checks.items()])
-    return df.withColumn("__ok", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("contract broken: "), bad))).otherwise(F.lit(True).cast("void").isNull())).filter("__ok").drop("__ok")
+    return df.withColumn("__ok", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("contract broken: "), bad))).otherwise(F.lit(True))).filter("__ok").drop("__ok")
 
 
 def dedupe_by_regime(df: DataFrame, source: str, author: str, body: str, order: str, by_author: Sequence[str]) -> DataFrame:
