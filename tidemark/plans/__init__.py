@@ -1,6 +1,6 @@
 """The registered queries; importing this module registers them all."""
 
-from . import models, monitor, quality, relational, series, streams, text  # noqa: F401
+from . import models, monitor, named, quality, relational, series, streams, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

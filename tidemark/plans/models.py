@@ -66,3 +66,19 @@ def linear_model_eval(t: Tables):
     """Grouped cross-validation of a linear model on hashed words against a shuffled-label floor."""
     d = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("label"))
     return features.grouped_cv(ranks.folds(d, "text", "label", 3), "text", "label")
+
+
+@query(f"SELECT size, count(*) AS n, round(avg((y = p)::INT), 6) AS accuracy FROM (SELECT *, ('0x' || substr(md5('lc' || doc_id::VARCHAR), 1, 4))::INT / 65536 AS u FROM {SCORED}), (SELECT unnest([0.15, 0.3, 0.5, 0.7, 0.85, 1.0])::DOUBLE AS size) WHERE u < size GROUP BY 1")
+def learning_curve_sizes(t: Tables):
+    """Nested subsets by hash threshold, scored in one pass over rows times six sizes."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("lc"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("int") / 65536
+    sizes = F.array(*[F.lit(x) for x in (0.15, 0.3, 0.5, 0.7, 0.85, 1.0)])
+    each = _scored(t).withColumn("u", u).select("y", "p", F.explode(F.filter(sizes, lambda s: F.col("u") < s)).alias("size"))
+    return each.groupBy("size").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y") == F.col("p")).cast("double")), 6).alias("accuracy"))
+
+
+@query(f"SELECT doc_id, CASE WHEN s >= 0.66 THEN 'neutral' WHEN doc_id % 10 >= 10 - doc_id % 10 THEN 'negative' ELSE 'positive' END AS label FROM {SCORED}")
+def threshold_rule(t: Tables):
+    """The neutral class from a threshold on, else the likelier of the others, ties negative."""
+    share = F.col("doc_id") % 10  # in tenths of what the neutral class leaves
+    return _scored(t).select("doc_id", F.when(F.col("s") >= 0.66, "neutral").when(share >= 10 - share, "negative").otherwise("positive").alias("label"))

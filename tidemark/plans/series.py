@@ -243,3 +243,30 @@ def scope_fan_out(t: Tables):
     e = t.events.select(F.to_date("ts").alias("date"), "value", F.explode(F.array(F.lit("overall"), F.concat(F.lit("type:"), "event_type"))).alias("scope"))
     s = e.groupBy("scope", "date").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg((F.col("value") > 90).cast("double")).alias("high"))
     return s.unpivot(["scope", "date", "n"], ["mean", "high"], "metric", "v").select("scope", "metric", "date", "n", F.round("v", 6).alias("v"))
+
+
+@query("""WITH d AS (SELECT ts::DATE AS date, count(*) AS n FROM events GROUP BY 1)
+SELECT round(var_samp(n) / avg(n), 6) AS dispersion, count_if((n - (SELECT avg(n) FROM d)) / sqrt((SELECT avg(n) FROM d)) > 1) AS high, count(*) AS days FROM d""")
+def dispersion(t: Tables):
+    """Daily counts against a Poisson process of their mean."""
+    d = series.daily(t.events, "ts")
+    m = d.agg(F.avg("n").alias("m"))
+    return d.crossJoin(F.broadcast(m)).agg(F.round(F.var_samp("n") / F.avg("n"), 6).alias("dispersion"), F.count_if((F.col("n") - F.col("m")) / F.sqrt("m") > 1).alias("high"), F.count("*").alias("days"))
+
+
+@query("""WITH c AS (SELECT event_type, value, count(*) AS n FROM events GROUP BY 1, 2), e AS (SELECT event_type, value, sum(n) OVER (PARTITION BY event_type ORDER BY value) / sum(n) OVER (PARTITION BY event_type) AS f FROM c)
+SELECT event_type, g::INT AS at, round(coalesce(max(f) FILTER (value <= g), 0), 6) AS share FROM e, (SELECT unnest(range(0, 101, 10)) AS g) GROUP BY 1, 2""")
+def ecdf_grid(t: Tables):
+    """The share of values up to each point of a grid, counted by cells of the grid."""
+    cell = F.ceil(F.greatest(F.col("value"), F.lit(0.0)) / 10) * 10
+    c = t.events.groupBy("event_type", cell.cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    grid = t.spark.range(11).select((F.col("id") * 10).cast("int").alias("at"))
+    e = c.crossJoin(F.broadcast(grid)).groupBy("event_type", "at").agg(F.sum(F.when(F.col("cell") <= F.col("at"), F.col("n")).otherwise(0)).alias("k"), F.sum("n").alias("all"))
+    return e.select("event_type", "at", F.round(F.col("k") / F.col("all"), 6).alias("share"))
+
+
+@query("""WITH k AS (SELECT user_id, count(DISTINCT event_type) AS k, count(*) AS n FROM events GROUP BY 1)
+SELECT k, count(*) AS observed, round(sum(5 * (1 - pow(0.8, n))) / count(*), 6) AS expected FROM k GROUP BY 1""")
+def observed_against_model(t: Tables):
+    k = t.events.groupBy("user_id").agg(F.count_distinct("event_type").alias("k"), F.count("*").alias("n"))
+    return k.groupBy("k").agg(F.count("*").alias("observed"), F.round(F.avg(5 * (1 - F.pow(F.lit(0.8), "n"))), 6).alias("expected"))

@@ -55,3 +55,17 @@ def wave_ledger(t: Tables):
         ledger.record(e.filter(F.col("event_id") % 3 == k), k, f"2030-01-0{k + 1} 00:00:00")
     s = ledger.summary("ts")
     return s.select(F.col("_wave").alias("wave"), "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")], "late")
+
+
+@query("""WITH s AS (SELECT event_type, ts::DATE AS date, event_id, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY md5('42|' || event_id::VARCHAR), event_id) AS r FROM events)
+SELECT event_type, date, count(*) AS n, round(sum(value), 4) AS total, count(*) FILTER (r <= 20) AS sampled, (sum(event_id) FILTER (r <= 20))::BIGINT AS ids FROM s JOIN events USING (event_id, event_type) GROUP BY 1, 2""")
+def stream_census(t: Tables):
+    """Counts and sums of every stratum beside a sample of at most 20 rows of each."""
+    from ..streaming.census import Census
+
+    base = f"{shared_dir(t.spark)}/tidemark-census-{uuid.uuid4().hex}"
+    c = Census(t.spark, f"{base}/state", ["event_type", "date"], ["event_id"], "value", k=20)
+    c.follow(_stream(t).withColumn("date", F.to_date("ts")), f"{base}/checkpoint").awaitTermination()
+    census, sample = c.read()
+    s = sample.groupBy("event_type", "date").agg(F.count("*").alias("sampled"), F.sum("event_id").alias("ids"))
+    return census.join(s, ["event_type", "date"]).select("event_type", "date", "n", F.round("total", 4).alias("total"), "sampled", "ids")
