@@ -325,6 +325,59 @@ def test_stream_as_waves(spark, tmp_path):
     assert windows.drained(spark.readStream.schema("id long, k long").parquet(src).groupBy("k").count()).count() == 4
 
 
+def test_census_does_not_depend_on_batches(spark, tmp_path):
+    from tidemark.streaming.census import Census
+
+    df = spark.range(200).withColumns({"g": F.col("id") % 3, "v": F.col("id") * 1.0})
+    states = []
+    for name, cuts in (("one", [(0, 200)]), ("many", [(0, 7), (7, 90), (90, 200)])):
+        c = Census(spark, str(tmp_path / name), ["g"], ["id"], "v", k=5)
+        for k, (a, b) in enumerate(cuts):
+            c.update(df.filter((F.col("id") >= a) & (F.col("id") < b)), k)
+        states.append(c.read())
+    assert keys.same_rows(states[0][0].orderBy("g"), states[1][0]) and keys.same_rows(states[0][1], states[1][1])
+    assert states[0][1].count() == 15
+
+
+# ---- monitoring
+
+
+def test_evidence_needs_name_and_nearness(spark):
+    from tidemark.operators import monitoring
+
+    e = spark.createDataFrame([(1, "DoorDash", 10, 0.5), (2, "Acme", 10, 0.1), (3, "Acme", 50, 0.0)], "event int, brand string, day int, dominance double")
+    i = spark.createDataFrame([("ORD", 10), ("acme!", 12), ("Acme", 13)], "entity string, day int")
+    a = spark.createDataFrame([("Acme", d, 10.0 if d < 40 else 100.0) for d in range(8, 53)], "brand string, day int, views double")
+    got = {r.event: (r.n_incidents, r.verdict) for r in monitoring.evidence(e, i, a).collect()}
+    assert got == {1: (0, 1), 2: (1, 1), 3: (0, 1)}
+
+
+def test_pooled_shifts_keep_the_strongest_of_a_run(spark):
+    from tidemark.operators import monitoring
+
+    rows = [("a", "2024-01-01", 0.2, 0.001), ("a", "2024-01-02", -0.9, 0.001), ("a", "2024-01-09", 0.3, 0.001), ("b", "2024-01-01", 0.5, 0.9)]
+    df = spark.createDataFrame(rows, "s string, date string, d double, p double").withColumn("date", F.to_date("date"))
+    assert sorted((r.s, str(r.date)) for r in monitoring.pooled_shifts(df, ["s"], "p").collect()) == [("a", "2024-01-02"), ("a", "2024-01-09")]
+
+
+def test_unify_counts_and_brands(spark):
+    from tidemark.operators import monitoring
+
+    rows = [
+        ("store", "1", "2024-05-01T10:00:00Z", None, "acme air is late", "u1", ""),
+        ("store", "1", "2024-05-01T10:00:00Z", None, "acme air is late", "u1", ""),
+        ("store", "2", "Wed, 01 May 2024 10:00:00 GMT", "", "Acme air is LATE!", "u2", None),
+        ("forum", "3", "2024-05-01T10:00:00Z", "Hi", "acme again", "u1", ""),
+        ("forum", "4", "2024-05-02T10:00:00Z", "Hi", "Acme again.", "u2", ""),
+        ("forum", "5", "whenever", "Hi", "no time", "u2", ""),
+        ("forum", "6", "2024-05-01T10:00:00Z", None, "", "u2", ""),
+    ]
+    df = spark.createDataFrame(rows, "source string, record_native_id string, created_utc string, title string, text string, author_pseudonym string, brand string")
+    steps = monitoring.unify(df, {"acme": "Acme", "acme air": "Acme Air"}, "2024-01-01", "2025-01-01", ("store",))
+    assert {k: v.count() for k, v in steps.items()} == {"raw": 7, "read": 6, "in_window": 5, "once_by_id": 4, "once_by_text": 3, "unified": 3}
+    assert sorted(r.brand for r in steps["unified"].collect()) == ["Acme", "Acme Air", "Acme Air"]
+
+
 # ---- the registry
 
 
