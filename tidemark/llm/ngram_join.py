@@ -20,6 +20,7 @@ an equal id are one document that has either text; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ from .graph import components
 
 #: Words of a worker's memory, ratio of a size band, blocks to spare (a share of d + 1).
 HELD, BAND, SPARE = 400_000, 1.3, 0.6
-ROUNDS = 6  # of comparing with one document a group, before all that is left is compared
+ROUNDS = 2  # of comparing with one document a group, before all that is left is compared
+FOLD = 512  # bits of a document's whole sketch, which candidates are compared by
 _M1, _M2, _ONE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,18 +78,24 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.edges = [1]
+        edges = [1]
+        while edges[-1] < 1 << 62:
+            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
+        self.edges = edges
 
     def of(self, size: int) -> int:
-        while self.edges[-1] <= size:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
-        return int(np.searchsorted(self.edges, size, "right")) - 1
+        return bisect_right(self.edges, size) - 1
 
     def differ(self, band: int) -> int:
-        self.of(self.edges[-1])
         small = self.edges[band + 1] - 1
         return (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
 
+    @staticmethod
+    def sketch(tokens: np.ndarray) -> np.ndarray:
+        """The parity sketch of a set in FOLD bits, as 64-bit words."""
+        odd = np.bincount((mix(tokens ^ _M2) & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """The keys that a set is joined by."""
         size, out = len(tokens), []
@@ -113,24 +121,25 @@ class Bands:
 
 
 def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, n, f, g (hashes of the set), keys of every document (id, text)."""
+    """id, n, f, g (hashes of the set), sketch, keys of every document (id, text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, bands = Shingler(n), Bands(num, den)
         for b in batches:
-            size, f, g, keys = [], [], [], []
+            size, f, g, whole, keys = [], [], [], [], []
             for x in b.column("text"):
                 t = cut.tokens(x.as_py())
                 size.append(len(t))
                 f.append(t.sum(dtype=np.uint64).astype(np.int64))
                 g.append(mix(t ^ _M1).sum(dtype=np.uint64).astype(np.int64))
+                whole.append(bands.sketch(t))
                 keys.append(bands.keys(t).astype(np.int64) if len(t) else np.zeros(0, np.int64))
             ends = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "f", "g", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(whole, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "f", "g", "sketch", "keys"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, f long, g long, keys array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, f long, g long, sketch array<long>, keys array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +207,17 @@ def _pair(x: str, y: str):
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def linked_components(groups: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """node, comp over all documents that share a key (groups: key, id, size)."""
+def near_enough(num: int, den: int):
+    """Of rows with n, sketch and m, other_sketch: whether their sizes and the Hamming distance
+    of their sketches, a lower bound of how many elements differ, leave room for a link."""
+    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("other_sketch", F.lit(i)))) for i in range(FOLD // 64)), F.lit(0))
+    both = F.col("n") + F.col("m")
+    return (F.least("n", "m") * den >= num * F.greatest("n", "m")) & (apart * (den + num) <= both * (den - num))
+
+
+def linked_components(groups: DataFrame, whole: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, comp over all documents that share a key (groups: key, id, size; whole: id, n,
+    sketch)."""
     spark = groups.sparkSession
     done = spark.createDataFrame([], "a long, b long, link boolean")
     comp = spark.createDataFrame([], "node long, comp long")
@@ -216,9 +234,11 @@ def linked_components(groups: DataFrame, texts: DataFrame, n: int, num: int, den
                 break
             rows = stored(rows.join(mixed.select("key", F.col("top.comp").alias("top")), "key"), "rest")
         if k and (cross <= 4 * total or k == ROUNDS):
-            other = rows.select("key", F.col("id").alias("other"), F.col("comp").alias("far"))
-            # One side is outside its group's largest component; each pair comes once.
-            pairs = rows.filter("comp <> top").join(other, "key").filter((F.col("comp") != F.col("far")) & ((F.col("far") == F.col("top")) | (F.col("id") < F.col("other"))))
+            rows = rows.join(whole, "id")
+            other = rows.select("key", F.col("id").alias("other"), F.col("comp").alias("far"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
+            # One side is outside its group's largest component; each pair comes once a key.
+            apart = (F.col("comp") != F.col("far")) & ((F.col("far") == F.col("top")) | (F.col("id") < F.col("other")))
+            pairs = rows.filter("comp <> top").join(other, "key").filter(apart & near_enough(num, den))
             last = True
         else:
             # The document that shares most with others, of those outside the largest component.
@@ -246,7 +266,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     known = sketched.filter("id IS NOT NULL AND n > 0")
     groups = shared_keys(known)
     texts = stored(rows.join(groups.select("id").distinct(), "id", "left_semi"), "texts")
-    comp = linked_components(groups, texts, n, num, den)
+    # Rows of one id with several texts: any of its sketches may let a pair through.
+    whole = known.select("id", "n", "sketch").distinct()
+    comp = linked_components(groups, whole, texts, n, num, den)
     reps = known.groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     reps = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", F.col("n").alias("m"), F.coalesce("comp", "rep").alias("comp"))
     on = (sketched["f"] == reps["f"]) & (sketched["g"] == reps["g"]) & (sketched["n"] == reps["m"])
