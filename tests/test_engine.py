@@ -259,6 +259,34 @@ def test_rules(spark):
     assert one(spark, "a cat", rules.misfire(x, t))[0] is False
 
 
+@pytest.mark.parametrize(
+    ("said", "delay", "reaction"),
+    [
+        ("My parcel never arrived, I want a refund", "never_arrived", "refund_demand"),
+        ("app is down again and again", "outage", "resigned"),
+        ("waiting 3 hours, worst ever", "long_wait", "anger"),
+        ("fyi all fine", "unspecified_delay", "informational"),
+        ("It was late but the order was resolved quickly", "late_delivery", "recovery_acknowledged"),
+        ("late, but it was never fixed", "late_delivery", "unmarked"),
+    ],
+)
+def test_lexicon(spark, said, delay, reaction):
+    from tidemark.functions import lexicon
+
+    x = F.col("x")
+    got = one(spark, said, lexicon.delay_type(x, F.lit(True)).alias("d"), lexicon.reaction_type(x).alias("r"))
+    assert (got.d.label, got.r.label) == (delay, reaction)
+
+
+def test_topics_and_competitors(spark):
+    from tidemark.functions import lexicon
+
+    x = F.col("x")
+    assert one(spark, "The UI is ugly", lexicon.topic(x))[0] == "Feature_Feedback"
+    assert one(spark, "hello", lexicon.topic(x))[0] == "Community_Discussion"
+    assert one(spark, "I am switching to Blue Dart", lexicon.competitor(x))[0] == "blue dart"
+
+
 def test_trigger_mining_finds_the_planted_rule(spark):
     r = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "omega"]

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.text import squeeze, strip, tokens, whole
 from .keys import keep_first, union_all
 
-#: What stands for a missing cell.
-MISSING = ("", "NULL", "null", "None", "nan", "NaN", "N/A", "NA")
-#: What corrupt texts end with.
-ARTIFACTS = {"html_entity": "&amp;", "html_break": "<br>", "html_div": "<div>", "mojibake": "Ã©", "newlines": "\n\n"}
+# What stands for a missing cell; patterns that corrupt texts end with.
+MISSING = ("", "NULL", "null", "None", "NaN", "nan", "N/A", "NA")
+ARTIFACTS = {"html_entity_amp": "&amp;", "html_tag_br": "<br>", "html_tag_div": "<div>", "mojibake_e_acute": "Ã©", "trailing_newlines": r"\n+"}
 
 
 def route_timestamp(c: Column) -> Column:
@@ -39,14 +38,11 @@ def canonical(c: Column, names: Sequence[str]) -> Column:
 
 def artifact(c: Column) -> Column:
     """The kind of artifact that the text ends with, or null."""
-    return F.coalesce(*[F.when(F.endswith(c, F.lit(end)), F.lit(kind)) for kind, end in ARTIFACTS.items()])
+    return F.coalesce(*[F.when(F.rlike(c, F.lit(rf"(?:{end})\z")), F.lit(kind)) for kind, end in ARTIFACTS.items()])
 
 
 def without_artifact(c: Column) -> Column:
-    out = c
-    for end in ARTIFACTS.values():
-        out = F.when(F.endswith(c, F.lit(end)), F.substr(c, F.lit(1), F.length(c) - len(end))).otherwise(out)
-    return out
+    return F.regexp_replace(c, rf"(?:{'|'.join(ARTIFACTS.values())})\z", "")
 
 
 def unsigned(c: Column) -> Column:
