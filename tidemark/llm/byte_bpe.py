@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, whole_text
 
 #: Pre-tokens whose ids a worker remembers.
-HELD = 500_000
+HELD = 600_000
 
 
 class ByteBPE(dict):
@@ -38,7 +38,10 @@ class ByteBPE(dict):
         super().__init__()
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bytes = {v: k for k, v in self.ranks.items()}
+        self.bytes = [b""] * (max(self.ranks.values()) + 1)  # by id
+        for k, v in self.ranks.items():
+            self.bytes[v] = k
+        self.decimal = [str(i) for i in range(len(self.bytes))]
         # The rank files' library takes white space by its Unicode property.
         pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.cut: Callable[[str], list[str]] = regex.compile(pattern).findall
@@ -55,23 +58,19 @@ class ByteBPE(dict):
         buckets: dict[int, int | list[int]] = {}  # rank -> position, or a heap of several
         words: dict[int, int] = {}  # bitmaps of 256 ranks each
         top = 0  # bitmap of the words in use
-        wait = [(r, i) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
-        for r, i in wait:
-            due[i] = r
-        while True:
-            for r, i in wait:
-                held = buckets.get(r)
-                if held is None:
+        for i in range(n - 1):
+            if (r := get(piece[i : i + 2])) is not None:
+                due[i] = r
+                if (held := buckets.get(r)) is None:
                     buckets[r] = i
                     w = r >> 8
                     words[w] = words.get(w, 0) | 1 << (r & 255)
                     top |= 1 << w
                 elif held.__class__ is int:
-                    buckets[r] = [held, i] if held < i else [i, held]
+                    buckets[r] = [held, i]
                 else:
-                    heappush(held, i)
-            if not top:
-                break
+                    held.append(i)  # ascending, so a heap
+        while top:
             w = (top & -top).bit_length() - 1
             bits = words[w]
             rank = w << 8 | (bits & -bits).bit_length() - 1
@@ -85,23 +84,36 @@ class ByteBPE(dict):
                 words[w] = bits = bits & (bits - 1)
                 if not bits:
                     top &= top - 1
-            wait = []
             if due[at] != rank:
                 continue
             gone = after[at]
             end = after[gone]
             after[at] = end
             due[gone] = due[at] = -1
+            left = before[at]
             if end < n:
                 before[end] = at
-                if (r := get(piece[at : after[end]])) is not None:
-                    due[at] = r
-                    wait.append((r, at))
-            if (left := before[at]) >= 0:
+                right = after[end]
+                r, i = get(piece[at:right]), at
+            else:
+                r = None
+            # The pair to the right, then the one to the left.
+            while True:
+                if r is not None:
+                    due[i] = r
+                    if (held := buckets.get(r)) is None:
+                        buckets[r] = i
+                        w = r >> 8
+                        words[w] = words.get(w, 0) | 1 << (r & 255)
+                        top |= 1 << w
+                    elif held.__class__ is int:
+                        buckets[r] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
+                if left < 0:
+                    break
                 due[left] = -1
-                if (r := get(piece[left:end])) is not None:
-                    due[left] = r
-                    wait.append((r, left))
+                r, i, left = get(piece[left:end]), left, -1
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -120,6 +132,8 @@ class ByteBPE(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and ids.min() < 0:
+            raise IndexError("an id below 0")
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
@@ -183,7 +197,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
             for x in b.column("text"):
                 ids = own.encode(x.as_py())
                 n.append(len(ids))
-                coded.append(sha(",".join(map(str, ids.tolist())).encode()))
+                coded.append(sha(",".join(map(own.decimal.__getitem__, ids.tolist())).encode()))
                 plain.append(sha(own.decode(ids)))
                 if keep_ids:
                     kept.append(ids.astype(np.int32))
