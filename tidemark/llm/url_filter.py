@@ -161,16 +161,20 @@ def train(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict
     """Fit on at most `sample` distinct labelled URLs (those with the smallest hashes);
     rows with a null URL or label are left out."""
     host, path = host_and_path(F.col("url"))
-    rows = (
+    own = (
         labelled.select(F.col(url_col).alias("url"), (F.col(verdict_col) == "block").alias("block"))
         .filter("url IS NOT NULL AND block IS NOT NULL")
         .groupBy("url")
         .agg(F.max("block").alias("block"))
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(sample)
-        .select("url", host.alias("host"), path.alias("path"), "block")
-        .collect()
+        .withColumn("draw", F.pmod(F.xxhash64("url"), F.lit(1 << 40)))
     )
+    # Every task would send its own smallest hashes to the driver: rows whose hash is surely
+    # not among the smallest of all are left out before.
+    share = min(1.0, 1.5 * sample / max(1, own.agg(F.approx_count_distinct("url").alias("n")).first().n))
+    pick = lambda most: own.filter(F.col("draw") < int(most * (1 << 40))).orderBy("draw", "url").limit(sample).select("url", host.alias("host"), path.alias("path"), "block").collect()
+    rows = pick(share)
+    if share < 1 and len(rows) < sample:
+        rows = pick(1.0)
     return Trees.fit([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], np.array([r.block for r in rows], bool))
 
 
