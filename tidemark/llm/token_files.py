@@ -36,6 +36,8 @@ from .common import shared_dir, small_batches, whole_text
 HEAD = struct.Struct("<4sBBHIQI")
 #: Ids of a chunk, more or less (a chunk ends with a document), and of a block.
 CHUNK_IDS, BLOCK_IDS = 1 << 19, 4096
+#: Documents that are encoded at once, and bytes of an Arrow batch: what a worker holds.
+PART, BATCH = 400, 4 << 20
 #: Words whose ids a worker remembers.
 HELD = 400_000
 
@@ -95,10 +97,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.held: dict[str, bytes] = {}
-        probe = ["alpha beta\n\tgamma", "a\r\nb \x0b\x0c c"]
-        for x in probe:
-            apart = [i for w in x.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-            if self.tokenizer.encode(x, add_special_tokens=False).ids != apart:
+        # A special token that parts words where many are encoded as one text.
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
+        self.mark, self.mark_id = max(special.items(), default=(None, -1))
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.lowers = ids("AB Zoo") == ids("ab zoo")
+        for x, words in (("alpha beta\n\tgamma", "alpha beta gamma"), ("a\r\nb \x0b\x0c c. d, e", "a b c . d , e")):
+            if ids(x) != [i for w in words.split() for i in ids(w)]:
                 raise ValueError("this tokenizer sees white space; texts can't be cut into words")
 
     def words(self, words: list[str]) -> list[bytes]:
@@ -108,8 +113,8 @@ class WordEncoder:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             fresh = {}
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = x = np.array(e.ids, "<u4").tobytes()
+            for i, x in zip(part, self.encode([words[i] for i in part]), strict=True):
+                out[i] = x
                 if len(words[i]) < 40:
                     fresh[words[i]] = x
             if len(self.held) + len(fresh) > HELD:
@@ -117,8 +122,32 @@ class WordEncoder:
             self.held.update(fresh)
         return out
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        plain = [i for i, w in enumerate(words) if self.mark and "<" not in w]
+        out: list[bytes] = [b""] * len(words)
+        runs = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        coded = self.tokenizer.encode_batch_fast([f" {self.mark} ".join(words[i] for i in run) for run in runs], add_special_tokens=False)
+        for run, e in zip(runs, coded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
+            if len(ends) != len(run):
+                raise ValueError("a word holds the mark that parts words")
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(run, ends, strict=True):
+                out[i] = raw[4 * at : 4 * end]
+                at = end + 1
+        rest = sorted(set(range(len(words))) - set(plain)) if len(plain) < len(words) else []
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's number of them, its end id included."""
+        # Fewer distinct words: a full stop or comma after a letter is a pre-token of its own,
+        # and A-Z is lowered anyhow if the tokenizer does (but special tokens are met before).
+        texts = pc.replace_substring_regex(texts, r"(\pL)([.,])(\s|$)", r"\1 \2\3")
+        if self.lowers:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         coded = self.words(words.dictionary.to_pylist())
@@ -149,7 +178,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_c
     to `path`: one file per range of ids. The texts are dealt out by range before they
     are encoded, so each is encoded once and only texts are shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -167,8 +196,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_c
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())]))
 
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
+            for k in range(0, b.num_rows, PART):
+                part = b.slice(k, PART)
                 texts = part.column("text")
                 flat, n = coder.texts(texts.cast(pa.string()), end_id)
                 ids.append(flat)
@@ -199,7 +228,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     chunks = spark.read.schema("shard int, chunk int, first long, n_ids long, doc_ids array<long>, sizes array<long>, blob binary").parquet(path)
     offset, offsets = 0, []
     for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():  # a row per file
