@@ -207,6 +207,35 @@ def test_line_dedup_deletes_what_repeats_from_the_later(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_aligns_blocks_whoever_owns_their_lines(spark):
+    r = random.Random(8)
+    ten = lambda: prose(r, 10)
+    block = [ten() for _ in range(4)]
+    values = ["\n".join([x, prose(r, 40)]) for x in block] + ["\n".join([prose(r, 40), *block]) for _ in range(2)]
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 0, 0, 0, 0, 4] and got[5].kept
+    one = [ten() for _ in range(40)]
+    two = [ten() if i % 5 == 4 else x for i, x in enumerate(one)]
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame([(1, "\n".join(one)), (2, "\n".join(two)), (3, "\n".join(two))], "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 32, 40] and got[2].kept and not got[3].kept
+    # The rest of 2 is short, but 3 has lost the line that it alone still holds.
+    values = [one[0] + "\n" + one[1], "\n".join([one[0], one[1], one[2]]), "\n".join([one[0], one[1], one[2], prose(r, 30)])]
+    got = {x.doc_id: x for x in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in range(3)] == [0, 2, 3] and got[1].kept and got[1].text == one[2]
+
+
+def test_line_dedup_keys_cover_every_run():
+    r = random.Random(3)
+    for _ in range(200):
+        words = [r.randint(1, 12) for _ in range(r.randint(1, 12))]
+        lines = [(i, bytes([i]), w) for i, w in enumerate(words)]
+        keys = line_dedup.keys_of(lines)
+        for a in range(len(words)):
+            for b in range(a, len(words)):
+                run = [x for x in keys if x[0] == 0 and set(x[1:]) <= set(range(a, b + 1))]
+                assert set(b"".join(x[1:] for x in run)) == (set(range(a, b + 1)) if sum(words[a : b + 1]) >= 20 else set())
+
+
 def test_patience_alignment():
     assert line_dedup.patience(list("abcde"), list("xbcdy"), set()) == [(1, 0 + 1), (2, 2), (3, 3)]
     assert line_dedup.patience(list("aaab"), list("aab"), set()) == [(0, 0), (1, 1), (3, 2)]

@@ -1,14 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Every line that several documents share has a first owner, the document with the least
-id that holds it. A document is aligned with the first owners of its lines: a pair is
-found through a shared line and holds just the lines that the one owns and the other
-shares, so pairs and their lines grow with the corpus and not with the square of a
-group. The pair's rare lines (in RARE documents at most; all of them if it shares none)
-that are unique in both anchor a patience diff; between anchors it recurs, then grows
-over equal neighbours. Aligned common blocks of MIN_WORDS words or more are deleted from
-the later document; what is left is aligned again, so a passage that stands twice goes
-twice. An owner's own lines are never deleted, so every line stays somewhere.
+A document is aligned with the first documents that hold what it holds, on all lines that
+the two share. A pair is found through a key, whose first holder is the document with the
+least id: keys are the shortest runs of shared lines of MIN_WORDS words or more, from
+each line onwards and up to each line, and two shared lines at most GAP lines apart, with
+their distance. So a run of shared lines is found whoever holds its lines singly, and
+keys and pairs grow with the corpus and not with the square of a group. A pair's rare
+lines (in RARE documents at most; all of them if it shares none) that are unique in both
+anchor a patience diff; between anchors it recurs, then grows over equal neighbours.
+Aligned common blocks of MIN_WORDS words or more are deleted from the later document;
+what is left is aligned again, so a passage that stands twice goes twice. The first
+document that holds a line never loses it, so every line stays somewhere.
+
+A block with gaps all of whose runs are short is found if its earlier document is the
+first to hold some two neighbours of the block at their distance.
 
 Defined results: lines are compared without case and outer or repeated white space;
 lines without words are no lines, and go where a document loses any; a null text is
@@ -149,6 +154,68 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select("id", "t", "text").mapInArrow(run, "id long, t long, h long, g long, w int, at array<int>")
 
 
+LINES = pa.list_(pa.struct([("h", pa.int64()), ("g", pa.int64()), ("w", pa.int32()), ("df", pa.int64()), ("first", pa.int64()), ("at", pa.list_(pa.int32()))]))
+KEYS = pa.list_(pa.struct([("k", pa.int64()), ("l", pa.int64())]))
+
+
+def keys_of(lines: list[tuple[int, bytes, int]], min_words: int = MIN_WORDS, gap: int = GAP) -> set[bytes]:
+    """Keys of (place, name, words) in order of place: the shortest runs of neighbours of
+    min_words from each line on and up to each line, and pairs at most gap lines apart."""
+    out: set[bytes] = set()
+    lo, n, before = 0, 0, 0  # lines[lo:i + 1] is the shortest run up to i, of n words
+    for i, (at, name, w) in enumerate(lines):
+        for place, other, _ in lines[max(0, i - gap - 1) : i]:
+            if at - place <= gap + 1:
+                out.add(bytes([at - place]) + other + name)
+        if i and at != lines[i - 1][0] + 1:
+            lo, n, before = i, 0, i
+        n += w
+        while n - lines[lo][2] >= min_words:
+            n, lo = n - lines[lo][2], lo + 1
+        if n >= min_words:
+            out.add(b"\0" + b"".join(x[1] for x in lines[lo : i + 1]))
+            # The shortest runs from the starts that reach min_words here for the first time.
+            for start in range(before, lo + 1):
+                out.add(b"\0" + b"".join(x[1] for x in lines[start : i + 1]))
+            before = lo + 1
+    return out
+
+
+def _sequences(min_words: int, gap: int):
+    """Of rows sorted by document (id, t): a row with the lines and keys of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        doc, lines, out = None, {}, []  # lines by name, so that repeated rows count once
+
+        def end_doc():
+            if doc is not None:
+                places = sorted((p, name, x["w"]) for name, x in lines.items() for p in x["at"])
+                keys = (xxhash.xxh3_128_intdigest(k) for k in keys_of(places, min_words, gap))
+                halves = np.array([(k & 0xFFFFFFFFFFFFFFFF, k >> 64) for k in keys], np.uint64).view(np.int64).reshape(-1, 2).tolist()
+                out.append((*doc, list(lines.values()), [{"k": k, "l": m} for k, m in halves]))
+            lines.clear()
+
+        def rows() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), LINES, KEYS))], ["id", "t", "lines", "keys"])
+            out.clear()
+            return b
+
+        for b in batches:
+            names = ("id", "t", "h", "g", "w", "df", "first", "at")
+            for i, t, h, g, w, df, first, at in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                if (i, t) != doc:
+                    end_doc()
+                    doc = (i, t)
+                lines[h.to_bytes(8, "little", signed=True) + g.to_bytes(8, "little", signed=True)] = {"h": h, "g": g, "w": w, "df": df, "first": first, "at": at}
+            yield rows()
+        end_doc()
+        yield rows()
+
+    return run
+
+
 RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
@@ -164,40 +231,35 @@ def ranges(places: set[int]) -> list[dict[str, int]]:
 
 
 def _aligned(min_words: int, rare: int, gap: int):
-    """Of rows sorted by the later document (id, t) and its owners: a row with the ranges
-    of places that go for each later document that loses any."""
+    """Of rows sorted by document (id, t), its own lines (owner null) before those of
+    earlier documents: a row with the ranges of places that go, and the first holders of
+    what goes, for each document that loses any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, owner = None, None
-        lines: dict = {}  # by name, so that repeated rows count once
+        doc = None
+        own: dict = {}
         gone: set[int] = set()
         out: list[tuple] = []
 
-        def end_owner():
-            gone.update(common_blocks(list(lines.values()), min_words, rare, gap))
-            lines.clear()
-
         def end_doc():
-            end_owner()
             if gone:
-                out.append((*doc, ranges(gone)))
+                out.append((*doc, ranges(gone), sorted({x["first"] for x in own.values() if not gone.isdisjoint(x["at"])})))
             gone.clear()
 
         def rows() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), RANGES))], ["id", "t", "gone"])
+            b = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), RANGES, pa.list_(pa.int64())))], ["id", "t", "gone", "firsts"])
             out.clear()
             return b
 
         for b in batches:
-            names = ("id", "t", "owner", "h", "g", "places", "at", "w", "df")
-            for i, t, o, h, g, places, at, w, df in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                if (i, t) != doc:
+            lines = b.column("lines")
+            for k, (i, t, owner) in enumerate(zip(*(b.column(c).to_pylist() for c in ("id", "t", "owner")), strict=True)):
+                theirs = {(x["h"], x["g"]): x for x in lines[k].as_py()}
+                if owner is None:
                     end_doc()
-                    doc, owner = (i, t), o
-                elif o != owner:
-                    end_owner()
-                    owner = o
-                lines[h, g] = ((h, g), places, at, w, df)
+                    doc, own = (i, t), theirs
+                else:
+                    gone.update(common_blocks([(n, x["at"], own[n]["at"], x["w"], x["df"]) for n, x in theirs.items() if n in own], min_words, rare, gap))
             yield rows()
         end_doc()
         yield rows()
@@ -206,30 +268,41 @@ def _aligned(min_words: int, rare: int, gap: int):
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, gap: int = GAP) -> DataFrame:
-    """id, t, gone (ranges a..b of places, among the lines with words, that are deleted)."""
+    """id, t, gone (ranges a..b of places, among the lines with words, that are deleted),
+    needed (whether the document is the first holder of a line deleted elsewhere)."""
     lines = stored(line_table(docs.filter("id IS NOT NULL")), "lines")
-    owners = lines.groupBy("h", "g").agg(F.min(F.struct("id", F.col("at").alias("places"))).alias("first"), F.max("id").alias("last"), F.count("*").alias("df"))
-    owners = owners.filter(F.col("last") > F.col("first.id")).select("h", "g", F.col("first.id").alias("owner"), F.col("first.places").alias("places"), "df")
+    owners = lines.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("df")).filter(F.col("last") > F.col("first")).drop("last")
     owners = stored(owners, "owners")  # else its partitions are kept for the join, and a hot line can't be split
-    shared = lines.join(owners, ["h", "g"]).filter(F.col("id") > F.col("owner"))
-    ordered = shared.repartition("id", "t").sortWithinPartitions("id", "t", "owner", "h", "g")
-    return ordered.select("id", "t", "owner", "h", "g", "places", "at", "w", "df").mapInArrow(_aligned(min_words, rare, gap), "id long, t long, gone array<struct<a:int,b:int>>")
+    shared = lines.join(owners, ["h", "g"]).select("id", "t", "h", "g", "w", "df", "first", "at")
+    kinds = "id long, t long, lines array<struct<h:long,g:long,w:int,df:long,first:long,at:array<int>>>, keys array<struct<k:long,l:long>>"
+    held = stored(shared.repartition("id", "t").sortWithinPartitions("id", "t").mapInArrow(_sequences(min_words, gap), kinds), "sequences")
+    keys = held.select("id", "t", F.explode("keys").alias("key")).select("id", "t", "key.k", "key.l")
+    firsts = keys.groupBy("k", "l").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter(F.col("last") > F.col("owner")).drop("last")
+    pairs = keys.join(stored(firsts, "keys"), ["k", "l"]).filter(F.col("id") > F.col("owner")).select("id", "t", "owner").distinct()
+    pairs = stored(pairs, "pairs")
+    theirs = pairs.join(held.select(F.col("id").alias("owner"), "lines"), "owner").select("id", "t", "owner", "lines")
+    later = held.join(pairs.select("id", "t").distinct(), ["id", "t"], "left_semi").select("id", "t", F.lit(None).cast("long").alias("owner"), "lines")
+    ordered = later.unionByName(theirs).repartition("id", "t").sortWithinPartitions("id", "t", F.col("owner").asc_nulls_first())
+    gone = stored(ordered.mapInArrow(_aligned(min_words, rare, gap), "id long, t long, gone array<struct<a:int,b:int>>, firsts array<long>"), "gone")
+    needed = gone.select(F.explode("firsts").alias("id")).distinct().withColumn("needed", F.lit(True))
+    return gone.drop("firsts").join(needed, "id", "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, **options) -> DataFrame:
     """docs with their texts less the deleted lines, n_lines, n_removed, words_removed, and
-    kept: false for a document that has lost lines and has fewer than min_words words left.
-    No block was deleted elsewhere for the sake of such a rest, so nothing is lost with it."""
+    kept: false for a document that has lost lines and has fewer than min_words words left,
+    unless it is the first holder of a line that was deleted elsewhere."""
     text = whole_text(text_col)
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__t": F.xxhash64(text)})
     gone = removals(keyed.select(F.col("__id").alias("id"), F.col("__t").alias("t"), text.alias("text")), min_words, **options)
-    gone = gone.withColumnsRenamed({"id": "__i", "t": "__h", "gone": "__gone"})
-    out = keyed.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__t") == F.col("__h")), "left")
+    gone = gone.withColumnsRenamed({"id": "__i", "t": "__h", "gone": "__gone", "needed": "__needed"})
+    # Sorted at every size: what goes is a share of the input, too much to broadcast when that grows.
+    out = keyed.join(gone.hint("merge"), (F.col("__id") == F.col("__i")) & (F.col("__t") == F.col("__h")), "left")
     lines = F.filter(F.split(text, "\n"), has_word)
     out = out.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.filter("__lines", lambda x, i: ~F.exists("__gone", lambda r: i.between(r["a"], r["b"])))))
     words = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda s, x: s + F.size(F.split(F.btrim(x, F.lit(SPACE)), SPACES)))
     lost = F.col("__kept").isNotNull()
     out = out.withColumns({"n_lines": F.size("__lines").cast("long"), "n_removed": F.when(lost, F.size("__lines") - F.size("__kept")).otherwise(0).cast("long"), "__all": F.when(lost, words("__lines")), "__some": F.when(lost, words("__kept"))})
-    out = out.withColumns({"words_removed": F.coalesce(F.col("__all") - F.col("__some"), F.lit(0)).cast("long"), "kept": F.coalesce(F.col("__some") >= min_words, F.lit(True))})
+    out = out.withColumns({"words_removed": F.coalesce(F.col("__all") - F.col("__some"), F.lit(0)).cast("long"), "kept": F.coalesce((F.col("__some") >= min_words) | F.col("__needed"), F.lit(True))})
     out = out.withColumn(text_col, F.when(lost, F.array_join("__kept", "\n")).otherwise(F.col(text_col)))
-    return out.drop("__id", "__t", "__i", "__h", "__gone", "__lines", "__kept", "__all", "__some")
+    return out.drop("__id", "__t", "__i", "__h", "__gone", "__needed", "__lines", "__kept", "__all", "__some")
