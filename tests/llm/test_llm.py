@@ -236,6 +236,26 @@ def test_line_dedup_keys_cover_every_run():
                 assert set(b"".join(x[1:] for x in run)) == (set(range(a, b + 1)) if sum(words[a : b + 1]) >= 20 else set())
 
 
+def test_common_blocks_in_another_order():
+    left, right = ["p", "f1", "f2", "f3"], ["f1", "f2", "f3", "p"]
+    for df in (2, 1000):
+        assert line_dedup.common_blocks([(x, [left.index(x)], [right.index(x)], 60 if x == "p" else 3, df) for x in left]) == {3}
+    r = random.Random(6)
+    for _ in range(300):
+        words = {x: r.choice([2, 6, 11, 25]) for x in "abcdef"}
+        a, b = ([r.choice("abcdefxyz") for _ in range(r.randint(1, 14))] for _ in range(2))
+        both = set(a) & set(b) & set(words)
+        got = line_dedup.common_blocks([(x, [i for i, y in enumerate(a) if y == x], [i for i, y in enumerate(b) if y == x], words[x], 2) for x in both])
+        left = [j for j in range(len(b)) if j not in got]
+        for d in range(-len(a), len(b)):
+            run = []
+            for j in [j for j in left if 0 <= j - d < len(a) and b[j] in both and a[j - d] == b[j]] + [10**6]:
+                if run and j - run[-1] > line_dedup.GAP + 1:
+                    assert sum(words[b[k]] for k in run) < 20
+                    run = []
+                run.append(j)
+
+
 def test_patience_alignment():
     assert line_dedup.patience(list("abcde"), list("xbcdy"), set()) == [(1, 0 + 1), (2, 2), (3, 3)]
     assert line_dedup.patience(list("aaab"), list("aab"), set()) == [(0, 0), (1, 1), (3, 2)]

@@ -8,9 +8,10 @@ their distance. So a run of shared lines is found whoever holds its lines singly
 keys and pairs grow with the corpus and not with the square of a group. A pair's rare
 lines (in RARE documents at most; all of them if it shares none) that are unique in both
 anchor a patience diff; between anchors it recurs, then grows over equal neighbours.
-Aligned common blocks of MIN_WORDS words or more are deleted from the later document;
-what is left is aligned again, so a passage that stands twice goes twice. The first
-document that holds a line never loses it, so every line stays somewhere.
+Aligned common blocks of MIN_WORDS words or more are deleted from the later document, and
+so are those in what is left, in whatever order they stand: a passage that stands twice
+goes twice. The first document that holds a line never loses it, so every line stays
+somewhere.
 
 A block with gaps all of whose runs are short is found if its earlier document is the
 first to hold some two neighbours of the block at their distance.
@@ -104,22 +105,41 @@ def common_blocks(lines: list[tuple[int, list[int], list[int], int, int]], min_w
     left = sorted((p, name) for name, places, _, _, _ in lines for p in places)
     right = sorted((p, name) for name, _, places, _, _ in lines for p in places)
     gone: set[int] = set()
-    while right:
-        pairs = patience([x for _, x in left], [x for _, x in right], few)
-        new: set[int] = set()
-        run: list[tuple[int, int, int]] = []
-        for i, j in [*pairs, (-1, -1)]:
-            here = (left[i][0], right[j][0], words[left[i][1]]) if i >= 0 else None
-            if run and (here is None or here[0] - run[-1][0] != here[1] - run[-1][1] or not 0 < here[1] - run[-1][1] <= gap + 1):
-                if sum(w for _, _, w in run) >= min_words:
-                    new |= {y for _, y, _ in run}
-                run = []
-            if here:
-                run.append(here)
-        if not new:
-            break
-        gone |= new
-        right = [x for x in right if x[0] not in new]
+    run: list[tuple[int, int, int]] = []
+    for i, j in [*patience([x for _, x in left], [x for _, x in right], few), (-1, -1)]:
+        here = (left[i][0], right[j][0], words[left[i][1]]) if i >= 0 else None
+        if run and (here is None or here[0] - run[-1][0] != here[1] - run[-1][1] or not 0 < here[1] - run[-1][1] <= gap + 1):
+            if sum(w for _, _, w in run) >= min_words:
+                gone |= {y for _, y, _ in run}
+            run = []
+        if here:
+            run.append(here)
+    return gone | _diagonals(left, [x for x in right if x[0] not in gone], words, min_words, gap)
+
+
+def _diagonals(left: list[tuple[int, int]], right: list[tuple[int, int]], words: dict[int, int], min_words: int, gap: int) -> set[int]:
+    """Places in right that stand in a common block, in any order of blocks: runs of equal
+    lines at the same distance of places, found for all distances at once."""
+    if sum(words[x] for _, x in right) < min_words:
+        return set()
+    held: dict[int, list[int]] = {}
+    for p, name in left:
+        held.setdefault(name, []).append(p)
+    arrays = {name: np.array(p) for name, p in held.items()}
+    there, here, off = dict(left), dict(right), left[-1][0]
+    size = off + right[-1][0] + 1
+    last, total, begin = np.full(size, -gap - 2), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    gone: set[int] = set()
+    for q, name in right:
+        d = q - arrays[name] + off
+        on = q - last[d] <= gap + 1
+        had = np.where(on, total[d], 0)
+        now = had + words[name]
+        begin[d], last[d], total[d] = np.where(on, begin[d], q), q, now
+        if (now >= min_words).any():
+            gone.add(q)
+        for k in d[(had < min_words) & (now >= min_words)].tolist():
+            gone.update(x for x in range(int(begin[k]), q) if x in here and there.get(x - k + off) == here[x])
     return gone
 
 
