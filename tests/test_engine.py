@@ -414,3 +414,18 @@ def test_queries_and_sql_have_the_same_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert len(e.queries()) > 80
+
+
+def test_substring_df_counts_whole_texts(spark, tmp_path):
+    import __spark_entry__ as e
+
+    r = random.Random(1)
+    values = [" ".join("".join(r.choice("abcé1-") for _ in range(r.randint(1, 12))) for _ in range(r.randint(0, 60))) for _ in range(12)]
+    rows = [(i, x, i % 2) for i, x in enumerate([*values, *(f"{v} Überlang" for v in values[:4]), None])]
+    spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q) for i, _, q in rows[1:]], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = [({c for n in range(2, 9) for k in range(len(x or "") - n + 1) if (c := x[k : k + n]).isalpha()}, q) for _, x, q in rows[1:]]
+    want = {c: (sum(c in s for s, _ in seen), sum(c in s and q for s, q in seen)) for c in set().union(*(s for s, _ in seen))}
+    got = e.queries()["substring_df_whole"](spark, str(tmp_path)).collect()
+    assert {x.chunk: (x.df, x.in_class) for x in got} == {c: v for c, v in want.items() if v[0] >= 3}
+    assert any(len(x.chunk) == 8 for x in got)

@@ -143,6 +143,13 @@ def substrings(c: Column, lo: int, hi: int) -> Column:
     return F.array_distinct(F.flatten(F.array(*each)))
 
 
+def letter_substrings(c: Column, lo: int, hi: int) -> Column:
+    """The distinct substrings of lo..hi characters that are letters only, from each
+    distinct run of letters."""
+    runs = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda w: substrings(w, lo, hi))))
+
+
 UNIT_HOURS = {"minute": 1 / 60, "min": 1 / 60, "hour": 1.0, "hr": 1.0, "day": 24.0, "week": 168.0, "month": 720.0}
 
 

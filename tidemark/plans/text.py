@@ -67,12 +67,21 @@ def log_odds_terms(t: Tables):
 @query(r"""WITH s AS (SELECT q, unnest(list_distinct(flatten(list_transform(range(2, 5), lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)))))) AS chunk FROM (SELECT quality AS q, substr(text, 1, 40) AS x FROM documents JOIN labels USING (doc_id)))
 SELECT chunk, count(*) AS df, count(*) FILTER (q = 1) AS in_class FROM s GROUP BY 1 HAVING count(*) >= 3""")
 def substring_df(t: Tables):
-    """Document frequency of the substrings of the openings (an opening is the unit here)."""
+    """Document frequency of the substrings of the openings; of whole texts: substring_df_whole."""
     j = t.documents.select("doc_id", F.substring("text", 1, 40).alias("x")).join(t.labels, "doc_id")
     s = j.select("quality", F.explode(text.substrings(F.col("x"), 2, 4)).alias("chunk"))
     return s.groupBy("chunk").agg(F.count("*").alias("df"), F.count_if(F.col("quality") == 1).alias("in_class")).filter("df >= 3")
 
 
+@query(r"""WITH d AS (SELECT doc_id, quality AS q, unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) AS w FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT DISTINCT doc_id, q, unnest(flatten(list_transform(range(2, 9), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n))))) AS chunk FROM d)
+SELECT chunk, count(*) AS df, count(*) FILTER (q = 1) AS in_class FROM s GROUP BY 1 HAVING count(*) >= 3""")
+def substring_df_whole(t: Tables):
+    """Document frequency of all alphabetic substrings of 2 to 8 characters of whole texts."""
+    s = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select("quality", F.explode(text.letter_substrings(F.col("text"), 2, 8)).alias("chunk"))
+    return s.groupBy("chunk").agg(F.count("*").alias("df"), F.count_if(F.col("quality") == 1).alias("in_class")).filter("df >= 3")
+
+
 @query(r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') ELSE NULL END AS datetime,
 o_orderdate::DATE AS date, CASE o_orderkey % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'epoch' ELSE 'dmy' END AS format FROM orders""")
 def timestamp_router(t: Tables):
