@@ -393,6 +393,29 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert sharding.shard(frame(spark, []), 7).count() == 0
 
 
+def test_shards_cut_next_to_no_group(spark):
+    # A third of all rows is one group, the rest in pairs: no room is free anywhere.
+    values = [*("hot" for _ in range(800)), *(f"pair {i // 2}" for i in range(1600))]
+    out = sharding.shard(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "doc_id long, text string"), shards=40).cache()
+    rows = out.collect()
+    count = collections.Counter(x.shard for x in rows)
+    assert set(count.values()) == {60} and len(count) == 40
+    assert len({x.shard for x in rows if x.doc_id < 800}) == 14
+    r = sharding.cut_share(out).first()
+    assert (r.groups, r.cut_groups <= 81) == (801, True)
+    where = collections.defaultdict(set)
+    for x in rows:
+        where[x.group].add(x.shard)
+    assert r.cut_groups == sum(len(v) > 1 for v in where.values())
+
+
+def test_large_groups_take_as_few_shards_as_will_do():
+    pieces, left = sharding.allot({1: {0: 5, 3: 20}, 2: {1: 13}}, [10, 10, 10, 9])
+    assert [s for _, s in pieces[1]][0] == 3 and len(pieces[1]) == 3 and len(pieces[2]) == 2
+    assert pieces[1][-1][0] == 25 and pieces[2][-1][0] == 13 and sum(left) == 1
+    assert sharding.allot({1: {0: 5}}, [2, 2, 1, 0]) == ({1: [(2, 0), (4, 1), (5, 2)]}, [0, 0, 0, 0])
+
+
 def test_pipeline_runs_on_odd_documents(spark, tmp_path):
     import corpus_pipeline
 

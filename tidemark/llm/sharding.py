@@ -1,12 +1,15 @@
 """Sharding by balanced label propagation: linked documents (those with equal texts)
-move towards the shards of their neighbours under capacity quotas, in rounds of joins;
-what remains to be moved then makes the shards' row counts at most one apart.
+move to the shard of most of their neighbours; what is over a quota is then moved, whole
+groups at a time, so that the shards' row counts are at most one apart.
 
-A round counts each group's documents per shard (at most `shards` rows a group, so a hot
-group is pre-aggregated), picks the group's fullest shard that has room as its target,
-and lets movers in with the probability that fills the room. Groups move whole unless
-they are larger than a shard; then each document draws for itself. Documents without a
-link go where room is left, and cut no link.
+Links are whole groups, so once each has moved no document has a neighbour elsewhere and
+a further round moves nothing. A group larger than a shard is given as many shards as its
+size fills, its fullest ones first, and its rest a part of another; those are closed to
+other groups as far as they are taken. Moves do not wait for room: what leaves and enters
+in the same round is levelled afterwards in order of group, which cuts a group or two at
+the edges of each shard and no more. Groups are counted per shard first (at most `shards`
+rows a group), so that a hot group is pre-aggregated. Documents without a link go where
+room is left, and cut no link. `cut_share` reports the links that are cut.
 
 Places in a shard are counted in buckets of about BUCKET_ROWS rows whose offsets are
 summed apart, so that no task numbers a whole shard.
@@ -24,12 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole_text
 
-SHARDS, ROUNDS, BUCKET_ROWS = 40, 5, 20_000
-
-
-def _fraction(*cols) -> Column:
-    """A number in [0, 1) drawn from the columns by hash."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
+SHARDS, BUCKET_ROWS = 40, 20_000
 
 
 def _numbered(rows: DataFrame, within: list[str], bucket: Column, order: list[str]) -> DataFrame:
@@ -42,27 +40,61 @@ def _numbered(rows: DataFrame, within: list[str], bucket: Column, order: list[st
     return rows.withColumn("__r", rank).join(offsets, [*within, "__b"]).withColumn("at", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")
 
 
-def propagate(linked: DataFrame, shards: int, room: int, rounds: int) -> DataFrame:
-    """linked (id, g, n, shard) with the shards that the rounds have led to."""
-    for k in range(rounds):
-        cells = stored(linked.groupBy("g", "n", "shard").agg(F.count("*").alias("c")), "cells")
-        load = {r.shard: r.c for r in cells.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # a row per shard
-        free = [max(0, room - load.get(s, 0)) for s in range(shards)]
-        left = F.element_at(F.array(*[F.lit(x) for x in free]), F.col("shard") + 1)
-        best = cells.groupBy("g").agg(F.max(F.struct((left > 0).alias("open"), "c", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best")).select("g", F.col("best.shard").alias("to"), F.col("best.c").alias("most"))
-        moves = cells.join(best, "g").filter((F.col("shard") != F.col("to")) & (F.col("most") >= F.col("c")) & ((F.col("n") > room) | (F.col("most") > 0)))
-        due = {r.to: r.c for r in moves.groupBy("to").agg(F.sum("c").alias("c")).collect()}  # a row per shard
-        if not due:
-            break
-        odds = [min(1.0, free[s] / due[s]) if s in due else 0.0 for s in range(shards)]
-        odds = F.element_at(F.array(*[F.lit(x) for x in odds]), F.col("to") + 1)
-        drawn = F.when(F.col("n") > room, _fraction("id", F.lit(k))).otherwise(_fraction("g", F.lit(k)))
-        linked = linked.join(moves.select("g", "shard", "to"), ["g", "shard"], "left").select("id", "g", "n", F.when(F.col("to").isNotNull() & (drawn < odds), F.col("to")).otherwise(F.col("shard")).alias("shard"), "size", "crc")
-        linked = stored(linked, "labels")
-    return linked
-
-
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def allot(large: dict[int, dict[int, int]], quota: list[int]) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+    """For groups larger than a shard (documents by shard): (end of its places, shard)
+    pieces in order, as few as will do; and the room that is left in each shard."""
+    left, out = list(quota), {}
+    for g in sorted(large, key=lambda g: (-sum(large[g].values()), g)):
+        n, at, out[g] = sum(large[g].values()), 0, []
+        while at < n:
+            empty = [s for s in range(len(quota)) if left[s] and left[s] == quota[s] <= n - at]
+            enough = [s for s in range(len(quota)) if left[s] >= n - at]
+            if empty:
+                to = max(empty, key=lambda s: (large[g].get(s, 0), -s))
+            elif enough:
+                to = min(enough, key=lambda s: (left[s], s))
+            else:
+                to = max(range(len(quota)), key=lambda s: (left[s], -s))
+            took = min(left[to], n - at)
+            at, left[to] = at + took, left[to] - took
+            out[g].append((at, to))
+    return out, left
+
+
+def propagate(linked: DataFrame, quota: list[int], room: int) -> DataFrame:
+    """linked (id, g, n, shard) with the shards that the documents move to."""
+    cells = stored(linked.groupBy("g", "n", "shard").agg(F.count("*").alias("c")), "cells")
+    large: dict[int, dict[int, int]] = {}
+    for r in cells.filter(F.col("n") > room).collect():  # fewer than `shards` groups, each of at most `shards` rows
+        large.setdefault(r.g, {})[r.shard] = r.c
+    pieces, left = allot(large, quota)
+    opened = [s for s, x in enumerate(left) if x > 0] or list(range(len(quota)))
+    best = cells.filter(F.col("n") <= room).groupBy("g").agg(F.max(F.struct(F.col("shard").isin(opened).alias("open"), "c", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("best"))
+    drawn = F.element_at(F.array(*[F.lit(s) for s in opened]), (F.pmod(F.xxhash64("g", F.lit(0)), F.lit(len(opened))) + 1).cast("int"))
+    best = best.select("g", F.when(F.col("best.open"), F.col("best.shard")).otherwise(drawn).alias("to"))
+    kept = linked.filter(F.col("n") <= room).join(best, "g").select("id", "g", "n", F.col("to").alias("shard"), "size", "crc")
+    if not large:
+        return stored(kept, "labels")
+    # Salted by id, so that a hot group is numbered in parts.
+    placed = _numbered(linked.filter(F.col("n") > room), ["g"], F.pmod(F.xxhash64("id"), F.lit(max(64, room * len(quota) // BUCKET_ROWS))), ["id", "size"])
+    to = F.lit(None).cast("int")
+    for g, ends in pieces.items():
+        of = F.lit(ends[-1][1])
+        for end, s in reversed(ends[:-1]):
+            of = F.when(F.col("at") < end, s).otherwise(of)
+        to = F.when(F.col("g") == g, of).otherwise(to)
+    return stored(kept.unionByName(placed.select("id", "g", "n", to.alias("shard"), "size", "crc")), "labels")
+
+
+def cut_share(out: DataFrame) -> DataFrame:
+    """Of the result of `shard`, a row: groups of several documents, how many are in more
+    than one shard, and the share of all links (pairs of a group) that are cut."""
+    cells = out.groupBy("group", "shard").agg(F.count("*").cast("double").alias("c"))
+    per = cells.groupBy("group").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("shards")).filter("n > 1")
+    return per.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("cut_groups"), (F.sum(F.col("n") * F.col("n") - F.col("same")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("cut_share"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size (UTF-8 bytes and 16), text_crc32, shard, slot (gapless from 0) and group
     (hash of the text) of every document."""
     text = whole_text(text_col)
@@ -72,10 +104,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
     linked = rows.join(groups, "g").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    linked = propagate(stored(linked.select("id", "g", "n", "shard", "size", "crc"), "linked"), shards, max(1, total // shards), rounds)
+    room = max(1, total // shards)
+    linked = propagate(stored(linked.select("id", "g", "n", "shard", "size", "crc"), "linked"), quota, room)
     buckets = max(1, total // (shards * BUCKET_ROWS))
-    # Salted by id, so that a hot group is numbered in parts.
-    placed = _numbered(linked, ["shard"], F.pmod("g", F.lit(buckets)) * 64 + F.pmod(F.xxhash64("id"), F.lit(64)) * F.when(F.col("n") > BUCKET_ROWS, 1).otherwise(0), ["g", "id", "size"])
+    # Salted by id, so that a hot group is numbered in parts; groups larger than a shard come first, as they fill what they were given.
+    salt = F.pmod(F.xxhash64("id"), F.lit(64))
+    placed = _numbered(linked, ["shard"], F.when(F.col("n") > room, salt).otherwise(64 + F.pmod("g", F.lit(buckets)) * 64 + salt * F.when(F.col("n") > BUCKET_ROWS, 1).otherwise(0)), ["g", "id", "size"])
     own = F.element_at(F.array(*[F.lit(x) for x in quota]), F.col("shard") + 1)
     placed = stored(placed.withColumn("fits", F.col("at") < own), "placed")
     held = {r.shard: r.n for r in placed.filter("fits").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
