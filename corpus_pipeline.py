@@ -26,7 +26,7 @@ def _changed(out: DataFrame, changed: str, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; frequent lines of a host go from those that stay."""
-    return _changed(quality_rules.quality_rules(docs, strip=True).filter("kept"), "lost_words > 0", docs.columns)
+    return _changed(quality_rules.quality_rules(docs, strip=True, most=quality_rules.LINE_DOCUMENTS).filter("kept"), "lost_words > 0", docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

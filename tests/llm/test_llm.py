@@ -165,6 +165,19 @@ def test_frequent_lines_deplete(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_frequent_lines_have_a_limit_at_every_size(spark):
+    r = random.Random(12)
+    banner, copy = prose(r, 60), prose(r, 70)
+    rows = [(i, f"{banner}\n{prose(r, 40)}" if i % 20 == 0 else prose(r, 90), "host") for i in range(800)]
+    rows += [(800 + i, copy, "other") for i in range(30)] + [(830 + i, prose(r, 70), "other") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x for x in quality_rules.quality_rules(df, most=30).collect()}
+    assert [got[i].lost_words for i in (0, 20, 780, 1)] == [0, 60, 60, 0] and not got[20].kept
+    # Copies count as documents.
+    assert [got[i].lost_words for i in (800, 801, 829, 830)] == [0, 70, 70, 0]
+    assert all(got[i].kept for i in got if i in (0, 800) or i < 800 and i % 20 or i >= 830)
+
+
 def brute_lines(rows):
     first, df, docs = {}, collections.Counter(), {}
     for i, t in sorted(rows):

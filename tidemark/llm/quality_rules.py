@@ -8,6 +8,10 @@ LINE_TEXTS of them, is removed from all of the host's documents but the first th
 holds it. A document that loses more than MOST_LOST of its words is depleted and
 rejected, as is one that fails the base rules.
 
+With `most` (LINE_DOCUMENTS in the corpus pipeline) distinct documents are counted instead
+of texts, and a line in more than `most` documents of its host goes too, whatever its
+share: the share's limit grows with the host, this one holds at every size.
+
 Defined results: a null text has no words and fails the base rules; a null host is a
 host of its own; rows with an equal id and text are judged alike and all returned; an
 empty table gives no rows.
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 LINE_SHARE, LINE_TEXTS, MOST_LOST = 0.10, 20, 0.5
+LINE_DOCUMENTS = 1000
 MIN_WORDS, MOST_REPEATED = 50, 0.5
 #: White space of the word rule: the space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -73,12 +78,13 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop(*taken)
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS) -> DataFrame:
+def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS, most: int | None = None) -> DataFrame:
     """The lines that are removed: id, t (hash of the text), at (positions of its lines,
     split at \\n) and words in them, for the documents that lose any.
 
     Counts are pre-aggregated before each shuffle; of the counted lines, those above the
-    limits are at most 1 / share of a document's lines for each host."""
+    limits are at most 1 / share of a document's lines for each host, or with `most` one
+    for each `most` of the host's lines."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null")).alias("host"), whole_text(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     line = F.lower(F.btrim(F.regexp_replace("line", SPACES, " "), F.lit(" ")))
     lines = (
@@ -87,9 +93,10 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
         .filter("line != ''")
         .select("id", "host", "t", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
     )
-    hosts = rows.groupBy("host").agg(F.count_distinct("t").alias("host_texts"))
-    counts = lines.groupBy("host", "h", "g").agg(F.count_distinct("t").alias("in_texts"), F.min("id").alias("first")).filter(F.col("in_texts") > texts)
-    hot = counts.join(hosts, "host").filter(F.col("in_texts") > share * F.col("host_texts")).select("host", "h", "g", "first")
+    unit = F.col("t") if most is None else F.struct("id", "t")
+    hosts = rows.groupBy("host").agg(F.count_distinct(unit).alias("host_texts"))
+    counts = lines.groupBy("host", "h", "g").agg(F.count_distinct(unit).alias("in_texts"), F.min("id").alias("first")).filter(F.col("in_texts") > (texts if most is None else min(texts, most)))
+    hot = counts.join(hosts, "host").filter(((F.col("in_texts") > texts) & (F.col("in_texts") > share * F.col("host_texts"))) | (F.lit(False) if most is None else F.col("in_texts") > most)).select("host", "h", "g", "first")
     lost = lines.join(hot, ["host", "h", "g"]).filter(~F.col("id").eqNullSafe(F.col("first")))
     lost = lost.groupBy("id", "t", "at").agg(F.max("n").alias("n"))  # repeated rows once
     return lost.groupBy("id", "t").agg(F.collect_set("at").alias("at"), F.sum("n").alias("words"))
