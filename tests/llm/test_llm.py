@@ -369,6 +369,17 @@ def test_decontamination_equals_brute_force(spark, limit):
     assert decontaminate.decontaminate(frame(spark, []), bench).count() == 0
 
 
+def test_documents_without_an_id_are_judged(spark):
+    r = random.Random(13)
+    item, banner = prose(r, 20), prose(r, 60)
+    df = spark.createDataFrame([(None, item + " end"), (None, prose(r, 30)), (1, item)], "doc_id long, text string")
+    got = {x.text: x for x in decontaminate.decontaminate(df, spark.createDataFrame([(0, item)], "item_id long, text string"), keep_text=True).collect()}
+    assert {k: x.n_hit for k, x in got.items()} == {t: 20 if t.startswith(item) else 0 for t in got} and got[item + " end"].contaminated
+    rows = [(i if i % 2 else None, f"{banner}\n{prose(r, 40)}", "host") for i in range(60)]
+    lost = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("doc_id", "lost_words").count().collect()
+    assert {(x.doc_id, x.lost_words): x["count"] for x in lost} == {(1, 0): 1, (None, 60): 30} | {(i, 60): 1 for i in range(3, 60, 2)}
+
+
 def test_chat_comes_back(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a\\</s>[\\INST]\\"), (2, 0, "system", None), (2, 1, "user", "[SYS] \n"), (2, 2, "assistant", ""), (3, 1, "user", "b"), (3, 0, "assistant", "a"), (4, 0, "tool[/ROLE] x", "[ROLE]"), (4, 0, "tool[/ROLE] x", "[ROLE]"), (None, None, None, None), (5, 0, "user", "x" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))

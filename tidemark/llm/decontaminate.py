@@ -11,7 +11,7 @@ The windows of a benchmark are broadcast where they take less than BROADCAST_BYT
 joined by a shuffle of the documents' words beyond that.
 
 Defined results: a null text has no words; an item without words has no windows; equal
-windows of several items count for each; rows with an equal id and text are judged alike
+windows of several items count for each; rows with an equal (or null) id and an equal text are judged alike
 and all returned; with an empty benchmark no word is hit.
 """
 
@@ -103,7 +103,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.withColumns({"n_words": let(pieces(text), count_words).cast("long"), "__hash": F.xxhash64(text)})
     if not keep_text:
         rows = rows.drop(text_col)
-    out = rows.join(per, (rows[id_col] == per["__id"]) & (rows["__hash"] == per["__t"]), "left")
+    out = rows.join(per, rows[id_col].eqNullSafe(per["__id"]) & (rows["__hash"] == per["__t"]), "left")
     out = out.withColumns({"n_hit": F.coalesce("__hit", F.lit(0)).cast("long"), "items": F.coalesce("__items", F.array().cast("array<string>"))})
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     return out.drop("__id", "__t", "__hit", "__items", "__hash")

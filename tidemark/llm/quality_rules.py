@@ -13,7 +13,8 @@ of texts, and a line in more than `most` documents of its host goes too, whateve
 share: the share's limit grows with the host, this one holds at every size.
 
 Defined results: a null text has no words and fails the base rules; a null host is a
-host of its own; rows with an equal id and text are judged alike and all returned; an
+host of its own; rows with an equal (or null) id and an equal text are judged alike and all
+returned; a line that only rows with a null id hold has no first holder and stays; an
 empty table gives no rows.
 """
 
@@ -109,7 +110,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sour
     rows = base_stats(docs, text_col).withColumn("__hash", F.xxhash64(whole_text(text_col)))
     if not strip:
         rows = rows.drop(text_col)
-    out = rows.join(lost, (rows[id_col] == lost["__id"]) & (rows["__hash"] == lost["__t"]), "left")
+    out = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (rows["__hash"] == lost["__t"]), "left")
     out = out.withColumn("lost_words", F.coalesce("__lost", F.lit(0)).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= most_lost * F.col("n_words")))
     if strip:
