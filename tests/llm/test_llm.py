@@ -95,14 +95,6 @@ def test_token_files_come_back(spark, tmp_path, bits):
     assert token_files.read_ids(spark, path).count() == 0
 
 
-def test_damaged_chunk_is_seen():
-    blob = bytearray(token_files.pack(np.arange(1000, dtype=np.uint32)))
-    assert (token_files.unpack(bytes(blob)) == np.arange(1000)).all()
-    blob[20] ^= 1
-    with pytest.raises(ValueError):
-        token_files.unpack(bytes(blob))
-
-
 RULES = [url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"), url_filter.Rule("net/x", "block")]
 
 
