@@ -40,8 +40,9 @@ from .common import shared_dir, small_batches, whole_text
 HEAD = struct.Struct("<4sBBHIQ")
 #: Ids of a chunk, more or less (a chunk ends with a document), and of a block.
 CHUNK_IDS, BLOCK_IDS = 1 << 19, 1 << 16
-#: Bytes of the texts that are encoded at once, but for a longer text.
-PART = 8 << 20
+#: Bytes of an Arrow batch, and of the texts that are encoded at once, but for a longer text:
+#: what a worker holds.
+BATCH = PART = 4 << 20
 #: Words that are encoded as one text.
 RUN = 200
 #: What a tokenizers file must say for its texts to be cut into words: fixed values.
@@ -164,8 +165,7 @@ class WordEncoder:
         )
         if self.by_words:
             self.mark, self.mark_id = max(special)
-            self.plain = Tokenizer.from_file(tokenizer_file)
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for token, i in self.tokenizer.get_vocab().items():
@@ -255,7 +255,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_c
     to `path`: one file per range of ids. The texts are dealt out by range before they
     are encoded, so each is encoded once and only texts are shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -304,7 +304,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     chunks = spark.read.schema("shard int, chunk int, first long, n_ids long, doc_ids array<long>, sizes array<long>, blob binary").parquet(path)
     offset, offsets = 0, []
     for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():  # a row per file
