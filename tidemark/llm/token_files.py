@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -247,7 +248,10 @@ def parts(texts: pa.Array, most: int = PART) -> Iterator[tuple[int, int]]:
         yield first, len(size)
 
 
-_held: dict[str, WordEncoder] = {}
+@lru_cache(2)
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """One for each worker: as a function of the module it is sent by name, not by value."""
+    return WordEncoder(tokenizer_file)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, bits: bool = False) -> None:
@@ -261,10 +265,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, id_c
     rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _held:
-            _held[tokenizer_file] = WordEncoder(tokenizer_file)
-        coder = _held[tokenizer_file]
-        shard, chunk, first = TaskContext.get().partitionId(), 0, 0
+        coder, shard, chunk, first = encoder(tokenizer_file), TaskContext.get().partitionId(), 0, 0
         ids, names, sizes, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
