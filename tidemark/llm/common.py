@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     import tempfile
 
     own = tempfile.mkdtemp(prefix="tidemark-")
@@ -59,3 +61,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def fits(frame: DataFrame, limit: int) -> bool:
+    """Whether the rows take less than the limit, by a count of their bytes: for broadcasts."""
+    used = frame.select(F.sum(F.length(F.to_json(F.struct("*"))) + 64).alias("n")).first()
+    return (used.n or 0) < limit
