@@ -7,12 +7,15 @@ its rarest word, so that one word is the prefix that is joined. A joined word fi
 window's place in the document; windows that would reach over either end are dropped
 (length and positional bounds), and what remains is verified word by word.
 
-The windows of a benchmark are broadcast where they take less than BROADCAST_BYTES, and
-joined by a shuffle of the documents' words beyond that.
+The windows of a benchmark are broadcast where they take less than BROADCAST_BYTES. Beyond
+that the documents' words are shuffled as hashes, and the texts once to the candidates.
 
 Defined results: a null text has no words; an item without words has no windows; equal
-windows of several items count for each; rows with an equal (or null) id and an equal text are judged alike
-and all returned; with an empty benchmark no word is hit.
+windows of several items count for each; ids may be null; rows with an equal (or null) id
+and an equal text are judged alike and all returned; columns of the input that have the
+name of a result (n_words, n_hit, items, contaminated) are replaced, others are kept; a
+very long text is one row, held by a task as its words; with an empty benchmark no word is
+hit; without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import fits, stored, whole_text
 from .quality_rules import let
 
 WINDOW = 13
@@ -49,39 +52,40 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return rows.select("item", F.explode(F.transform(starts, lambda i: F.slice("all", i, size))).alias("words")).distinct()
 
 
-def _fits(frame: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows take less than the limit, by a count of their bytes."""
-    used = frame.select(F.sum(F.length(F.to_json(F.struct("*"))) + 64).alias("n")).first()
-    return (used.n or 0) < limit
-
-
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """id, t (hash of the text), item, start, length: every occurrence of a window."""
     text = whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), pieces(text).alias("all"))
     every = windows(items, size=size)
-    small = lambda x: F.broadcast(x) if _fits(x, broadcast_bytes) else x
+    small = lambda x: F.broadcast(x) if fits(x, broadcast_bytes) else x
     # Words are joined by hash; what is joined is verified word by word below. The outer
     # form of explode keeps Spark from computing the words a second time, for a filter.
     each = every.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("key")).distinct()
-    seen = rows.select(F.explode_outer("all").alias("word")).select(F.xxhash64("word").alias("key")).join(small(each), "key").groupBy("key").agg(F.count("*").alias("n"))
-    # The rarest word of each window, and its place there: the prefix.
+    seen = rows.select(F.explode_outer("all").alias("word")).select(F.xxhash64("word").alias("key")).join(small(each), "key").groupBy("key").agg(F.count("*").alias("seen"))
+    # The rarest word of each window, and its place there: the prefix. Written tables keep no
+    # partitions by word, so that a common word's rows can be split.
+    seen = stored(seen, "seen")
     spread = every.select("item", "words", F.posexplode("words").alias("place", "word")).withColumn("key", F.xxhash64("word"))
     prefix = (
-        spread.join(seen, "key", "left")
+        spread.join(small(seen), "key", "left")
         .groupBy("item", "words")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place", "key")).alias("least"))
-        .filter("least.n > 0")  # a window with a word that no document has occurs nowhere
-        .groupBy(F.col("least.key").alias("key"))
-        .agg(F.collect_list(F.struct("item", F.col("least.place").alias("place"), "words")).alias("due"))
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "place", "key")).alias("least"))
+        .filter("least.seen > 0")  # a window with a word that no document has occurs nowhere
+        .select(F.col("least.key").alias("key"), "item", F.col("least.place").alias("place"), "words")
     )
-    prefix = cut(prefix)  # the plan below reads it more than once
-    found = rows.select("id", "t", "all", F.posexplode_outer("all").alias("at", "word")).withColumn("key", F.xxhash64("word")).join(small(prefix), "key")
-    found = found.select("id", "t", "all", "at", F.explode("due").alias("due"))
-    start, n = F.col("at") - F.col("due.place"), F.size("due.words")
-    bounded = found.filter((start >= 0) & (start + n <= F.size("all")))
-    same = bounded.filter(F.slice("all", start + 1, n) == F.col("due.words"))
-    return same.select("id", "t", F.col("due.item").alias("item"), start.alias("start"), n.alias("length"))
+    prefix = stored(prefix, "prefix")
+    start, n = F.col("at") - F.col("place"), F.size("words")
+    within = (start >= 0) & (start + n <= F.col("count"))
+    found = [F.col("item"), start.alias("start"), n.alias("length")]
+    same = F.slice("all", F.col("start") + 1, F.col("length")) == F.col("words")
+    if fits(prefix, broadcast_bytes):  # no text moves: a word is joined where its text is
+        at = rows.select("id", "t", "all", F.size("all").alias("count"), F.posexplode_outer("all").alias("at", "word")).withColumn("key", F.xxhash64("word"))
+        near = at.join(F.broadcast(prefix), "key").filter(within).select("id", "t", "all", "words", *found)
+        return near.filter(same).select("id", "t", "item", "start", "length")
+    # Words alone are shuffled; then the texts, once, to what is left.
+    at = rows.select("id", "t", F.size("all").alias("count"), F.posexplode_outer("all").alias("at", "word")).select("id", "t", "count", "at", F.xxhash64("word").alias("key"))
+    near = stored(at.join(prefix, "key").filter(within).select(F.col("id").alias("i"), F.col("t").alias("h"), "words", *found).distinct(), "near")
+    return near.join(rows, F.col("i").eqNullSafe(F.col("id")) & (F.col("h") == F.col("t"))).filter(same).select("id", "t", "item", "start", "length")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, share: int = 20, keep_text: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
