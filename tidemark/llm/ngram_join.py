@@ -11,11 +11,17 @@ Keys of few bits, which many documents share, fall behind the cut and are never
 Equal sets are one class from the start. In a group of documents with an equal key no
 pairs are listed: each is compared with the group's best connected document, components
 are formed, and only documents of different components are compared further, until every
-pair that shares a key is verified or joined. Verification is exact, on whole texts.
+pair that shares a key is verified or joined. Where many documents share a passage and
+are not alike, so that far more pairs than documents are left, the groups are dealt anew:
+a linked pair also shares one of the rarest n-grams of either (as many as may differ, and
+one), so documents are grouped by those, and what sets such documents apart is rare. What
+is left then is compared in parts of PART documents a side, none of them larger than
+another. Sketches are compared before texts; verification is exact, on whole texts.
 
 Defined results: a text of fewer words than n, but not none, has one element; without
-words it is linked with nothing; rows with a null id are linked with nothing; rows with
-an equal id are one document that has either text; an empty table gives no rows.
+words, or null, it is linked with nothing; rows with a null id are linked with nothing;
+rows with an equal id are one document that has either text; other columns are not read; a
+very long text is one row, its set in one task; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ from .graph import components
 
 #: Words of a worker's memory, ratio of a size band, blocks to spare (a share of d + 1).
 HELD, BAND, SPARE = 400_000, 1.3, 0.6
-ROUNDS = 2  # of comparing with one document a group, before all that is left is compared
+ROUNDS = 2  # of comparing with one document a group, before groups are dealt anew, and after
+MOST = 4  # pairs for each row of a group that may be compared at once
+PART = 256  # documents on either side of what is compared by one key of a join
 FOLD = 512  # bits of a document's whole sketch, which candidates are compared by
 _M1, _M2, _ONE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,11 +117,17 @@ class Bands:
             block = (spread % np.uint64(blocks)).astype(np.int64)
             bit = (spread >> np.uint64(40)) & np.uint64(4095)  # of the block's 4096
             # A block's bits hashed: bits met twice cancel, as in the sketch.
-            order = np.argsort(block, kind="stable")
-            block, zobrist = block[order], mix(bit[order] + _M2)
+            order = np.argsort(block << 12 | bit.astype(np.int64), kind="stable")
+            block, bit = block[order], bit[order]
+            if (twice := (block[1:] == block[:-1]) & (bit[1:] == bit[:-1])).any():
+                first = np.flatnonzero(np.append(True, ~twice))
+                odd = first[np.diff(np.append(first, len(bit))) % 2 == 1]
+                block, bit = block[odd], bit[odd]
+            zobrist = mix(bit + _M2)
             start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
             bits = np.zeros(blocks, np.uint64)
-            bits[block[start]] = np.bitwise_xor.reduceat(zobrist, start)
+            if len(block):
+                bits[block[start]] = np.bitwise_xor.reduceat(zobrist, start)
             count = np.bincount(block, minlength=blocks)
             key = mix(mix(bits + np.arange(blocks, dtype=np.uint64) * _ONE) + np.uint64(band))
             out.append(key[np.lexsort((key, -count))[: d + 1]])
@@ -166,17 +180,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_keys(sketched: DataFrame) -> DataFrame:
     """key, id, size: the keys that several documents have, by one shuffle of the keys.
     Partitions are ranges of (key, id), so a hot key spreads over as many as it needs."""
-    spark = sketched.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sketched.rdd.getNumPartitions())
     rows = sketched.select(F.explode("keys").alias("key"), "id")
-    near = stored(rows.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "keys")
+    near = stored(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "keys")
     copies = sketched.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
+    copies = stored(copies, "copies")  # else its partitions are kept for the join, and a large class can't be split
     copies = sketched.select("f", "g", "n", "id").join(copies, ["f", "g", "n"]).filter("id <> rep").select("id")
-    near = near.join(copies, "id", "left_anti").distinct()
-    sizes = near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return sized(stored(near.join(copies, "id", "left_anti").distinct(), "near"))
+
+
+def sized(near: DataFrame) -> DataFrame:
+    """key, id, size of the rows (key, id) whose key several documents have."""
+    sizes = stored(near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     return stored(near.join(sizes, "key").select("key", "id", "size"), "groups")
 
 
+def rare_groups(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """key, id, size: documents (id, text) by the rarest elements of their sets, as many as
+    a linked set may lack, and one; rarity is counted over these documents."""
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Shingler(n)
+        for b in batches:
+            for i, x in zip(b.column("id"), b.column("text"), strict=True):
+                t = cut.tokens(x.as_py()).view(np.int64)
+                own = pa.scalar(int(t.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(i, len(t)), pa.repeat(own, len(t)), pa.repeat(pa.scalar(len(t), pa.int64()), len(t)), pa.array(t)], ["id", "f", "n", "token"])
+
+    rows = stored(texts.mapInArrow(run, "id long, f long, n long, token long"), "elements")
+    often = stored(rows.groupBy("token").agg(F.count_distinct("id").alias("df")).filter("df > 1"), "often")
+    both = rows.join(often, "token").groupBy("id", "f", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("held"))
+    # Elements that no other document has come first in the order, and join with nothing.
+    due = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("held"))
+    near = both.select("id", F.explode(F.slice("held", 1, F.greatest(due, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.token").alias("key"), "id").distinct()
+    return sized(stored(near, "near"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """pairs (a, b) with `link`: den * |intersection| >= num * |union| of the whole texts."""
     small_batches(pairs.sparkSession)
@@ -215,31 +254,45 @@ def near_enough(num: int, den: int):
     return (F.least("n", "m") * den >= num * F.greatest("n", "m")) & (apart * (den + num) <= both * (den - num))
 
 
+def _with_sketches(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) those whose sketches leave room for a link."""
+    other = whole.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
+    return pairs.join(whole.withColumnRenamed("id", "a"), "a").join(other, "b").filter(near_enough(num, den)).select("a", "b").distinct()
+
+
 def linked_components(groups: DataFrame, whole: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node, comp over all documents that share a key (groups: key, id, size; whole: id, n,
     sketch)."""
     spark = groups.sparkSession
     done = spark.createDataFrame([], "a long, b long, link boolean")
     comp = spark.createDataFrame([], "node long, comp long")
-    total = groups.count()
-    for k in range(ROUNDS + 1):
+    total, dealt, k = groups.count(), False, 0
+    while True:
         rows = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        cross = 0
         if k:
             # Groups with documents of several components, and how many pairs cross between.
             cells = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            mixed = cells.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
+            mixed = cells.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c").cast("double") * F.col("c")).alias("within"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
             mixed = stored(mixed, "mixed")
-            cross = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2).alias("x")).first().x
+            cross = mixed.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2).alias("x")).first().x
             if not cross:
-                break
-            rows = stored(rows.join(mixed.select("key", F.col("top.comp").alias("top")), "key"), "rest")
-        if k and (cross <= 4 * total or k == ROUNDS):
-            rows = rows.join(whole, "id")
-            other = rows.select("key", F.col("id").alias("other"), F.col("comp").alias("far"), F.col("n").alias("m"), F.col("sketch").alias("other_sketch"))
-            # One side is outside its group's largest component; each pair comes once a key.
+                return comp
+            rows = stored(rows.join(mixed.select("key", "all", F.col("top.comp").alias("top")), "key"), "rest")
+        few = cross <= MOST * total
+        if k and not few and k % ROUNDS == 0 and not dealt:
+            groups, dealt, k = rare_groups(texts.join(rows.select("id").distinct(), "id", "left_semi"), n, num, den), True, k + 1
+            continue
+        last = bool(k) and (few or k >= 2 * ROUNDS)
+        if last:
+            # One side is outside its group's largest component; both sides are cut in parts.
+            parts = F.greatest(F.ceil(F.col("all") / PART), F.lit(1)).cast("int")
+            part = F.pmod(F.xxhash64("id"), parts).cast("int")
+            one = rows.filter("comp <> top").select("key", "id", "comp", "top", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other_part"))
+            two = rows.select("key", F.col("id").alias("other"), F.col("comp").alias("far"), part.alias("other_part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+            sides = lambda x, i, w: x.join(whole.select(F.col("id").alias(i), *[F.col(c).alias(c if w else o) for c, o in (("n", "m"), ("sketch", "other_sketch"))]), i)
             apart = (F.col("comp") != F.col("far")) & ((F.col("far") == F.col("top")) | (F.col("id") < F.col("other")))
-            pairs = rows.filter("comp <> top").join(other, "key").filter(apart & near_enough(num, den))
-            last = True
+            pairs = sides(one, "id", True).join(sides(two, "other", False), ["key", "part", "other_part"]).filter(apart & near_enough(num, den)).select(*_pair("id", "other")).distinct()
         else:
             # The document that shares most with others, of those outside the largest component.
             reach = rows.groupBy("id").agg(F.sum("size").alias("reach"))
@@ -247,15 +300,14 @@ def linked_components(groups: DataFrame, whole: DataFrame, texts: DataFrame, n:
             if k:
                 choice = choice.filter("comp <> top").withColumn("reach", F.xxhash64("id", F.lit(k)))
             best = choice.groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("id"), "comp")).alias("best")).select("key", (-F.col("best.id")).alias("other"), F.col("best.comp").alias("far"))
-            pairs = rows.join(best, "key").filter((F.col("id") != F.col("other")) & (F.col("comp") != F.col("far")))
-            last = False
-        pairs = pairs.select(*_pair("id", "other")).distinct().join(done, ["a", "b"], "left_anti")
-        new = stored(verified(pairs, texts, n, num, den), "pairs")
+            pairs = rows.join(stored(best, "best"), "key").filter((F.col("id") != F.col("other")) & (F.col("comp") != F.col("far"))).select(*_pair("id", "other")).distinct()
+            pairs = _with_sketches(pairs, whole, num, den)
+        new = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "pairs")
         done = done.unionByName(new)
         comp = components(done.filter("link").select("a", "b"))
         if last:
-            break
-    return comp
+            return comp
+        k += 1
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,5 +323,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     comp = linked_components(groups, whole, texts, n, num, den)
     reps = known.groupBy("f", "g", "n").agg(F.min("id").alias("rep"))
     reps = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("f", "g", F.col("n").alias("m"), F.coalesce("comp", "rep").alias("comp"))
+    reps = stored(reps, "classes")
     on = (sketched["f"] == reps["f"]) & (sketched["g"] == reps["g"]) & (sketched["n"] == reps["m"])
     return sketched.join(reps, on, "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("comp")), F.col("id")).alias("component_id"))
