@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, token_counts, token_files, url_filter
+from tidemark.llm import byte_bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, token_counts, token_files
 
 P = pytest.importorskip("public_tokenizers")
 PIECES, RANKS, WORDS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -95,36 +95,6 @@ def test_token_files_come_back(spark, tmp_path, bits):
     assert token_files.read_ids(spark, path).count() == 0
 
 
-RULES = [url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"), url_filter.Rule("net/x", "block")]
-
-
-def test_url_rules_and_parts(spark):
-    urls = ["http://A.Example.ORG/es/1?q#f", "https://example.org/es", "x://net?y", "https://b.net/x#y", "no scheme/x", None, "", "a://b://c/d", "http://xorg/", "://org/"]
-    df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: r for r in url_filter.url_filter(df, RULES, url_filter.Trees()).collect()}
-    want = [("a.example.org", "/es/1", "example.org/es/"), ("example.org", "/es", "org/"), ("net", "", None), ("b.net", "/x", "net/x"), ("", "", None), ("", "", None), ("", "", None), ("b:", "//c/d", None), ("xorg", "/", None), ("org", "/", "org/")]
-    assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(urls))] == want
-    assert got[5].verdict in ("allow", "block")
-    assert url_filter.url_filter(df.limit(0), RULES, url_filter.Trees()).count() == 0
-
-
-def test_trees_learn_on_held_out_urls(spark):
-    r = random.Random(3)
-
-    def url():
-        bad = r.random() < 0.4
-        host = f"{r.choice(['www', 'blog', 'm'])}.{r.choice(['buy-now', 'win7'] if bad and r.random() < 0.8 else ['river', 'stone'])}.{r.choice(['com', 'net'])}"
-        return f"http://{host}/{r.choice('abc')}/{r.randint(1, 9 if not bad else 10**9)}" + ("?a=1&b=2&c=3" if bad and r.random() < 0.7 else ""), "block" if bad else "allow"
-
-    rows = [url() for _ in range(3000)]
-    train = spark.createDataFrame([*rows[:2000], (None, "block"), ("http://x/", None)], "url string, verdict string")
-    model = url_filter.train(train)
-    test = spark.createDataFrame([(i, *x) for i, x in enumerate(rows[2000:])], "page_id long, url string, said string")
-    got = url_filter.url_filter(test, [], model).join(test, "page_id").filter("verdict = said").count()
-    assert got / 1000 > 0.93
-    assert url_filter.train(train.limit(0)).trees == []
-
-
 def brute_quality(x):
     x = x or ""
     w = [y for y in re.split("[\x20\x09-\x0d]+", x) if y]
@@ -157,6 +127,16 @@ def test_frequent_lines_deplete(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def test_a_frequent_line_stays_in_the_first_document_that_passes(spark):
+    r = random.Random(15)
+    banner = prose(r, 60)
+    rows = [(0, banner + "\n" + "again and again " * 100, "host"), (1, "short", "host"), *((i, f"{prose(r, 80)}\n{banner}", "host") for i in range(2, 32))]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), strip=True).collect()}
+    assert got[0].base_failed and got[0].lost_words == 60
+    assert got[2].kept and got[2].text == rows[2][1] and got[2].lost_words == 0
+    assert all(got[i].kept and got[i].text == rows[i][1].split("\n")[0] for i in range(3, 32))
+
+
 def test_frequent_lines_have_a_limit_at_every_size(spark):
     r = random.Random(12)
     banner, copy = prose(r, 60), prose(r, 70)
@@ -346,6 +326,23 @@ def brute_hits(docs, items, size=13):
     return out
 
 
+def test_many_documents_that_share_a_passage_and_are_not_alike(spark):
+    """Their pairs are not listed: the rarest n-grams set them apart."""
+    r = random.Random(21)
+    shared = [prose(r, 20) for _ in range(3)]
+    values = [" ".join([shared[0], prose(r, 4), shared[1], prose(r, 4), shared[2], prose(r, 4)]) for _ in range(2000)]
+    values += [values[7], values[9] + " more", " ".join(values[11].split()[:-1])]
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    seen = []
+    held, ngram_join.rare_groups = ngram_join.rare_groups, lambda *x: seen.append(held(*x)) or seen[-1]
+    try:
+        got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(df, 3, 90, 100).collect()}
+    finally:
+        ngram_join.rare_groups = held
+    assert {i: c for i, c in got.items() if i != c} == {2000: 7, 2001: 9, 2002: 11}
+    assert len(seen) == 1 and seen[0].count() < 40_000
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontamination_equals_brute_force(spark, limit):
     r = random.Random(11)

@@ -2,20 +2,25 @@
 frequency of its lines across the documents of its host.
 
 Lines are normalised (white space squeezed, lower case), hashed, and counted by the
-distinct texts of the host that hold them; so exact copies of a document count once.
-A line in more than LINE_SHARE of the host's distinct texts, and in more than
-LINE_TEXTS of them, is removed from all of the host's documents but the first that
-holds it. A document that loses more than MOST_LOST of its words is depleted and
-rejected, as is one that fails the base rules.
+distinct documents of the host that hold them. A line is frequent in more than
+LINE_DOCUMENTS documents that are more than LINE_SHARE of the host's, and in more than
+LINE_MOST documents whatever their share: the share's limit grows with the host, the other
+holds at every size. A frequent line is removed from all of the host's documents but the
+first that holds it and passes the base rules. A document that loses more than MOST_LOST of
+its words is depleted and rejected, as is one that fails the base rules. (Where the first
+holder of a line is itself depleted by other lines, the line goes with it.)
 
-With `most` (LINE_DOCUMENTS in the corpus pipeline) distinct documents are counted instead
-of texts, and a line in more than `most` documents of its host goes too, whatever its
-share: the share's limit grows with the host, this one holds at every size.
+Texts are read once: their statistics and the hashes of their lines are written to the
+shared folder, and everything that follows reads those.
 
 Defined results: a null text has no words and fails the base rules; a null host is a
-host of its own; rows with an equal (or null) id and an equal text are judged alike and all
-returned; a line that only rows with a null id hold has no first holder and stays; an
-empty table gives no rows.
+host of its own; a document is an id and a text, so rows that repeat both count once, are
+judged alike and all returned; ids may be null: a frequent line that no passing document
+with an id holds stays where the id is null; a very long text is one row (its words and
+lines are arrays of one task, about 30 times its bytes at the most); columns of the input
+that have the name of a result (n_words, word_chars, n_symbols, n_dup_lines,
+n_repeat_words, base_failed, lost_words, kept) are replaced, others are kept; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stored, whole_text
 
-LINE_SHARE, LINE_TEXTS, MOST_LOST = 0.10, 20, 0.5
-LINE_DOCUMENTS = 1000
+LINE_SHARE, LINE_DOCUMENTS, LINE_MOST, MOST_LOST = 0.10, 20, 1000, 0.5
 MIN_WORDS, MOST_REPEATED = 50, 0.5
 #: White space of the word rule: the space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -79,41 +83,41 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop(*taken)
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", share: float = LINE_SHARE, texts: int = LINE_TEXTS, most: int | None = None) -> DataFrame:
-    """The lines that are removed: id, t (hash of the text), at (positions of its lines,
-    split at \\n) and words in them, for the documents that lose any.
-
-    Counts are pre-aggregated before each shuffle; of the counted lines, those above the
-    limits are at most 1 / share of a document's lines for each host, or with `most` one
-    for each `most` of the host's lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null")).alias("host"), whole_text(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
-    line = F.lower(F.btrim(F.regexp_replace("line", SPACES, " "), F.lit(" ")))
-    lines = (
-        rows.select("id", "host", "t", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("line", line)
-        .filter("line != ''")
-        .select("id", "host", "t", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
-    )
-    unit = F.col("t") if most is None else F.struct("id", "t")
-    hosts = rows.groupBy("host").agg(F.count_distinct(unit).alias("host_texts"))
-    counts = lines.groupBy("host", "h", "g").agg(F.count_distinct(unit).alias("in_texts"), F.min("id").alias("first")).filter(F.col("in_texts") > (texts if most is None else min(texts, most)))
-    hot = counts.join(hosts, "host").filter(((F.col("in_texts") > texts) & (F.col("in_texts") > share * F.col("host_texts"))) | (F.lit(False) if most is None else F.col("in_texts") > most)).select("host", "h", "g", "first")
-    lost = lines.join(hot, ["host", "h", "g"]).filter(~F.col("id").eqNullSafe(F.col("first")))
-    lost = lost.groupBy("id", "t", "at").agg(F.max("n").alias("n"))  # repeated rows once
-    return lost.groupBy("id", "t").agg(F.collect_set("at").alias("at"), F.sum("n").alias("words"))
+def hashed_lines(text: Column) -> Column:
+    """at (position among the lines, split at \\n), h, g (hashes) and n (words) of every line with words."""
+    squeezed = lambda x: F.lower(F.btrim(F.regexp_replace(x, SPACES, " "), F.lit(" ")))
+    hashed = lambda line, at: let(squeezed(line), lambda x: F.struct(at.alias("at"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"), (x == "").alias("none")))
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), hashed), lambda x: ~x["none"]), lambda x: x.dropFields("none"))
+
+
+def frequent_lines(rows: DataFrame, share: float = LINE_SHARE, documents: int = LINE_DOCUMENTS, most: int = LINE_MOST) -> DataFrame:
+    """Of rows (row, id, t, host, passed, lines) the lines that are removed: row, at (their
+    positions), words (in them), for the rows that lose any.
+
+    Counts are pre-aggregated before each shuffle. Frequent lines are at most 1 / share of a
+    document's lines for each host, and one for each `most` of the host's lines."""
+    each = rows.select("row", "id", "t", "host", "passed", F.explode("lines").alias("x")).select("row", "id", "t", "host", "passed", "x.at", "x.h", "x.g", "x.n")
+    hosts = rows.select("host", "id", "t").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    held = each.select("host", "h", "g", "id", "t", "passed").distinct().groupBy("host", "h", "g").agg(F.count("*").alias("docs"), F.min(F.when(F.col("passed"), F.col("id"))).alias("first"))
+    held = held.filter(F.col("docs") > min(documents, most)).join(hosts, "host")
+    frequent = held.filter(((F.col("docs") > documents) & (F.col("docs") > share * F.col("host_docs"))) | (F.col("docs") > most)).select("host", "h", "g", "first")
+    frequent = stored(frequent, "frequent")  # else its partitions are kept for the join, and a hot line can't be split
+    lost = each.join(frequent, ["host", "h", "g"]).filter(~F.col("id").eqNullSafe(F.col("first")))
+    return lost.groupBy("row").agg(F.collect_list("at").alias("at"), F.sum("n").alias("words"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", most_lost: float = MOST_LOST, strip: bool = False, **limits) -> DataFrame:
     """docs with the base statistics, lost_words, and kept. With strip, the text has its
     frequent lines removed; otherwise the text column is dropped."""
-    lost = frequent_lines(docs, id_col, host_col, text_col, **limits).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("at").alias("__at"), F.col("words").alias("__lost"))
-    rows = base_stats(docs, text_col).withColumn("__hash", F.xxhash64(whole_text(text_col)))
-    if not strip:
-        rows = rows.drop(text_col)
-    out = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (rows["__hash"] == lost["__t"]), "left")
+    text = whole_text(text_col)
+    host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null"))
+    rows = base_stats(docs, text_col).withColumns({"__row": F.monotonically_increasing_id(), "__t": F.xxhash64(text), "__host": host, "__lines": hashed_lines(text)})
+    rows = stored(rows if strip else rows.drop(text_col), "judged")  # a row's number is fixed as it is written
+    lost = frequent_lines(rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col("__t").alias("t"), F.col("__host").alias("host"), (~F.col("base_failed")).alias("passed"), F.col("__lines").alias("lines")), **limits)
+    out = rows.drop("__t", "__host", "__lines").join(lost.select(F.col("row").alias("__row"), F.col("at").alias("__at"), F.col("words").alias("__lost")), "__row", "left")
     out = out.withColumn("lost_words", F.coalesce("__lost", F.lit(0)).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= most_lost * F.col("n_words")))
     if strip:
         less = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__at", i)), "\n")
         out = out.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(less))
-    return out.drop("__id", "__t", "__at", "__lost", "__hash")
+    return out.drop("__row", "__at", "__lost")

@@ -8,9 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
-from . import byte_bpe, chat_format, decontaminate, line_dedup, ngram_join, quality_rules, sharding, token_counts, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, line_dedup, ngram_join, pipeline as corpus, quality_rules, sharding, token_counts, token_files, url_filter
 from .common import table
 
 #: The rules of the URL query: fixed values.
@@ -45,6 +43,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3 that SQL can express: host, path and longest rule."""
+    return url_filter.url_rules(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", F.col("listed").alias("rule_verdict"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern())
 
@@ -92,12 +95,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_line_dedup, op3_url_filter, op4_byte_bpe, op5_token_files, op6_ngram_join, op7_decontaminate, op8_chat_format, op9_quality_rules, op10_sharding, pipeline)
+    for f in (op1_token_counts, op2_line_dedup, op3_url_filter, op4_byte_bpe, op5_token_files, op6_ngram_join, op7_decontaminate, op8_chat_format, op9_quality_rules, op10_sharding, pipeline, url_rules)
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -111,19 +114,20 @@ g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] A
       FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
-l AS (SELECT doc_id, host, text, line, trim(lower(regexp_replace(line, '{_SPACES}', ' ', 'g'))) AS norm
-      FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+b AS (SELECT n.doc_id, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM n LEFT JOIN c ON n.doc_id = c.doc_id),
+l AS (SELECT doc_id, host, line, trim(lower(regexp_replace(line, '{_SPACES}', ' ', 'g'))) AS norm
+      FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY 1),
-h AS (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY 1),
-f AS (SELECT host, norm, count(DISTINCT text) AS in_texts, min(doc_id) AS first FROM l GROUP BY 1, 2),
-hot AS (SELECT f.host, norm, first FROM f JOIN h ON f.host = h.host WHERE in_texts > {quality_rules.LINE_TEXTS} AND in_texts > {quality_rules.LINE_SHARE} * host_texts),
-lost AS (SELECT doc_id, sum(len(string_split(l.norm, ' '))) AS lost_words FROM l JOIN hot ON l.host = hot.host AND l.norm = hot.norm WHERE doc_id <> first GROUP BY 1),
+h AS (SELECT host, count(*) AS host_docs FROM d GROUP BY 1),
+f AS (SELECT host, norm, count(DISTINCT l.doc_id) AS docs, min(CASE WHEN NOT base_failed THEN l.doc_id END) AS first FROM l JOIN b ON l.doc_id = b.doc_id GROUP BY 1, 2),
+hot AS (SELECT f.host, norm, first FROM f JOIN h ON f.host = h.host
+        WHERE docs > {quality_rules.LINE_DOCUMENTS} AND docs > {quality_rules.LINE_SHARE} * host_docs OR docs > {quality_rules.LINE_MOST}),
+lost AS (SELECT doc_id, sum(len(string_split(l.norm, ' '))) AS lost_words FROM l JOIN hot ON l.host = hot.host AND l.norm = hot.norm WHERE doc_id IS DISTINCT FROM first GROUP BY 1),
 s AS (SELECT d.doc_id, n_words, word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_words, 0) AS lost_words
-      FROM d JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id)
+             coalesce(n_repeat_words, 0) AS n_repeat_words, base_failed, coalesce(lost_words, 0) AS lost_words
+      FROM d JOIN n ON d.doc_id = n.doc_id JOIN b ON d.doc_id = b.doc_id LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN u ON d.doc_id = u.doc_id LEFT JOIN lost ON d.doc_id = lost.doc_id)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_words <= {quality_rules.MOST_LOST} * n_words AS kept, lost_words::BIGINT AS lost_words
+       base_failed, NOT base_failed AND lost_words <= {quality_rules.MOST_LOST} * n_words AS kept, lost_words::BIGINT AS lost_words
 FROM s
 """
 
@@ -160,4 +164,13 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM t GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_quality_rules": OP9_SQL}
+URL_RULES_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rule, said) AS (VALUES {", ".join(f"('{r.text}', '{r.verdict}')" for r in URL_RULES)}),
+f AS (SELECT page_id, rule, said, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule DESC) AS k
+      FROM p JOIN r ON ('.' || host LIKE '%.' || split_part(rule, '/', 1)) AND starts_with(path, substr(rule, strpos(rule, '/'))))
+SELECT p.page_id, host, path, rule, said AS rule_verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {"url_rules": URL_RULES_SQL, "op7_decontaminate": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_quality_rules": OP9_SQL}
