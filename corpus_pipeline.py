@@ -1,62 +1,7 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, benchmark
-decontamination, and byte-level BPE with its decoding, over all documents.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as
-Parquet to the shared folder and reads again as the next stage's docs. All stages but the
-last return the columns of documents; n_chars follows where a text has changed.
-"""
+"""The corpus pipeline over documents; its stages are in tidemark/llm/pipeline.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from tidemark.llm.common import stored, table
-
-#: Patience alignment has no SQL form; the stages are tested against brute force instead.
-ORACLE_SQL = None
-
-
-def _changed(out: DataFrame, changed: str, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.expr(changed), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; frequent lines of a host go from those that stay."""
-    return _changed(quality_rules.quality_rules(docs, strip=True, most=quality_rules.LINE_DOCUMENTS).filter("kept"), "lost_words > 0", docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Blocks of lines that an earlier document has go; a document left with a rest goes."""
-    return _changed(line_dedup.line_dedup(docs).filter("kept"), "n_removed > 0", docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 the one with the least id stays."""
-    found = ngram_join.jaccard_components(docs, n=5, num=80, den=100).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
-
-
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=True).filter("NOT contaminated").select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every document that is left."""
-    import public_tokenizers
-
-    return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
-
-
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", benchmark), ("byte_level_bpe", tokens)]
-
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
