@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
@@ -49,8 +51,7 @@ def pairs_confused(counts: DataFrame) -> DataFrame:
 def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """auc by the rank sum, ties at their mean rank: one row."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(positive).alias("p"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.withColumn("r", before + (F.col("n") + 1) / 2).agg(F.sum(F.col("p") * F.col("r")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    sums = ranks.running(counts, [F.col("s")], ["n"]).withColumn("r", F.col("before_n") + (F.col("n") + 1) / 2).agg(F.sum(F.col("p") * F.col("r")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return sums.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
 
@@ -73,3 +74,15 @@ def threshold_grid(df: DataFrame, actual: str, score: str, lo: int, hi: int) ->
 def correlation(x: str, y: str) -> Column:
     """Pearson's r, null where either side is constant."""
     return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """rho and n over the rows that have both: Pearson's r of mid ranks, from counts of pairs."""
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("k"))
+    rank = lambda c: ranks.mid_ranks(pairs, c, weight="k").select(c, F.col("mid_rank").alias(f"r{c}"))
+    j = pairs.join(rank("x"), "x").join(rank("y"), "y")
+    w = F.col("k")
+    m = j.agg(F.sum(w).alias("n"), *[F.sum(w * c).alias(name) for name, c in {"sx": F.col("rx"), "sy": F.col("ry"), "xx": F.col("rx") * F.col("rx"), "yy": F.col("ry") * F.col("ry"), "xy": F.col("rx") * F.col("ry")}.items()])
+    n = F.col("n")
+    spread = (n * F.col("xx") - F.col("sx") * F.col("sx")) * (n * F.col("yy") - F.col("sy") * F.col("sy"))
+    return m.select(F.when(spread > 0, (n * F.col("xy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)).alias("rho"), n.alias("n"))

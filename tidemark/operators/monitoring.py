@@ -3,14 +3,14 @@ evidence near an event, and cases classified by their signature."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, stable_id
-from . import keys, series
+from . import keys, ranks, series
 from .cleaning import dedupe_by_regime
 
 
@@ -85,3 +85,92 @@ def cases(df: DataFrame, group: str, at: str, value: str, signs: dict[str, Colum
     for s in signs:
         quiet = quiet & (F.coalesce(f"z_{s}", F.lit(0.0)) < 2)
     return low.withColumn("signature", F.when(quiet, "no_signature").otherwise(strong)).select(group, "date", "n", "mean", "z", *[f"z_{s}" for s in signs], "signature")
+
+
+def crossed(df: DataFrame, by: str, measures: dict[str, str]) -> DataFrame:
+    """by, n, share of all rows and the mean of each measure (name -> column), to 4 digits."""
+    rows = df.groupBy(by).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(k) for k, c in measures.items()])
+    total = rows.agg(F.sum("n").alias("__all"))
+    return rows.crossJoin(F.broadcast(total)).select(by, "n", F.round(F.col("n") / F.col("__all"), 4).alias("share"), *measures)
+
+
+def against_ratings(df: DataFrame, flag: str, rating: str) -> DataFrame:
+    """What a rule selects, held against ratings that it does not read: one row."""
+    hit, r = F.col(flag), F.col(rating)
+    own, rest = F.avg(F.when(hit, r)), F.avg(F.when(~hit, r))
+    five = F.avg(F.when(hit, (F.coalesce(r, F.lit(0)) == 5).cast("int")))
+    columns = {"share": F.avg(hit.cast("int")), "mean_rating": own, "five_star_share": five, "baseline": rest, "contrast": rest - own}
+    return df.agg(F.count("*").alias("n"), F.count_if(hit).alias("selected"), *[F.round(c, 4).alias(k) for k, c in columns.items()])
+
+
+def first_contained(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """df with name: the first of the names, in order, that the text contains; rows without
+    one go. Distinct texts are compared with the names, which are a list of brands."""
+    each = df.groupBy(text).agg(F.count("*").alias("__n"))
+    found = each.join(F.broadcast(names.filter(F.length(name) > 0)), F.contains(F.col(text), F.col(name))).groupBy(text).agg(F.min(name).alias(name))
+    return df.join(found, text)
+
+
+def headline_evidence(events: DataFrame, news: DataFrame, fails: Callable[[Column], Column], days: int = 2) -> DataFrame:
+    """events (event, brand, day) with the headlines (news: day, asked, says) within `days`:
+    how many there are, name the brand as a word, also report a failure, and were returned
+    by the brand's own query; and the strongest tier that has any. Headlines of a day are
+    counted by text before the join."""
+    said = news.groupBy("day", "asked", "says").agg(F.count("*").alias("k")).withColumn("fails", fails(F.col("says")))
+    near = events.select("event", "brand", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).join(said, "day")
+    names = F.regexp_count("says", F.concat(F.lit(r"(?iu)\b\Q"), F.col("brand"), F.lit(r"\E\b"))) > 0
+    total = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    found = near.withColumn("names", names).groupBy("event").agg(F.sum("k").alias("headlines"), total(F.col("names")).alias("naming"), total(F.col("names") & F.col("fails")).alias("failing"), total(F.col("names") & F.col("fails") & (F.col("asked") == F.col("brand"))).alias("own_query"))
+    out = events.select("event").join(found, "event", "left").na.fill(0)
+    return out.withColumn("tier", F.when(F.col("own_query") > 0, "own query").when(F.col("failing") > 0, "named").otherwise("none"))
+
+
+def incidents(raw: DataFrame, started: str = "started_utc", observed: str = "observed_utc") -> DataFrame:
+    """raw with started: when an incident began, else when it was seen; without either it goes."""
+    return raw.withColumn("started", F.coalesce(F.col(started).try_cast("timestamp"), F.col(observed).try_cast("timestamp"))).filter("started IS NOT NULL")
+
+
+def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, list[str]], chain: Sequence[str], key: str, days: int = 2, most: int = 8) -> DataFrame:
+    """Incidents (key, started, entity, sector, tier) within `days` of an event (event, ts,
+    brand, domain) that bear on it: the entity has the brand as a word, the sector covers the
+    domain, or it is a direct vendor of a domain in `chain`, which is context only. The first
+    `most` of an event, those that corroborate before the others."""
+    seconds = lambda c: F.unix_micros(c)
+    width = days * 86_400 * 1_000_000
+    left = found.select(key, "entity", "sector", "tier", seconds(F.col("started")).alias("__at"))
+    right = events.select("event", "brand", "domain", (seconds(F.col("ts")) - width).alias("__lo"), (seconds(F.col("ts")) + width).alias("__hi"))
+    near = keys.interval_join(left, right, "__at", "__lo", "__hi", 2 * width + 1)
+    word = F.regexp_count(F.lower("entity"), F.concat(F.lit(r"(?u)\b\Q"), F.lower("brand"), F.lit(r"\E\b"))) > 0
+    covers = F.lit(False)
+    for domain, of in sectors.items():
+        covers = covers | ((F.col("domain") == domain) & F.col("sector").isin(*of))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    near = near.withColumns({"__name": yes(word & (F.length("brand") > 3)), "__sector": yes(covers), "__chain": yes((F.col("tier") == "direct") & F.col("domain").isin(*chain))}).filter("__name OR __sector OR __chain")
+    matched = F.when(F.col("__name"), "entity").when(F.col("__sector"), "sector").otherwise("supply_chain_tier")
+    out = near.select("event", key, "entity", matched.alias("matched_on"), (F.col("__name") | F.col("__sector")).alias("corroborates"))
+    return ranks.top_k(out, ["event"], [F.col("corroborates").desc(), F.col(key)], most)
+
+
+def attention_evidence(events: DataFrame, views: DataFrame, days: int = 2, least: int = 5) -> DataFrame:
+    """events (brand, day) with the mean of views (hint, date, views) within `days`, over
+    hints that hold the brand's first word, against the median of all other days."""
+    word = F.lower(F.substring_index("brand", " ", 1))
+    hints = views.select("hint").distinct()
+    names = events.select("brand").distinct().join(F.broadcast(hints), F.contains(F.lower("hint"), word)).select("brand", "hint")  # two lists of names
+    daily = views.join(names, "hint").groupBy("brand", "date").agg(F.sum("views").alias("views"))
+    each = events.join(daily, "brand").withColumn("__near", F.abs(F.datediff("day", "date")) <= days)
+    out = each.groupBy("brand", "day").agg(F.avg(F.when(F.col("__near"), F.col("views"))).alias("here"), F.median(F.when(~F.col("__near"), F.col("views"))).alias("usual"), F.count_if(~F.col("__near")).alias("__n"))
+    ratio = F.col("here") / F.greatest("usual", F.lit(1))
+    out = out.filter((F.col("__n") >= least) & F.col("here").isNotNull())
+    return out.select("brand", "day", F.round("here", 1).alias("here"), F.round("usual", 1).alias("usual"), F.round(ratio, 2).alias("ratio"), ((ratio >= 1.25) | (ratio <= 0.8)).alias("corroborates"))
+
+
+def replies(df: DataFrame, group: str, replied: str, rating: str, least: int) -> DataFrame:
+    """group, n, reply_rate, mean_rating, and Welch's t of the ratings with and without a reply."""
+    x, yes = F.col(rating).cast("double"), F.col(replied)
+    part = lambda c, v: F.when(c, v)
+    sums = {f"{k}{e}": f(part(c, v)) for e, c in (("1", yes), ("0", ~yes)) for k, f, v in (("n", F.count, x), ("s", F.sum, x), ("q", F.sum, x * x))}
+    own = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(yes.cast("int")).alias("rate"), F.avg(x).alias("mean"), *[c.alias(f"__{k}") for k, c in sums.items()]).filter(F.col("n") >= least)
+    c = lambda k: F.col(f"__{k}")
+    t = series.welch(c("n0"), c("s0"), c("q0"), c("n1"), c("s1"), c("q1"))["t"]
+    return own.select(group, "n", F.round("rate", 4).alias("reply_rate"), F.round("mean", 4).alias("mean_rating"), F.round(c("s1") / c("n1") - c("s0") / c("n0"), 6).alias("difference"), F.round(t, 6).alias("t"))

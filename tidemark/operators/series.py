@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def daily(df: DataFrame, at: str, keys: list[str] | None = None, **measures: Column) -> DataFrame:
     return df.groupBy(*(keys or []), F.to_date(at).alias("date")).agg(F.count("*").alias("n"), *[m.alias(k) for k, m in measures.items()])
@@ -63,7 +65,7 @@ def discoveries(tests: DataFrame, p: str, q: float) -> DataFrame:
     """Benjamini-Hochberg: tests with kept. Counts of equal p-values are cumulated, so the
     ordered table is one of distinct p-values."""
     counts = tests.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
-    ranked = counts.withColumn("__r", F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranks.running(counts, [F.col("__p")], ["__n"]).withColumn("__r", F.col("before___n") + F.col("__n"))
     total = counts.agg(F.sum("__n").alias("__m"))
     limit = ranked.crossJoin(total).filter(F.col("__p") <= q * F.col("__r") / F.col("__m")).agg(F.max("__p").alias("__limit"))
     return tests.crossJoin(F.broadcast(limit)).withColumn("kept", F.coalesce(F.col(p) <= F.col("__limit"), F.lit(False))).drop("__limit")

@@ -178,14 +178,16 @@ def left_one_to_one(t: Tables):
     return t.customer.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-@query("""SELECT e.event_id, count(*) AS near FROM events e JOIN (SELECT o_orderkey, (epoch(o_orderdate)::BIGINT // 86400) % 30 AS d FROM orders WHERE o_totalprice > 450000) o
-ON (epoch(e.ts)::BIGINT // 86400) % 30 BETWEEN o.d - 2 AND o.d + 2 WHERE e.value > 95 GROUP BY 1""")
+@query("""SELECT e.event_id, count(*) AS near FROM events e JOIN events c ON c.ts BETWEEN e.ts - INTERVAL 2 HOUR AND e.ts + INTERVAL 2 HOUR
+WHERE e.event_type = 'purchase' AND c.event_type = 'error' AND e.value > 100 AND c.value > 100 GROUP BY 1""")
 def range_join_evidence(t: Tables):
-    """Events with what happened within two days of them: an interval join over buckets."""
-    day = lambda c: F.floor(F.unix_timestamp(c) / 86400) % 30
-    e = t.events.filter("value > 95").select("event_id", day("ts").alias("at"))
-    o = t.orders.filter("o_totalprice > 450000").select(day("o_orderdate").alias("d")).select((F.col("d") - 2).alias("lo"), (F.col("d") + 2).alias("hi"))
-    return keys.interval_join(e, o, "at", "lo", "hi", 5).groupBy("event_id").agg(F.count("*").alias("near"))
+    """Purchases with the errors within two hours of them: an interval join over buckets of
+    time, whose number grows with the span of the events."""
+    hours, at = 2 * 3_600_000_000, F.unix_micros("ts")
+    big = t.events.filter("value > 100")
+    e = big.filter("event_type = 'purchase'").select("event_id", (at - hours).alias("lo"), (at + hours).alias("hi"))
+    c = big.filter("event_type = 'error'").select(at.alias("at"))
+    return keys.interval_join(c, e, "at", "lo", "hi", 2 * hours).groupBy("event_id").agg(F.count("*").alias("near"))
 
 
 ALIASES = {"STANDARD": "standard", "STANDARD BRASS": "brass", "PROMO": "promo", "TIN": "tin", "SMALL": "small", "ECONOMY": "economy"}
@@ -249,14 +251,10 @@ def weighted_mean(t: Tables):
 
 @query("SELECT event_type, list_sort(list(value))[floor(count(*) * 0.1)::INT + 1] AS p10, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS p50, list_sort(list(value))[floor(count(*) * 0.9)::INT + 1] AS p90 FROM events GROUP BY 1")
 def nearest_rank(t: Tables):
-    """Percentiles by nearest rank from counts of values, so no group is one list."""
-    c = t.events.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    w = W.partitionBy("event_type").orderBy("value")
-    c = c.withColumns({"hi": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("n").over(W.partitionBy("event_type"))})
-    pick = lambda q: F.min(F.when(F.col("hi") >= F.floor(F.col("all") * q) + 1, F.col("value")))
-    return c.groupBy("event_type").agg(pick(0.1).alias("p10"), pick(0.5).alias("p50"), pick(0.9).alias("p90"))
+    """Percentiles by nearest rank from counts of values, however many a group has."""
+    return ranks.quantiles(t.events, ["event_type"], "value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, nearest=True)
 
 
 @query("SELECT event_type, median(value) AS median, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1")
 def exact_quantiles(t: Tables):
-    return t.events.groupBy("event_type").agg(F.median("value").alias("median"), F.percentile("value", F.lit(0.9)).alias("p90"))
+    return ranks.quantiles(t.events, ["event_type"], "value", {"median": 0.5, "p90": 0.9})

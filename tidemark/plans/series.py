@@ -138,13 +138,12 @@ SELECT round(sum((n - e) * (n - e) / e), 6) AS stat, round(sqrt(sum((n - e) * (n
 def cramers_v(t: Tables):
     """Association of two columns from the counts of their values."""
     c = t.orders.groupBy(F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b")).agg(F.count("*").alias("n"))
-    a, b = c.groupBy("a").agg(F.sum("n").alias("x")), c.groupBy("b").agg(F.sum("n").alias("y"))
-    g = c.agg(F.sum("n").alias("t"), F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb"))
-    cells = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(g)).join(c, ["a", "b"], "left")  # values by values, not rows by rows
-    e = F.col("x") * F.col("y") / F.col("t")
-    n = F.coalesce("n", F.lit(0))
-    s = cells.agg(F.sum((n - e) * (n - e) / e).alias("s"), F.max("t").alias("t"), F.max(F.least("ka", "kb")).alias("k"))
-    return s.select(F.round("s", 6).alias("stat"), F.round(F.sqrt(F.col("s") / (F.col("t") * (F.col("k") - 1))), 6).alias("v"))
+    x, y = c.groupBy("a").agg(F.sum("n").alias("x")), c.groupBy("b").agg(F.sum("n").alias("y"))
+    g = c.agg(F.sum("n").alias("t"), F.least(F.count_distinct("a"), F.count_distinct("b")).alias("k"))
+    # Over all cells, empty ones too, (n - e)^2 / e sums to n^2 / e over those that are not empty, less the total.
+    s = c.join(x, "a").join(y, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("x") * F.col("y"))).alias("s")).crossJoin(F.broadcast(g))
+    stat = F.col("t") * F.col("s") - F.col("t")
+    return s.select(F.round(stat, 6).alias("stat"), F.round(F.sqrt(stat / (F.col("t") * (F.col("k") - 1))), 6).alias("v"))
 
 
 @query("SELECT round(sum((n - e) * (n - e) / e), 6) AS stat, count(*) - 1 AS dof FROM (SELECT n, avg(n) OVER () AS e FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))")
@@ -192,10 +191,9 @@ def ks_distance(t: Tables):
     """Two-sample distance from counts of distinct values."""
     a = F.col("event_type") == "click"
     c = t.events.groupBy("value").agg(F.count_if(a).alias("a"), F.count_if(~a).alias("b"))
-    at = ranks.numbered(c, [F.col("value")], "i")
-    w = W.orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    at = ranks.running(c, [F.col("value")], ["a", "b"])
     n = c.agg(F.sum("a").alias("x"), F.sum("b").alias("y"))
-    return at.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w)}).crossJoin(F.broadcast(n)).agg(F.round(F.max(F.abs(F.col("ca") / F.col("x") - F.col("cb") / F.col("y"))), 6).alias("d"))
+    return at.withColumns({"ca": F.col("before_a") + F.col("a"), "cb": F.col("before_b") + F.col("b")}).crossJoin(F.broadcast(n)).agg(F.round(F.max(F.abs(F.col("ca") / F.col("x") - F.col("cb") / F.col("y"))), 6).alias("d"))
 
 
 @query("SELECT round(stddev_samp(x), 6) AS sd_before, round(stddev_samp(coalesce(x, m)), 6) AS sd_after, count_if(x IS NULL) AS filled FROM (SELECT CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END AS x FROM events), (SELECT median(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END) AS m FROM events)")
