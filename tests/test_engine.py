@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import rules, stats, text
+from tidemark.functions import lexicon, posts, rules, stats, text
 from tidemark.operators import cleaning, keys, metrics, ranks, series
 from tidemark.sources import files
 from tidemark.streaming import windows
@@ -243,7 +243,7 @@ def test_text_functions(spark):
     assert one(spark, "took 3 days, or 50 hours, not 900 weeks", text.longest_hours(x))[0] == 72.0
     assert one(spark, "no time", text.longest_hours(x))[0] is None
     assert one(spark, "RT @bob: Sooooo bad!!! #NotGood https://a.b/c 12,5 :)", text.normalise(x))[0] == "soo bad! not good url num happy"
-    assert one(spark, "i do not like this one at all. really good", F.array_join(text.mark_negation(F.split(x, " ")), " "))[0] == "i do not like_NEG this_NEG one_NEG at_NEG all. really good"
+    assert one(spark, "i do not like this one at all. really good", F.array_join(posts.mark_negation(F.split(x, " "), suffix="_NEG"), " "))[0] == "i do not like_NEG this_NEG one_NEG at_NEG all. really good"
     assert one(spark, "aba", text.substrings(x, 2, 3))[0] == ["ab", "ba", "aba"]
     assert one(spark, None, text.strip(x), text.nfkc(x), text.word_count(x))[:2] == (None, None)
     assert set(text.surface(x)) == {"chars", "words", "exclamations", "questions", "caps_runs", "elongations", "hashtags", "mentions", "urls", "digits", "upper_share"}

@@ -58,13 +58,33 @@ def mine_triggers(rows: DataFrame, chunks: str, label: str, target: str, precisi
     shared_dir(rows.sparkSession)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(chunks).alias("chunks"), (F.col(label) == target).alias("hit")).checkpoint()
     each = rows.select("row", "hit", F.explode("chunks").alias("chunk"))
-    stats = each.groupBy("chunk").agg(F.count("*").alias("df"), F.count_if("hit").alias("in")).filter((F.col("in") >= least) & (F.col("in") >= precision * F.col("df")))
+    stats = each.groupBy("chunk").agg(F.count("*").alias("df"), F.count_if("hit").alias("in")).filter((F.col("df") >= least) & (F.col("in") >= precision * F.col("df")))
     posts = each.filter("hit").join(stats, "chunk").select("row", "chunk", "df", "in").checkpoint()
     out: list[str] = []
     while len(out) < most:
-        best = posts.groupBy("chunk").agg(F.count("*").alias("gain"), F.max(F.col("in") / F.col("df")).alias("purity"), F.max("in").alias("support")).orderBy(F.desc("gain"), F.desc("purity"), F.desc("support"), "chunk").first()
+        best = posts.groupBy("chunk").agg(F.count("*").alias("gain"), F.max(F.col("in") / F.col("df")).alias("purity"), F.max("df").alias("support")).orderBy(F.desc("gain"), F.desc("purity"), F.desc("support"), "chunk").first()
         if best is None or best.gain < 1:
             break
         out.append(best.chunk)
         posts = posts.join(posts.filter(F.col("chunk") == best.chunk).select("row"), "row", "left_anti").checkpoint()
     return out
+
+
+def peel(rows: DataFrame, text: str, chunks: str, label: str, classes: Sequence[str], **options) -> dict[str, list[str]]:
+    """Triggers of each class in order of priority; texts that hold a trigger of a class are
+    out of the search for the next."""
+    found: dict[str, list[str]] = {}
+    for name in classes:
+        found[name] = mine_triggers(rows, chunks, label, name, **options)
+        rows = rows.filter(~any_of(F.col(text), found[name]))
+    return found
+
+
+def fidelity(rows: DataFrame, text: Column, truth: Column, triggers: Sequence[tuple[str, Sequence[str]]], default: str) -> DataFrame:
+    """How far the ordered triggers explain a label: n, fidelity, mismatches, the share of
+    texts that a trigger decides, and of those that only a part of a word decides: one row."""
+    said = switch(text, triggers, default)
+    off = misfire(text, triggers)
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    per = F.try_divide(F.count_if(off), F.count_if(said != default))
+    return rows.agg(F.count("*").alias("n"), share(said == truth).alias("fidelity"), F.count_if(said != truth).alias("mismatches"), share(said != default).alias("trigger_rate"), share(off).alias("artefact_rate"), F.round(per, 6).alias("artefact_share"))

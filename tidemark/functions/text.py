@@ -113,22 +113,6 @@ def normalise(c: Column) -> Column:
     return F.lower(squeeze(c))
 
 
-NEGATORS = ("not", "no", "never", "nothing", "cannot", "can't", "don't", "won't", "isn't", "didn't")
-
-
-def mark_negation(words: Column, window: int = 4, negators: tuple[str, ...] = NEGATORS) -> Column:
-    """words with _NEG on up to `window` of them after a negator, until the clause ends."""
-    state = F.aggregate(
-        words,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("left")),
-        lambda s, w: F.struct(
-            F.concat(s["out"], F.array(F.when((s["left"] > 0) & ~w.isin(*negators), F.concat(w, F.lit("_NEG"))).otherwise(w))).alias("out"),
-            F.when(w.isin(*negators), F.lit(window)).when(F.rlike(w, F.lit(r"[.,;:!?]\z")), F.lit(0)).otherwise(F.greatest(s["left"] - 1, F.lit(0))).alias("left"),
-        ),
-    )
-    return state["out"]
-
-
 def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lexicon, posts, rules, text
 from ..operators import features, metrics, ranks
 from .registry import Tables, query
 
@@ -53,11 +54,11 @@ def grouped_folds(t: Tables):
     return ranks.folds(t.documents.select("doc_id", "text", "source"), "text", "source", 5).select("doc_id", "fold")
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, term, count(*) AS c FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1 HAVING count(*) >= 2),
-n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, tf.term, (1 + ln(c)) * (ln((1 + n) / (1 + d)) + 1) AS v FROM tf JOIN df ON tf.term = df.term, n), s AS (SELECT doc_id, sqrt(sum(v * v)) AS z FROM x GROUP BY 1)
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS c FROM w GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT count(*) AS n FROM documents), x AS (SELECT doc_id, tf.term, (1 + ln(c)) * (ln((1 + n) / (1 + d)) + 1) AS v FROM tf JOIN df ON tf.term = df.term, n), s AS (SELECT doc_id, sqrt(sum(v * v)) AS z FROM x GROUP BY 1)
 SELECT doc_id, term, round(v / z, 6) AS weight FROM (SELECT x.doc_id, term, v, z, row_number() OVER (PARTITION BY x.doc_id ORDER BY round(v / z, 9) DESC, term) AS r FROM x JOIN s ON x.doc_id = s.doc_id) WHERE r <= 3""")
 def tfidf_topk(t: Tables):
-    w = features.tfidf(t.documents.filter("lang = 'en'"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), least=2)
+    w = features.tfidf(t.documents, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0)), least=2)
     return ranks.top_k(w.withColumn("w9", F.round("weight", 9)), ["doc_id"], [F.desc("w9"), F.col("term")], 3).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -82,3 +83,132 @@ def threshold_rule(t: Tables):
     """The neutral class from a threshold on, else the likelier of the others, ties negative."""
     share = F.col("doc_id") % 10  # in tenths of what the neutral class leaves
     return _scored(t).select("doc_id", F.when(F.col("s") >= 0.66, "neutral").when(share >= 10 - share, "negative").otherwise("positive").alias("label"))
+
+
+WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_'#]*[\p{L}\p{N}_]"
+#: The labelled documents, lower case without accents; and terms from counts tf (doc_id, term, c), weighted.
+_PLAIN = "d AS (SELECT doc_id, strip_accents(lower(text)) AS x FROM documents JOIN labels USING (doc_id))"
+
+
+def _weighted(least: int) -> str:
+    return f"""df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1 HAVING count(*) >= {least}), n AS (SELECT count(*) AS n FROM d), v AS (SELECT doc_id, tf.term, (1 + ln(c)) * (ln((1 + n) / (1 + d)) + 1) AS v FROM tf JOIN df ON tf.term = df.term, n),
+w AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS weight FROM v)"""
+
+
+_TOP = "SELECT doc_id, term, round(weight, 6) AS weight FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) <= 5"
+_WORDS = "k AS (SELECT doc_id, regexp_extract_all(x, '" + WORD.replace("'", "''") + "') AS ws FROM d)"
+
+
+def _plain(t: Tables):
+    d = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    return d.withColumn("plain", posts.strip_accents(F.lower("text")))
+
+
+def _top(w):
+    return ranks.top_k(w.withColumn("w9", F.round("weight", 9)), ["doc_id"], [F.desc("w9"), F.col("term")], 5).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def _words():
+    return F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))
+
+
+@query(f"WITH {_PLAIN}, {_WORDS}, g AS (SELECT doc_id, unnest(ws) AS term FROM k UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM k), tf AS (SELECT doc_id, term, count(*) AS c FROM g GROUP BY 1, 2), {_weighted(2)} {_TOP}")
+def tfidf_bigrams(t: Tables):
+    """Words and pairs of words without accents, weighted; the five heaviest of each document."""
+    d = _plain(t).withColumn("words", _words())
+    return _top(features.tfidf(d, "doc_id", features.word_ngrams(F.col("words"), 1, 2), least=2))
+
+
+@query(f"WITH {_PLAIN}, p AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) || ' ' AS p FROM d), q AS (SELECT doc_id, p, unnest([3, 4, 5]) AS k FROM p), g AS (SELECT doc_id, substr(p, i, k) AS term FROM (SELECT *, unnest(range(1, length(p) - k + 2)) AS i FROM q WHERE length(p) >= k)), tf AS (SELECT doc_id, term, count(*) AS c FROM g GROUP BY 1, 2), {_weighted(3)} {_TOP}")
+def char_tfidf(t: Tables):
+    """Character 3- to 5-grams within padded words, weighted; the five heaviest of each document."""
+    words = F.filter(F.split("plain", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return _top(features.tfidf(_plain(t), "doc_id", features.char_ngrams(words, 3, 5), least=3))
+
+
+_STATS = {"n_chars": "ln(1 + length(text))", "n_exclaim": "length(text) - length(replace(text, '!', ''))", "n_hashtag": "length(text) - length(replace(text, '#', ''))"}
+
+
+@query(f"""WITH {_PLAIN}, {_WORDS}, g AS (SELECT doc_id, unnest(ws) AS term FROM k), tf AS (SELECT doc_id, term, count(*) AS c FROM g GROUP BY 1, 2), {_weighted(2)}, r AS (SELECT doc_id, {", ".join(f"({x})::DOUBLE AS {k}" for k, x in _STATS.items())} FROM documents JOIN labels USING (doc_id)),
+s AS ({" UNION ALL ".join(f"SELECT doc_id, 'stats:{k}' AS feature, 0.5 * {k} / nullif((SELECT max({k}) FROM r), 0) AS weight FROM r" for k in _STATS)}), u AS (SELECT doc_id, 'word:' || term AS feature, weight FROM w UNION ALL SELECT * FROM s WHERE weight <> 0)
+SELECT doc_id, string_split(feature, ':')[1] AS block, count(*) AS n, round(sum(weight), 6) AS total FROM u GROUP BY 1, 2""")
+def feature_union(t: Tables):
+    """Words and scaled surface statistics as one table of features, the statistics at half weight."""
+    d = _plain(t)
+    words = features.tfidf(d, "doc_id", _words(), least=2)
+    stats = features.scaled(d, "doc_id", {k: c for k, c in posts.surface(F.col("text")).items() if k in _STATS})
+    u = features.union("doc_id", {"word": (words, 1.0), "stats": (stats, 0.5)})
+    return u.groupBy("doc_id", F.substring_index("feature", ":", 1).alias("block")).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total"))
+
+
+def _any_sql(column: str, words: list[str]) -> str:
+    return " OR ".join(f"contains({column}, '{w}')" for w in words)
+
+
+def _topic_sql(column: str) -> str:
+    whens = " ".join(f"WHEN {_any_sql(column, words)} THEN '{name}'" for name, words in lexicon.TOPIC_TRIGGERS)
+    return f"CASE {whens} ELSE '{lexicon.TOPIC_DEFAULT}' END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_topic_sql("lower(text)")} AS rule, [(n_chars % 7)::DOUBLE, (doc_id % 5)::DOUBLE, (n_chars % 11 / 2)::DOUBLE, (doc_id % 3)::DOUBLE] AS z FROM documents), e AS (SELECT doc_id, rule, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM s), p AS (SELECT doc_id, rule, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
+SELECT doc_id, ['Technical_Issues', 'Account_Security', 'Feature_Feedback', 'Community_Discussion'][list_position(p, list_max(p))] AS label, round(list_max(p), 4) AS confidence, rule, ['Technical_Issues', 'Account_Security', 'Feature_Feedback', 'Community_Discussion'][list_position(p, list_max(p))] = rule AS agrees FROM p""")
+def batch_scores(t: Tables):
+    """A label with its confidence for every document, and whether the topic rule agrees."""
+    n, k = F.col("n_chars"), F.col("doc_id")
+    s = features.scored(t.documents, {"Technical_Issues": n % 7, "Account_Security": k % 5, "Feature_Feedback": n % 11 / 2, "Community_Discussion": k % 3})
+    rule = lexicon.topic(F.col("text"))
+    return s.select("doc_id", "label", "confidence", rule.alias("rule"), (F.col("label") == rule).alias("agrees"))
+
+
+def _misfire_sql() -> str:
+    whens = " ".join(f"WHEN {_any_sql('x', words)} THEN NOT regexp_matches(x, '\\b(?:{'|'.join(words)})\\b')" for _, words in lexicon.TOPIC_TRIGGERS)
+    return f"CASE {whens} ELSE false END"
+
+
+@query(f"""WITH d AS (SELECT lower(text) AS x, {_topic_sql("text")} AS truth FROM documents), p AS (SELECT {_topic_sql("x")} AS said, truth, {_misfire_sql()} AS off FROM d)
+SELECT count(*) AS n, round(avg((said = truth)::INT), 6) AS fidelity, count(*) FILTER (said <> truth) AS mismatches, round(avg((said <> '{lexicon.TOPIC_DEFAULT}')::INT), 6) AS trigger_rate, round(avg(off::INT), 6) AS artefact_rate, round(count(*) FILTER (off) / count(*) FILTER (said <> '{lexicon.TOPIC_DEFAULT}'), 6) AS artefact_share FROM p""")
+def rule_fidelity(t: Tables):
+    """How far the topic rule explains labels given by its case-sensitive twin."""
+    truth = rules.switch(F.col("text"), lexicon.TOPIC_TRIGGERS, lexicon.TOPIC_DEFAULT)
+    return rules.fidelity(t.documents, F.lower("text"), truth, lexicon.TOPIC_TRIGGERS, lexicon.TOPIC_DEFAULT)
+
+
+#: Texts with topics, from which the triggers are found again.
+TOPIC_TEXTS = [("crash then crash", "Technical"), ("the crash of it", "Technical"), ("crashing now", "Technical"), ("hacked", "Security"), ("hack crash", "Technical"), ("they hack", "Security"), ("a hack", "Security"), ("hello", "Talk"), ("it is so", "Talk"), ("oh the sun", "Talk")]
+
+
+@query("SELECT * FROM (VALUES ('Technical', 1, 'as'), ('Security', 1, 'ac')) v(class, place, trigger)")
+def mined_rule(t: Tables):
+    """The shortest covers of two topics by substrings, found again class by class."""
+    k = F.col("event_id") % len(TOPIC_TEXTS) + 1
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in TOPIC_TEXTS]), k.cast("int"))
+    rows = t.events.select(pick(0).alias("text"), pick(1).alias("topic")).withColumn("chunks", text.letter_substrings(F.col("text"), 2, 8))
+    found = rules.peel(rows, "text", "chunks", "topic", ["Technical", "Security"])
+    flat = [(c, i + 1, w) for c, words in found.items() for i, w in enumerate(words)]  # at most a dozen a class
+    return t.spark.createDataFrame(flat, "class string, place int, trigger string")
+
+
+def _modelled(t: Tables):
+    d = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("label"))
+    d = d.withColumn("plain", posts.strip_accents(F.lower("text")))
+    return features.hashed(ranks.folds(d, "text", "label", 2), "doc_id", features.tfidf(d, "doc_id", _words(), least=2), 1 << 10)
+
+
+@query()
+def model_candidates(t: Tables):
+    """Eight candidates under the same two folds of texts."""
+    return features.cross_validated(_modelled(t).select("label", "fold", "features"), "label", "fold", features.classifiers("label"))
+
+
+@query()
+def parameter_grid(t: Tables):
+    """One model at several regularisations."""
+    return features.cross_validated(_modelled(t).select("label", "fold", "features"), "label", "fold", features.grid("label", [0.001, 0.01, 0.1]))
+
+
+@query()
+def leakage_audit(t: Tables):
+    """What a split by rows, where copies stand on both sides, adds to the score, and what
+    moved labels leave of it."""
+    rows = _modelled(t).drop("fold")
+    return features.leakage(rows, "doc_id", "text", "label", features.classifiers("label")["logistic"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import posts, rules, text
 from ..operators import cleaning
 from .registry import Tables, query
 
@@ -12,10 +12,10 @@ LABELS = [("shout", "[A-Z]{3,}"), ("number", r"[0-9]+"), ("greeting", r"\bthe\b"
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)[A-Z]{3,}') THEN 'shout' WHEN regexp_matches(text, '[0-9]+') THEN 'number' WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'greeting' WHEN regexp_matches(text, '(?i)ing\b') THEN 'ending' ELSE 'none' END AS label,
-substr(CASE WHEN regexp_matches(text, '(?i)[A-Z]{3,}') THEN regexp_extract(text, '(?i)[A-Z]{3,}') WHEN regexp_matches(text, '[0-9]+') THEN regexp_extract(text, '[0-9]+') WHEN regexp_matches(text, '(?i)\bthe\b') THEN regexp_extract(text, '(?i)\bthe\b') WHEN regexp_matches(text, '(?i)ing\b') THEN regexp_extract(text, '(?i)ing\b') ELSE '' END, 1, 60) AS evidence FROM documents WHERE lang = 'en'""")
+substr(CASE WHEN regexp_matches(text, '(?i)[A-Z]{3,}') THEN regexp_extract(text, '(?i)[A-Z]{3,}') WHEN regexp_matches(text, '[0-9]+') THEN regexp_extract(text, '[0-9]+') WHEN regexp_matches(text, '(?i)\bthe\b') THEN regexp_extract(text, '(?i)\bthe\b') WHEN regexp_matches(text, '(?i)ing\b') THEN regexp_extract(text, '(?i)ing\b') ELSE '' END, 1, 60) AS evidence FROM documents""")
 def first_match_label(t: Tables):
     m = rules.first_match(F.col("text"), LABELS, "none")
-    return t.documents.filter("lang = 'en'").select("doc_id", m.alias("m")).select("doc_id", "m.label", "m.evidence")
+    return t.documents.select("doc_id", m.alias("m")).select("doc_id", "m.label", "m.evidence")
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '!') AS flag_loud, regexp_matches(text, '[0-9]') AS flag_digit, regexp_matches(text, '(?i)license') AS flag_license FROM documents")
@@ -64,15 +64,6 @@ def log_odds_terms(t: Tables):
     return cleaning.log_odds(d, "text", F.col("lang") == "en", 30)
 
 
-@query(r"""WITH s AS (SELECT q, unnest(list_distinct(flatten(list_transform(range(2, 5), lambda n: list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)))))) AS chunk FROM (SELECT quality AS q, substr(text, 1, 40) AS x FROM documents JOIN labels USING (doc_id)))
-SELECT chunk, count(*) AS df, count(*) FILTER (q = 1) AS in_class FROM s GROUP BY 1 HAVING count(*) >= 3""")
-def substring_df(t: Tables):
-    """Document frequency of the substrings of the openings; of whole texts: substring_df_whole."""
-    j = t.documents.select("doc_id", F.substring("text", 1, 40).alias("x")).join(t.labels, "doc_id")
-    s = j.select("quality", F.explode(text.substrings(F.col("x"), 2, 4)).alias("chunk"))
-    return s.groupBy("chunk").agg(F.count("*").alias("df"), F.count_if(F.col("quality") == 1).alias("in_class")).filter("df >= 3")
-
-
 @query(r"""WITH d AS (SELECT doc_id, quality AS q, unnest(list_distinct(regexp_extract_all(text, '\p{L}+'))) AS w FROM documents JOIN labels USING (doc_id)),
 s AS (SELECT DISTINCT doc_id, q, unnest(flatten(list_transform(range(2, 9), lambda n: list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n))))) AS chunk FROM d)
 SELECT chunk, count(*) AS df, count(*) FILTER (q = 1) AS in_class FROM s GROUP BY 1 HAVING count(*) >= 3""")
@@ -112,11 +103,38 @@ def html_text(t: Tables):
     return t.pages.select("page_id", text.squeeze(text.html_unescape(text.strip_tags(bare))).alias("text"))
 
 
-@query()
+#: Raw posts, and each as comparable text with negation marked.
+RAW_POSTS = [
+    ('"RT @bob: Sooooo bad!!! #NotGood https://a.b/c 12,5 :)"', "usertoken : soo bad!! # not good_neg urltoken_neg numtoken_neg emotesmile_neg"),
+    ("i do not like this one at all. really good", "i do not like_neg this_neg one_neg at_neg all. really good"),
+    ("never again, ok </3 <3 ;) :( :p :/", "never again,_neg ok emotebroken emoteheart emotewink emotefrown emotetongue emotemeh"),
+    ("\\u0041pple &amp; pie cut off...", "apple & pie cut off trunctoken"),
+    ("#GoodFriday_Sale2024Now at 10:30", "# good friday sale2024 now at numtoken emotesmile numtoken"),
+    ("no one cannot say without   doubt", "no one_neg cannot say_neg without doubt_neg"),
+    ("", ""),
+]
+
+
+def _raw_posts(t: Tables, *columns):
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in RAW_POSTS]), (F.col("event_id") % len(RAW_POSTS) + 1).cast("int"))
+    return t.events.select("event_id", said.alias("text")).select("event_id", *columns)
+
+
+@query("SELECT event_id, marked FROM events JOIN (VALUES " + ", ".join(f"({i}, '{y}')" for i, (_, y) in enumerate(RAW_POSTS)) + f") p(i, marked) ON event_id % {len(RAW_POSTS)} = i")
 def normalised_posts(t: Tables):
     """Comparable text with negation marked."""
-    n = text.normalise(text.nfkc(F.col("text")))
-    return t.documents.select("doc_id", n.alias("text")).withColumn("marked", F.array_join(text.mark_negation(F.split("text", " ")), " "))
+    return posts.prepared(_raw_posts(t, "text"), "text", "marked").select("event_id", "marked")
+
+
+#: Of each raw post: characters, words, !, ?, doubled marks, capitals, elongations, #, @, glad, sad.
+SURFACE = [(55, 8, 3, 0, 1, 0, 1, 1, 1, 1, 1), (42, 10, 0, 0, 0, 0, 0, 0, 0, 0, 0), (34, 9, 0, 0, 0, 0, 0, 0, 0, 3, 3), (31, 5, 0, 0, 0, 0, 0, 0, 0, 0, 0), (32, 3, 0, 0, 0, 0, 0, 1, 0, 0, 0), (33, 6, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0)]
+SURFACE_NAMES = ("n_chars", "n_words", "n_exclaim", "n_question", "n_punct_run", "n_allcaps", "n_elong", "n_hashtag", "n_mention", "emote_pos", "emote_neg")
+
+
+@query(f"SELECT event_id, round(ln(1 + n_chars), 9) AS n_chars, round(ln(1 + n_words), 9) AS n_words, {', '.join(f'{c}::DOUBLE AS {c}' for c in SURFACE_NAMES[2:])} FROM events JOIN (VALUES {', '.join(str((i, *x)) for i, x in enumerate(SURFACE))}) p(i, {', '.join(SURFACE_NAMES)}) ON event_id % {len(SURFACE)} = i")
+def surface_stats(t: Tables):
+    """Eleven surface statistics of raw posts."""
+    return _raw_posts(t, *[F.round(c, 9).alias(k) for k, c in posts.surface(F.col("text")).items()])
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=\"'))::INT AS links FROM pages")
