@@ -12,7 +12,7 @@ Equal sets are one class from the start. In a group of documents with an equal k
 pairs are listed: each is compared with the group's best connected document, components
 are formed, and only documents of different components are compared further, until every
 pair that shares a key is verified or joined. Where many documents share a passage and
-are not alike, so that far more pairs than documents are left, the groups are dealt anew:
+are not alike, so that far more pairs than documents are left in a group, it is dealt anew:
 a linked pair also shares one of the rarest n-grams of either (as many as may differ, and
 one), so documents are grouped by those, and what sets such documents apart is rare. What
 is left then is compared in parts of PART documents a side, none of them larger than
@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, whole_text
+from .common import discard, small_batches, stored, whole_text
 from .graph import components
 
 #: Words of a worker's memory, ratio of a size band, blocks to spare (a share of d + 1).
 HELD, BAND, SPARE = 400_000, 1.3, 0.6
 ROUNDS = 2  # of comparing with one document a group, before groups are dealt anew, and after
-MOST = 4  # pairs for each row of a group that may be compared at once
+MOST = 4  # pairs for each row of all groups that end the rounds
+HEAVY = 256  # pairs for each row of a group, above which its documents are dealt anew
 PART = 256  # documents on either side of what is compared by one key of a join
 FOLD = 512  # bits of a document's whole sketch, which candidates are compared by
 _M1, _M2, _ONE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -184,14 +185,18 @@ def shared_keys(sketched: DataFrame) -> DataFrame:
     near = stored(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "keys")
     copies = sketched.groupBy("f", "g", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     copies = stored(copies, "copies")  # else its partitions are kept for the join, and a large class can't be split
-    copies = sketched.select("f", "g", "n", "id").join(copies, ["f", "g", "n"]).filter("id <> rep").select("id")
-    return sized(stored(near.join(copies, "id", "left_anti").distinct(), "near"))
+    others = sketched.select("f", "g", "n", "id").join(copies, ["f", "g", "n"]).filter("id <> rep").select("id")
+    once = stored(near.join(others, "id", "left_anti").distinct(), "near")
+    discard(near, copies)
+    return sized(once)
 
 
 def sized(near: DataFrame) -> DataFrame:
     """key, id, size of the rows (key, id) whose key several documents have."""
     sizes = stored(near.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    return stored(near.join(sizes, "key").select("key", "id", "size"), "groups")
+    out = stored(near.join(sizes, "key").select("key", "id", "size"), "groups")
+    discard(near, sizes)
+    return out
 
 
 def rare_groups(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -213,7 +218,9 @@ def rare_groups(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     # Elements that no other document has come first in the order, and join with nothing.
     due = F.col("n") - F.ceil(F.col("n") * num / den) + 1 - (F.col("n") - F.size("held"))
     near = both.select("id", F.explode(F.slice("held", 1, F.greatest(due, F.lit(0)).cast("int"))).alias("x")).select(F.col("x.token").alias("key"), "id").distinct()
-    return sized(stored(near, "near"))
+    near = stored(near, "near")
+    discard(rows, often)
+    return sized(near)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -266,24 +273,28 @@ def linked_components(groups: DataFrame, whole: DataFrame, texts: DataFrame, n:
     spark = groups.sparkSession
     done = spark.createDataFrame([], "a long, b long, link boolean")
     comp = spark.createDataFrame([], "node long, comp long")
-    total, dealt, k = groups.count(), False, 0
+    total, most, k = groups.count(), ROUNDS, 0
+    heavy = F.col("cross") > HEAVY * F.col("all")
     while True:
         rows = groups.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        cross = 0
+        cross, spare = 0, []
         if k:
             # Groups with documents of several components, and how many pairs cross between.
             cells = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
             mixed = cells.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.sum(F.col("c").cast("double") * F.col("c")).alias("within"), F.max(F.struct("c", "comp")).alias("top")).filter("comps > 1")
-            mixed = stored(mixed, "mixed")
-            cross = mixed.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("within")) / 2).alias("x")).first().x
+            mixed = stored(mixed.withColumn("cross", (F.col("all").cast("double") * F.col("all") - F.col("within")) / 2), "mixed")
+            found = mixed.agg(F.sum("cross").alias("x"), F.count_if(heavy).alias("heavy")).first()
+            cross = found.x
             if not cross:
                 return comp
-            rows = stored(rows.join(mixed.select("key", "all", F.col("top.comp").alias("top")), "key"), "rest")
-        few = cross <= MOST * total
-        if k and not few and k % ROUNDS == 0 and not dealt:
-            groups, dealt, k = rare_groups(texts.join(rows.select("id").distinct(), "id", "left_semi"), n, num, den), True, k + 1
-            continue
-        last = bool(k) and (few or k >= 2 * ROUNDS)
+            rows = stored(rows.join(mixed.select("key", "all", "cross", F.col("top.comp").alias("top")), "key"), "rest")
+            spare = [rows, mixed]
+            if found.heavy and k == ROUNDS and cross > MOST * total:
+                anew = rare_groups(texts.join(rows.filter(heavy).select("id").distinct(), "id", "left_semi"), n, num, den)
+                groups = rows.filter(~heavy).select("key", "id", "size").unionByName(anew)
+                k, most = k + 1, k + ROUNDS
+                continue
+        last = bool(k) and (cross <= MOST * total or k >= most)
         if last:
             # One side is outside its group's largest component; both sides are cut in parts.
             parts = F.greatest(F.ceil(F.col("all") / PART), F.lit(1)).cast("int")
@@ -300,9 +311,12 @@ def linked_components(groups: DataFrame, whole: DataFrame, texts: DataFrame, n:
             if k:
                 choice = choice.filter("comp <> top").withColumn("reach", F.xxhash64("id", F.lit(k)))
             best = choice.groupBy("key").agg(F.max(F.struct("reach", (-F.col("id")).alias("id"), "comp")).alias("best")).select("key", (-F.col("best.id")).alias("other"), F.col("best.comp").alias("far"))
-            pairs = rows.join(stored(best, "best"), "key").filter((F.col("id") != F.col("other")) & (F.col("comp") != F.col("far"))).select(*_pair("id", "other")).distinct()
+            best = stored(best, "best")
+            spare.append(best)
+            pairs = rows.join(best, "key").filter((F.col("id") != F.col("other")) & (F.col("comp") != F.col("far"))).select(*_pair("id", "other")).distinct()
             pairs = _with_sketches(pairs, whole, num, den)
         new = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), texts, n, num, den), "pairs")
+        discard(*spare)
         done = done.unionByName(new)
         comp = components(done.filter("link").select("a", "b"))
         if last:
