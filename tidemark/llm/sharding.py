@@ -102,21 +102,22 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     rows = stored(rows, "rows")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = stored(rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1"), "groups")  # else its partitions are kept for the join, and a hot group can't be split
     linked = rows.join(groups, "g").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     room = max(1, total // shards)
     linked = propagate(stored(linked.select("id", "g", "n", "shard", "size", "crc"), "linked"), quota, room)
     buckets = max(1, total // (shards * BUCKET_ROWS))
+    salts = max(64, total // BUCKET_ROWS)
     # Salted by id, so that a hot group is numbered in parts; groups larger than a shard come first, as they fill what they were given.
-    salt = F.pmod(F.xxhash64("id"), F.lit(64))
-    placed = _numbered(linked, ["shard"], F.when(F.col("n") > room, salt).otherwise(64 + F.pmod("g", F.lit(buckets)) * 64 + salt * F.when(F.col("n") > BUCKET_ROWS, 1).otherwise(0)), ["g", "id", "size"])
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    placed = _numbered(linked, ["shard"], F.when(F.col("n") > room, salt).otherwise(salts + F.pmod("g", F.lit(buckets)) * salts + salt * F.when(F.col("n") > BUCKET_ROWS, 1).otherwise(0)), ["g", "id", "size"])
     own = F.element_at(F.array(*[F.lit(x) for x in quota]), F.col("shard") + 1)
     placed = stored(placed.withColumn("fits", F.col("at") < own), "placed")
     held = {r.shard: r.n for r in placed.filter("fits").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
     # What is over a quota, by group, then the documents without a link fill the rest.
     spare = placed.filter("NOT fits").select("id", "g", "size", "crc", F.lit(0).alias("free"))
     spare = spare.unionByName(rows.join(groups, "g", "left_anti").select("id", "g", "size", "crc", F.lit(1).alias("free")))
-    spare = _numbered(spare.withColumn("all", F.lit(0)), ["all"], F.when(F.col("free") == 0, F.pmod("g", F.lit(64))).otherwise(64 + F.pmod("g", F.lit(max(64, total // BUCKET_ROWS)))), ["free", "g", "id", "size"])
+    spare = _numbered(spare.withColumn("all", F.lit(0)), ["all"], F.pmod("g", F.lit(salts)) + F.col("free") * salts, ["free", "g", "id", "size"])
     ends, at = [], 0
     for s in range(shards):
         at += quota[s] - held.get(s, 0)
