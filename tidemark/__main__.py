@@ -1,5 +1,6 @@
 """python -m tidemark [QUERY] [--data FOLDER] [--out FOLDER]: list the queries, or run one
-and show it or write it as Parquet."""
+and show it or write it as Parquet (as CSV,
+where Parquet can't hold its types)."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import argparse
 
 from .plans import QUERIES
 from .session import session
+from .sources.files import write_table
 
 
 def main() -> None:
@@ -20,7 +22,7 @@ def main() -> None:
         return
     df = QUERIES[a.query](session(), a.data)
     if a.out:
-        df.write.mode("overwrite").parquet(a.out)
+        print(f"written as {write_table(df, a.out)}")
     else:
         df.show(50, truncate=False)
 

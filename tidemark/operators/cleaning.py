@@ -105,13 +105,38 @@ def post_cleaner(platforms: Sequence[str]) -> Cleaner:
 
 def profile(df: DataFrame) -> DataFrame:
     """column, kind, n, known, complete, distinct, example (the least value): a row for each
-    column, from one aggregation."""
-    parts = []
-    for i, (c, kind) in enumerate(df.dtypes):
+    column. Each column is aggregated in a scan of its own, which reads that column alone:
+    distinct values of several columns in one pass would repeat every row for each."""
+    out = None
+    for c, kind in df.dtypes:
         x = F.col(f"`{c}`")
-        parts += [F.count(x).alias(f"k{i}"), F.count_distinct(x.cast("string")).alias(f"d{i}"), F.min(x.cast("string")).alias(f"e{i}")]
-    row = df.agg(F.count("*").alias("n"), *parts)
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col("n"), F.col(f"k{i}").alias("known"), F.try_divide(f"k{i}", "n").alias("complete"), F.col(f"d{i}").alias("distinct"), F.col(f"e{i}").alias("example")) for i, (c, kind) in enumerate(df.dtypes)])
+        row = df.select(x).agg(F.count("*").alias("n"), F.count(x).alias("known"), F.count_distinct(x.cast("string")).alias("distinct"), F.min(x.cast("string")).alias("example"))
+        row = row.select(F.lit(c).alias("column"), F.lit(kind).alias("kind"), "n", "known", F.try_divide("known", "n").alias("complete"), "distinct", "example")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def raw_profile(df: DataFrame, key: str, category: str, count: str, text: str, names: Sequence[str]) -> DataFrame:
+    """name, n of what is wrong in raw text cells: missing tokens, labels not as listed,
+    negative counts, artifacts at the end of texts; rows and distinct keys beside them."""
+    lost = lambda c: missing_to_null(F.col(c)).isNull()
+    kind = artifact(F.col(text))
+    counts = {
+        "rows": F.count("*"),
+        f"{category} missing": F.count_if(lost(category)),
+        f"{category} not canonical": F.count_if(~lost(category) & ~F.col(category).isin(*names)),
+        f"{count} missing": F.count_if(lost(count)),
+        f"{count} negative": F.count_if(F.startswith(strip(F.col(count)), F.lit("-"))),
+        f"{text} missing": F.count_if(lost(text)),
+        **{f"{text} {k}": F.count_if(kind == k) for k in ARTIFACTS},
+    }
+    own = df.agg(*[c.alias(k) for k, c in counts.items()]).unpivot([], list(counts), "name", "n")
+    return own.unionByName(df.agg(F.count_distinct(key).alias("n")).select(F.lit("ids").alias("name"), "n"))
+
+
+def holds(row: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """check, ok of conditions on a frame of one row."""
+    each = F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for k, c in checks.items()])
     return row.select(F.explode(each).alias("x")).select("x.*")
 
 

@@ -80,3 +80,9 @@ def rest_of_group(df: DataFrame, group: list[str], part: list[str], value: str)
         n, s, q = F.col("n" + end), F.col("s" + end), F.col("q" + end)
         out = out.withColumns({"mean" + end: F.try_divide(s, n), "var" + end: F.when(n > 1, (q - s * s / n) / (n - 1))})
     return out.drop("s", "q", "s_rest", "q_rest")
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
+    """Whether two tables hold the same set of keys, nulls included: by hash sums of the
+    distinct keys, without a join."""
+    return same_rows(a.select(*keys).distinct(), b.select(*keys).distinct())

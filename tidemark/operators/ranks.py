@@ -112,3 +112,10 @@ def quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, flo
             low, up = holds(F.floor(at)), holds(F.ceil(at))
             out[name] = low + (up - low) * F.max(at - F.floor(at))
     return ranked.groupBy(*group).agg(*[c.alias(k) for k, c in out.items()])
+
+
+def cumulative_share(df: DataFrame, value: str, ties: list[Column]) -> DataFrame:
+    """df with share: what rows hold of the sum of a value, from the largest down to each."""
+    total = df.agg(F.sum(value).alias("__all"))
+    rows = running(df, [F.col(value).desc(), *ties], [value]).crossJoin(F.broadcast(total))
+    return rows.withColumn("share", F.try_divide(F.col(f"before_{value}") + F.col(value), F.col("__all"))).drop(f"before_{value}", "__all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,7 +109,6 @@ def change_points(df: DataFrame, keys: list[str], order: str, value: str, least:
     squared error: the exact optimum that pruned search finds. A series is one group of
     daily values; it is the unit that one task holds."""
     import numpy as np
-    import pandas as pd
 
     kinds = dict(df.dtypes)
 
@@ -139,3 +139,49 @@ def change_points(df: DataFrame, keys: list[str], order: str, value: str, least:
         return out
 
     return df.select(*keys, order, value).groupBy(*keys).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"at {kinds[order]}", "position long"]))
+
+
+def record_shifts(df: DataFrame, cuts: DataFrame, panel: DataFrame, keys: list[str], at: str, value: str, who: str, half: int = 5, least: int = 20) -> DataFrame:
+    """keys, who (all or panel), n_before, n_after, delta, d, t: records `half` days before a
+    cut (keys, cut) against those from it on, over everybody and over the panel alone, as a
+    new contributor would look like a change of mind. One pass, by sums."""
+    date, x = F.to_date(at), F.col(value).cast("double")
+    near = df.join(F.broadcast(cuts), keys).withColumn("__d", F.datediff(date, "cut")).filter(F.col("__d").between(-half, half - 1) & x.isNotNull())
+    near = near.join(panel.select(who, F.lit(True).alias("__in")), who, "left")
+    each = near.select(*keys, (F.col("__d") >= 0).alias("__after"), x.alias("__x"), F.explode(F.when(F.col("__in"), F.array(F.lit("all"), F.lit("panel"))).otherwise(F.array(F.lit("all")))).alias("who"))
+    part = lambda yes, v: F.when(F.col("__after") == yes, v)
+    sums = {f"{k}{int(yes)}": f(part(yes, v)) for yes in (False, True) for k, f, v in (("n", F.count, F.col("__x")), ("s", F.sum, F.col("__x")), ("q", F.sum, F.col("__x") * F.col("__x")))}
+    own = each.groupBy(*keys, "who").agg(*[c.alias(k) for k, c in sums.items()]).filter((F.col("n0") >= least) & (F.col("n1") >= least))
+    w = welch(*[F.col(c) for c in ("n0", "s0", "q0", "n1", "s1", "q1")])
+    return own.select(*keys, "who", F.col("n0").alias("n_before"), F.col("n1").alias("n_after"), F.round(F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0"), 6).alias("delta"), F.round(w["d"], 6).alias("d"), F.round(w["t"], 6).alias("t"))
+
+
+def poisson_days(daily_counts: DataFrame, n: str) -> DataFrame:
+    """date, n, p (the chance of as many or more under the mean), bonferroni, above (three
+    deviations): a row for each day. Tails are evaluated for each distinct count."""
+    from ..functions.stats import poisson_tail
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series([poisson_tail(int(a), b) for a, b in zip(k, mean, strict=True)], dtype="float64")
+
+    m = daily_counts.agg(F.avg(n).alias("__m"), F.count("*").alias("__days"))
+    out = daily_counts.crossJoin(F.broadcast(m)).withColumn("__p", tail(F.col(n), F.col("__m")))
+    return out.select("date", F.col(n).alias("n"), F.round("__p", 6).alias("p"), F.round(F.least(F.col("__p") * F.col("__days"), F.lit(1.0)), 6).alias("bonferroni"), ((F.col(n) - F.col("__m")) / F.sqrt("__m") > 3).alias("above"))
+
+
+def aligned(a: DataFrame, b: DataFrame, fill: dict[str, int]) -> DataFrame:
+    """Both series on every date that either has, with `both`; missing values of `fill` as given."""
+    j = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), "date", "full")
+    return j.withColumn("both", F.coalesce(F.col("__a") & F.col("__b"), F.lit(False))).drop("__a", "__b").na.fill(fill)
+
+
+def case_profile(df: DataFrame, on: Column, keys: list[str], value: str, flags: dict[str, Column], version: Column, quote: Column, tie: Column) -> DataFrame:
+    """keys, n_event, n_rest, change of the mean, the share of each flag on either side,
+    has_version, and as quote the record of the largest value on the event's side."""
+    x = F.col(value).cast("double")
+    out = [F.count_if(on).alias("n_event"), F.count_if(~on).alias("n_rest"), F.round(F.avg(F.when(on, x)) - F.avg(F.when(~on, x)), 6).alias("change")]
+    for name, flag in flags.items():
+        out += [F.round(F.avg(F.when(c, flag.cast("int"))), 6).alias(f"{name}_{side}") for side, c in (("event", on), ("rest", ~on))]
+    best = F.min_by(F.when(on, quote), F.when(on, F.struct((-x).alias("a"), tie.alias("b"))))
+    return df.groupBy(*keys).agg(*out, F.count(F.when(on, version)).cast("boolean").alias("has_version"), best.alias("quote"))

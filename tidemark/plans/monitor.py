@@ -19,18 +19,22 @@ def reactions(t: Tables):
     )
 
 
-@query("""WITH r AS (SELECT event_id AS k, ts, CASE WHEN event_id % 2 = 0 THEN 'store' ELSE 'forum' END AS source, 'u' || (user_id % 9) AS author, CASE WHEN event_id % 4 = 0 THEN 'Zeta' ELSE '' END AS brand,
+UNIFIED = """WITH r AS (SELECT event_id AS k, ts, CASE WHEN event_id % 2 = 0 THEN 'store' ELSE 'forum' END AS source, 'u' || (user_id % 9) AS author, CASE WHEN event_id % 4 = 0 THEN 'Zeta' ELSE '' END AS brand,
 CASE WHEN event_id % 23 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'Title' ELSE '' END ELSE CASE WHEN event_id % 5 = 0 THEN 'Title. ' ELSE '' END || 'order ' || (event_id % 700) || CASE event_id % 3 WHEN 0 THEN ' from Acme Air never came' WHEN 1 THEN ' by acme was late' ELSE ' lost' END END AS body FROM events),
 rd AS (SELECT *, substr(sha256(source || '|' || (k % 8000) || '|' || substr(body, 1, 200)), 1, 20) AS id FROM r WHERE length(body) >= 3), w AS (SELECT * FROM rd WHERE k % 19 > 0),
 o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY date_trunc('second', ts), body) = 1),
-x AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source, CASE WHEN source = 'store' THEN author ELSE '' END, regexp_replace(lower(body), '[^a-z0-9 ]', '', 'g') ORDER BY id) = 1)
+x AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY source, CASE WHEN source = 'store' THEN author ELSE '' END, regexp_replace(lower(body), '[^a-z0-9 ]', '', 'g') ORDER BY id) = 1)"""
+
+
+@query(f"""{UNIFIED}
 SELECT 'raw' AS step, count(*) AS n FROM r UNION ALL SELECT 'read', count(*) FROM rd UNION ALL SELECT 'in_window', count(*) FROM w UNION ALL SELECT 'once_by_id', count(*) FROM o UNION ALL SELECT 'once_by_text', count(*) FROM x UNION ALL SELECT 'unified', count(*) FROM x""")
 def unify_steps(t: Tables):
     steps = monitoring.unify(reactions(t), {"acme": "Acme", "acme air": "Acme Air"}, "1990-01-01", "2090-01-01", ("store",))
     return cleaning.pipeline_counts(**steps)
 
 
-@query()
+@query(f"""{UNIFIED}
+SELECT source, CASE WHEN brand <> '' THEN brand WHEN contains(lower(body), 'acme air') THEN 'Acme Air' WHEN contains(lower(body), 'acme') THEN 'Acme' ELSE '' END AS brand, length(body) < 15 AS thin, count(*) AS n FROM x GROUP BY ALL""")
 def unified_brands(t: Tables):
     steps = monitoring.unify(reactions(t), {"acme": "Acme", "acme air": "Acme Air"}, "1990-01-01", "2090-01-01", ("store",))
     return steps["unified"].groupBy("source", "brand", "thin").agg(F.count("*").alias("n"))
@@ -45,13 +49,24 @@ def spike_kinds(t: Tables):
     return s.select("event_type", "date", "kind", F.round("z", 4).alias("z"), F.round("ratio", 5).alias("ratio"))
 
 
-@query()
+@query("""WITH x AS (SELECT event_type, ts::DATE AS date, value + CASE WHEN event_type = 'click' AND ts::DATE >= (SELECT min(ts::DATE) + 14 FROM events) THEN 60 ELSE 0 END AS v FROM events),
+s AS (SELECT event_type, date, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY 1, 2),
+w AS (SELECT event_type, date, row_number() OVER p AS f, row_number() OVER (PARTITION BY event_type ORDER BY date DESC) AS l, sum(n) OVER a AS na, sum(s) OVER a AS sa, sum(q) OVER a AS qa, sum(n) OVER b AS nb, sum(s) OVER b AS sb, sum(q) OVER b AS qb FROM s
+  WINDOW p AS (PARTITION BY event_type ORDER BY date), a AS (PARTITION BY event_type ORDER BY date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), b AS (PARTITION BY event_type ORDER BY date RANGE BETWEEN CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)),
+v AS (SELECT *, (qa - sa * sa / na) / (na - 1) AS va, (qb - sb * sb / nb) / (nb - 1) AS vb FROM w WHERE f > 3 AND l > 3 AND na >= 40 AND nb >= 40),
+t AS (SELECT event_type, date, (sb / nb - sa / na) / sqrt(va / na + vb / nb) AS t, (sb / nb - sa / na) / sqrt((va + vb) / 2) AS d FROM v),
+p AS (SELECT *, 2 * (1 - 1 / (1 + exp(-1.5976 * abs(t) - 0.070565992 * abs(t) ** 3))) AS p FROM t), r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM p),
+k AS (SELECT event_type, date, d, p FROM r WHERE p <= (SELECT max(p) FROM r WHERE p <= 0.05 * r / m)), g AS (SELECT *, CASE WHEN coalesce(date - lag(date) OVER (PARTITION BY event_type ORDER BY date), 3) > 2 THEN 1 ELSE 0 END AS new FROM k), i AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY date) AS island FROM g)
+SELECT event_type, date, round(d, 6) AS d FROM i QUALIFY row_number() OVER (PARTITION BY event_type, island ORDER BY abs(d) DESC, p, date) = 1""")
 def pooled_shift_scan(t: Tables):
-    """Shifts of the mean over all types, pooled for the false-discovery rate; t is read as
-    normal, since each side has 40 records or more."""
-    s = series.shift_scan(t.events, "ts", "value", ["event_type"])
+    """Shifts of the mean over all types, one of them planted, pooled for the false-discovery
+    rate; t is read as normal, since each side has 40 records or more."""
+    first = t.events.agg(F.min(F.to_date("ts")).alias("__a"))
+    up = (F.col("event_type") == "click") & (F.datediff(F.to_date("ts"), "__a") >= 14)
+    planted = t.events.crossJoin(F.broadcast(first)).withColumn("value", F.col("value") + F.when(up, 60).otherwise(0))
+    s = series.shift_scan(planted, "ts", "value", ["event_type"])
     p = s.withColumn("p", 2 * (1 - 1 / (1 + F.exp(-1.5976 * F.abs("t") - 0.070565992 * F.pow(F.abs("t"), F.lit(3))))))
-    return monitoring.pooled_shifts(p, ["event_type"], "p", q=0.9)
+    return monitoring.pooled_shifts(p, ["event_type"], "p", q=0.05).select("event_type", "date", F.round("d", 6).alias("d"))
 
 
 @query("""WITH e AS (SELECT event_id AS event, event_type AS brand, date_diff('day', DATE '1970-01-01', ts::DATE) AS day, value / 100 AS dominance FROM events WHERE value > 98), i AS (SELECT upper(event_type) || '!' AS entity, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events WHERE value < 0.5),

@@ -19,12 +19,12 @@ def named(path: str) -> dict[str, str]:
 
 
 def run(spark, folder: str, sql: str):
-    """The statement over views of the folder's tables; columns of decimal sums as numbers."""
+    """The statement over the folder's tables, which are bound to it and named in no catalogue;
+    columns of decimal sums as numbers."""
     t = Tables(spark, folder)
-    for name in TABLES:
-        if re.search(rf"\b{name}\b", sql):
-            getattr(t, name).createOrReplaceTempView(name)
-    df = spark.sql(sql)
+    used = [name for name in TABLES if re.search(rf"\b(?:FROM|JOIN) {name}\b", sql)]
+    bound = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", sql)
+    df = spark.sql(bound, **{name: getattr(t, name) for name in used})
     return df.withColumns({c: df[c].cast("double") for c, k in df.dtypes if k.startswith("decimal")})
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, keys
+from ..session import shared_dir
+from ..sources import files
 from .registry import Tables, query
 
 PLATFORMS = ("Twitter", "Facebook", "Instagram", "YouTube", "Reddit")
@@ -50,19 +54,19 @@ def contracts(t: Tables):
     return cleaning.contracts(t.orders, {"price is positive": F.col("o_totalprice") > 0, "status is F": F.col("o_orderstatus") == "F", "date in window": F.col("o_orderdate") >= F.lit("1992-01-01").cast("timestamp")})
 
 
-@query("""SELECT 'r_regionkey' AS column, count(*) AS n, count(r_regionkey) AS known, count(DISTINCT r_regionkey) AS distinct, min(r_regionkey::VARCHAR) AS example FROM region
-UNION ALL SELECT 'r_name', count(*), count(r_name), count(DISTINCT r_name), min(r_name) FROM region""")
+@query("""SELECT 'doc_id' AS column, count(*) AS n, count(doc_id) AS known, count(DISTINCT doc_id) AS distinct, min(doc_id::VARCHAR) AS example FROM documents UNION ALL SELECT 'lang' AS column, count(*) AS n, count(lang) AS known, count(DISTINCT lang) AS distinct, min(lang::VARCHAR) AS example FROM documents UNION ALL SELECT 'source' AS column, count(*) AS n, count(source) AS known, count(DISTINCT source) AS distinct, min(source::VARCHAR) AS example FROM documents UNION ALL SELECT 'n_chars' AS column, count(*) AS n, count(n_chars) AS known, count(DISTINCT n_chars) AS distinct, min(n_chars::VARCHAR) AS example FROM documents""")
 def data_dictionary(t: Tables):
-    return cleaning.profile(t.region).select("column", "n", "known", "distinct", "example")
+    return cleaning.profile(t.documents.drop("text")).select("column", "n", "known", "distinct", "example")
 
 
-@query("SELECT 'nation' AS name, true AS same UNION ALL SELECT 'halved', false")
+@query("SELECT 'customers with orders' AS name, true AS same UNION ALL SELECT 'halved', false")
 def round_trip(t: Tables):
-    """A nested JSON document of a table, read back, against the table."""
-    n = t.nation
-    doc = n.agg(F.to_json(F.collect_list(F.struct("*"))).alias("doc"))  # a table of fixed size
-    back = doc.select(F.explode(F.from_json("doc", f"array<struct<{','.join(f'{c}:{k}' for c, k in n.dtypes)}>>")).alias("x")).select("x.*")
-    return t.spark.createDataFrame([("nation", keys.same_rows(n, back)), ("halved", keys.same_rows(n, back.filter("n_nationkey % 2 = 0")))], "name string, same boolean")
+    """Customers with their orders as nested JSON, read back, against both tables."""
+    parent, child = t.customer, t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice", "o_orderstatus").join(t.customer.select("c_custkey"), "c_custkey", "left_semi")
+    path = f"{shared_dir(t.spark)}/round-trip-{uuid.uuid4().hex}"
+    same = files.nested_round_trip(parent, child, "c_custkey", "orders", path)
+    half = keys.same_rows(child, child.filter("o_orderkey % 2 = 0"))
+    return t.spark.createDataFrame([("customers with orders", same), ("halved", half)], "name string, same boolean")
 
 
 @query("SELECT (SELECT count(*) FROM orders) - (SELECT count(*) FROM (SELECT count(*) FROM lineitem GROUP BY l_orderkey)) AS without_lines, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice < c_acctbal) AS cheap")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from ..operators import metrics, ranks, series
 from .registry import Tables, query
 
@@ -47,10 +48,10 @@ def padded_hour_artefact(t: Tables):
     return h.crossJoin(F.broadcast(total)).select("hour", "true_n", (F.col("true_n") + F.when(F.col("hour") == 0, F.col("all")).otherwise(0)).alias("naive_n"))
 
 
-@query("""WITH n AS (SELECT user_id, ts::DATE AS date, count(*) AS n FROM events WHERE user_id < 20 GROUP BY 1, 2), s AS (SELECT user_id, min(date) AS a, max(date) AS b FROM n GROUP BY 1)
+@query("""WITH n AS (SELECT user_id, ts::DATE AS date, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT user_id, min(date) AS a, max(date) AS b FROM n GROUP BY 1)
 SELECT s.user_id, d::DATE AS date, coalesce(n, 0) AS n FROM (SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM s) s LEFT JOIN n ON s.user_id = n.user_id AND s.d::DATE = n.date""")
 def calendar_dense_daily(t: Tables):
-    return series.dense(series.daily(t.events.filter("user_id < 20"), "ts", ["user_id"]), ["user_id"]).select("user_id", "date", "n")
+    return series.dense(series.daily(t.events, "ts", ["user_id"]), ["user_id"]).select("user_id", "date", "n")
 
 
 @query(f"SELECT event_type, date, n, round(CASE WHEN count(*) OVER w = 28 THEN avg(n) OVER w END, 6) AS rolling FROM {DAILY} WINDOW w AS (PARTITION BY event_type ORDER BY date ROWS BETWEEN 14 PRECEDING AND 13 FOLLOWING)")
@@ -76,11 +77,11 @@ P_SQL = "(SELECT o_orderkey, (o_orderkey * 7919 % 10007) * (o_orderkey * 7919 %
 
 
 @query(f"""WITH r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM {P_SQL}), k AS (SELECT max(p) AS lim FROM r WHERE p <= 0.05 * r / m)
-SELECT o_orderkey, p <= lim AS kept FROM r, k WHERE o_orderkey < 500""")
+SELECT o_orderkey, p <= lim AS kept FROM r, k""")
 def bh_fdr(t: Tables):
     x = F.col("o_orderkey") * 7919 % 10007
     tests = t.orders.select("o_orderkey", (x * x / 100140049.0 / 20).alias("p"))
-    return series.discoveries(tests, "p", 0.05).filter("o_orderkey < 500").select("o_orderkey", "kept")
+    return series.discoveries(tests, "p", 0.05).select("o_orderkey", "kept")
 
 
 @query("""WITH s AS (SELECT event_type, ts::DATE AS date, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM events GROUP BY 1, 2),
@@ -225,10 +226,120 @@ def before_after(t: Tables):
     return t.events.join(b, "user_id").groupBy("user_id").agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"), F.round(F.avg(F.when(early, F.col("value"))), 6).alias("before"), F.round(F.avg(F.when(~early, F.col("value"))), 6).alias("after"))
 
 
-@query()
+#: A step of 40 from the given day of a type's series on, over what is left of the value.
+STEPS = {"view": 10, "click": 20}
+
+
+@query("SELECT event_type, (min(ts::DATE) + CASE event_type WHEN 'view' THEN 10 ELSE 20 END)::DATE AS at, CASE event_type WHEN 'view' THEN 10 ELSE 20 END::BIGINT AS position FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
 def pelt_breaks(t: Tables):
-    """Breaks of each type's daily mean: an exact search over one short series a group."""
-    return series.change_points(_daily(t), ["event_type"], "date", "mean", penalty=1.0)
+    """Breaks of each type's daily mean, steps planted: an exact search over one short series a group."""
+    d = _daily(t)
+    first = d.groupBy("event_type").agg(F.min("date").alias("__a"))
+    day = F.datediff("date", "__a")
+    up = F.lit(False)
+    for kind, at in STEPS.items():
+        up = up | ((F.col("event_type") == kind) & (day >= at))
+    planted = d.join(first, "event_type").withColumn("level", F.col("mean") / 1000 + F.when(up, 40).otherwise(0))
+    return series.change_points(planted, ["event_type"], "date", "level", penalty=50.0)
+
+
+@query("""WITH s AS (SELECT event_type, ts::DATE AS date, count(*) AS n, count(DISTINCT user_id) AS authors, sum(value) AS total FROM events GROUP BY 1, 2), m AS (SELECT event_type, median(total) AS med FROM s GROUP BY 1), v AS (SELECT s.*, med, abs(total - med) AS dev FROM s JOIN m USING (event_type)), k AS (SELECT event_type, median(dev) AS mad FROM v GROUP BY 1),
+z AS (SELECT event_type, date, n, authors, (total - med) / (1.4826 * mad) AS z, total / med AS ratio FROM v JOIN k USING (event_type) WHERE (total - med) / (1.4826 * mad) >= 1.8),
+u AS (SELECT event_type, ts::DATE AS date, user_id, sum(value) AS x, count(*) AS c FROM events GROUP BY 1, 2, 3),
+t AS (SELECT event_type, date, max(x) / sum(x) AS top1 FROM u GROUP BY 1, 2), x AS (SELECT event_type, date, string_agg(user_id || ':' || c, ' ' ORDER BY c DESC, user_id) AS mix FROM (SELECT *, row_number() OVER (PARTITION BY event_type, date ORDER BY c DESC, user_id) AS r FROM u) WHERE r <= 4 GROUP BY 1, 2)
+SELECT event_type, date, n, authors, round(z, 4) AS z, round(ratio, 2) AS ratio, round(top1, 6) AS top1_share, mix FROM z JOIN t USING (event_type, date) JOIN x USING (event_type, date)""")
+def spike_details(t: Tables):
+    """Days far above the median of their type: who was there, how far one contributor makes
+    them, and the four most frequent."""
+    day = F.to_date("ts").alias("date")
+    own = t.events.groupBy("event_type", day, "user_id").agg(F.sum("value").alias("x"), F.count("*").alias("c"))
+    d = own.groupBy("event_type", "date").agg(F.sum("c").alias("n"), F.count("*").alias("authors"), F.sum("x").alias("total"), (F.max("x") / F.sum("x")).alias("top1"))
+    z = series.robust_z(d, "total", ["event_type"]).filter("z >= 1.8")
+    first = ranks.top_k(own, ["event_type", "date"], [F.desc("c"), F.col("user_id")], 4)
+    order = F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("k"), "user_id", F.concat_ws(":", F.col("user_id").cast("string"), F.col("c").cast("string")).alias("s"))))
+    mix = first.groupBy("event_type", "date").agg(F.array_join(F.transform(order, lambda x: x["s"]), " ").alias("mix"))
+    out = z.join(mix, ["event_type", "date"])
+    return out.select("event_type", "date", "n", "authors", F.round("z", 4).alias("z"), F.round(F.col("total") / F.col("median"), 2).alias("ratio"), F.round("top1", 6).alias("top1_share"), "mix")
+
+
+@query("""WITH c AS (SELECT event_type, min(ts::DATE) + 15 AS cut FROM events GROUP BY 1), p AS (SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT ts::DATE) >= 20), e AS (SELECT event_type, ts::DATE AS date, cut, value, user_id IN (SELECT user_id FROM p) AS panel FROM events JOIN c USING (event_type)),
+w AS (SELECT *, date >= cut AS after FROM e WHERE date >= cut - 5 AND date < cut + 5), l AS (SELECT event_type, after, value, 'all' AS who FROM w UNION ALL SELECT event_type, after, value, 'panel' FROM w WHERE panel),
+a AS (SELECT event_type, who, count(*) FILTER (NOT after) AS n0, count(*) FILTER (after) AS n1, avg(value) FILTER (NOT after) AS m0, avg(value) FILTER (after) AS m1, var_samp(value) FILTER (NOT after) AS v0, var_samp(value) FILTER (after) AS v1 FROM l GROUP BY 1, 2)
+SELECT event_type, who, n0 AS n_before, n1 AS n_after, round(m1 - m0, 6) AS delta, round((m1 - m0) / sqrt((v0 + v1) / 2), 6) AS d, round((m1 - m0) / sqrt(v0 / n0 + v1 / n1), 6) AS t FROM a WHERE n0 >= 20 AND n1 >= 20""")
+def record_shifts(t: Tables):
+    """A break in each type's series, tested on records within five days of it: over all
+    users, and over those who were there throughout."""
+    day = F.to_date("ts")
+    cuts = t.events.groupBy("event_type").agg(F.date_add(F.min(day), 15).alias("cut"))
+    panel = t.events.groupBy("user_id").agg(F.count_distinct(day).alias("days")).filter("days >= 20").select("user_id")
+    return series.record_shifts(t.events, cuts, panel, ["event_type"], "ts", "value", "user_id")
+
+
+@query("""WITH d AS (SELECT ts::DATE AS date, count(*) AS n FROM events WHERE event_id % 10 = 0 GROUP BY 1), m AS (SELECT avg(n) AS m, count(*) AS days FROM d),
+p AS (SELECT date, n, m, days, 1 - (SELECT sum(exp(i * ln(m) - m - lgamma(i + 1))) FROM (SELECT unnest(range(0, n)) AS i)) AS p FROM d, m)
+SELECT date, n, round(p, 6) AS p, round(least(p * days, 1), 6) AS bonferroni, (n - m) / sqrt(m) > 3 AS above FROM p""")
+def poisson_days(t: Tables):
+    """Daily counts against a Poisson process of their mean: the chance of as many or more,
+    and corrected for the number of days."""
+    d = series.daily(t.events.filter("event_id % 10 = 0"), "ts")
+    return series.poisson_days(d, "n")
+
+
+@query("""WITH k AS (SELECT user_id, ts::DATE AS date, count(*) AS k FROM events GROUP BY 1, 2), a AS (SELECT count(DISTINCT user_id) * count(DISTINCT date) AS cells, sum(k) AS total FROM k), o AS (SELECT k::INT AS k, count(*) AS observed FROM k GROUP BY 1 UNION ALL SELECT 0, cells - (SELECT count(*) FROM k) FROM a)
+SELECT k, observed, round(cells * exp(k * ln(total / cells) - total / cells - lgamma(k + 1)), 4) AS expected FROM o, a""")
+def poisson_overlay(t: Tables):
+    """How many user-days have k events, and how many a Poisson process would give."""
+    k = t.events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("k"))
+    a = t.events.agg(F.count_distinct("user_id").alias("u")).crossJoin(t.events.agg(F.count_distinct(F.to_date("ts")).alias("d"), F.count("*").alias("total"))).select((F.col("u") * F.col("d")).alias("cells"), "total")
+    o = k.groupBy(F.col("k").cast("int").alias("k")).agg(F.count("*").alias("observed"))
+    none = a.crossJoin(o.agg(F.sum("observed").alias("seen"))).select(F.lit(0).alias("k"), (F.col("cells") - F.col("seen")).alias("observed"))
+    mean = F.col("total") / F.col("cells")
+    pmf = F.exp(F.col("k") * F.log(mean) - mean - stats.log_factorial(F.col("k")))
+    return o.unionByName(none).crossJoin(F.broadcast(a)).select("k", "observed", F.round(F.col("cells") * pmf, 4).alias("expected"))
+
+
+@query("""WITH a AS (SELECT ts::DATE AS date, count(*) AS n FROM events WHERE event_type = 'click' AND value > 60 GROUP BY 1), b AS (SELECT ts::DATE AS date, avg(value) AS mean FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1)
+SELECT coalesce(a.date, b.date) AS date, coalesce(n, 0) AS n, round(mean, 6) AS mean, a.date IS NOT NULL AND b.date IS NOT NULL AS both FROM a FULL JOIN b ON a.date = b.date""")
+def aligned_series(t: Tables):
+    """Two daily series side by side on every day that either has."""
+    a = series.daily(t.events.filter("event_type = 'click' AND value > 60"), "ts")
+    b = series.daily(t.events.filter("event_type = 'error' AND value > 120"), "ts", mean=F.avg("value")).select("date", "mean")
+    return series.aligned(a, b, {"n": 0}).select("date", "n", F.round("mean", 6).alias("mean"), "both")
+
+
+@query("""WITH c AS (SELECT event_type, ts::DATE AS date, count(*) AS census, sum(value) AS measure FROM events GROUP BY 1, 2), d AS (SELECT event_type, ts::DATE AS date, avg(value) AS mean FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+SELECT event_type, date, census, round(measure, 4) AS measure, round(mean, 6) AS mean FROM c LEFT JOIN d USING (event_type, date)""")
+def census_with_series(t: Tables):
+    """A census measure beside a sampled daily series, where there is one."""
+    c = series.daily(t.events, "ts", ["event_type"], measure=F.sum("value")).withColumnRenamed("n", "census")
+    d = series.daily(t.events.filter("user_id % 3 = 0"), "ts", ["event_type"], mean=F.avg("value")).drop("n")
+    return c.join(d, ["event_type", "date"], "left").select("event_type", "date", "census", F.round("measure", 4).alias("measure"), F.round("mean", 6).alias("mean"))
+
+
+@query("""WITH x AS (SELECT *, ts::DATE = (SELECT min(ts::DATE) + 12 FROM events) AS on_day FROM events WHERE ts::DATE BETWEEN (SELECT min(ts::DATE) + 5 FROM events) AND (SELECT min(ts::DATE) + 19 FROM events))
+SELECT event_type, count(*) FILTER (on_day) AS n_event, count(*) FILTER (NOT on_day) AS n_rest, round(avg(value) FILTER (on_day) - avg(value) FILTER (NOT on_day), 6) AS change, round(avg((value > 60)::INT) FILTER (on_day), 6) AS flagged_event, round(avg((value > 60)::INT) FILTER (NOT on_day), 6) AS flagged_rest,
+mode(user_id % 4) FILTER (on_day) IS NOT NULL AS has_version, arg_min('e' || event_id, (-value, event_id)) FILTER (on_day) AS quote FROM x GROUP BY 1""")
+def case_profile(t: Tables):
+    """A day against the week on either side of it, by type: counts, means, flags, whether it
+    has a version, and the strongest record as a quote."""
+    day = F.to_date("ts")
+    first = t.events.agg(F.min(day).alias("__a"))
+    x = t.events.crossJoin(F.broadcast(first)).withColumn("__d", F.datediff(day, "__a")).filter("__d BETWEEN 5 AND 19")
+    on = F.col("__d") == 12
+    return series.case_profile(x, on, ["event_type"], "value", {"flagged": F.col("value") > 60}, F.col("user_id") % 4, F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("event_id"))
+
+
+@query("""WITH l AS (SELECT scope, ts::DATE AS date, value FROM (SELECT 'overall' AS scope, ts, value FROM events UNION ALL SELECT 'type:' || event_type, ts, value FROM events)), s AS (SELECT scope, date, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM l GROUP BY 1, 2), k AS (SELECT scope FROM s GROUP BY 1 HAVING sum(n) >= 500),
+w AS (SELECT scope, date, row_number() OVER p AS f, row_number() OVER (PARTITION BY scope ORDER BY date DESC) AS l, sum(n) OVER a AS na, sum(s) OVER a AS sa, sum(q) OVER a AS qa, sum(n) OVER b AS nb, sum(s) OVER b AS sb, sum(q) OVER b AS qb FROM s WHERE scope IN (SELECT scope FROM k)
+  WINDOW p AS (PARTITION BY scope ORDER BY date), a AS (PARTITION BY scope ORDER BY date RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), b AS (PARTITION BY scope ORDER BY date RANGE BETWEEN CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)),
+v AS (SELECT *, (qa - sa * sa / na) / (na - 1) AS va, (qb - sb * sb / nb) / (nb - 1) AS vb FROM w WHERE f > 3 AND l > 3 AND na >= 40 AND nb >= 40)
+SELECT scope, date, na::BIGINT AS n_a, nb::BIGINT AS n_b, round((sb / nb - sa / na) / sqrt(va / na + vb / nb), 5) AS t FROM v""")
+def scan_fan_out(t: Tables):
+    """The shift scan over the whole and over each type with 500 records, as one table."""
+    e = t.events.select("ts", "value", F.explode(F.array(F.lit("overall"), F.concat(F.lit("type:"), "event_type"))).alias("scope"))
+    big = e.groupBy("scope").agg(F.count("*").alias("n")).filter("n >= 500").select("scope")
+    s = series.shift_scan(e.join(F.broadcast(big), "scope"), "ts", "value", ["scope"])  # a row for each scope
+    return s.select("scope", "date", "n_a", "n_b", F.round("t", 5).alias("t"))
 
 
 @query("""SELECT scope, metric, date, n, round(v, 6) AS v FROM (

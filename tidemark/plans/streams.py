@@ -44,16 +44,27 @@ def stream_first_sights(t: Tables):
     return windows.drained(windows.first_sights(twice, "ts", ["event_id"], "60 days"), "append").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _waves(t: Tables) -> Ledger:
+    ledger = Ledger(t.spark, f"{shared_dir(t.spark)}/tidemark-ledger-{uuid.uuid4().hex}", ["key"], ["event_id"])
+    e = t.events.select("event_id", (F.col("event_id") % 4000).alias("key"), "ts")
+    for k in range(3):
+        ledger.record(e.filter(F.col("event_id") % 3 == k), k, f"2030-01-0{k + 1} 00:00:00")
+    return ledger
+
+
+@query("""WITH n AS (SELECT event_id % 4000 AS key, min(event_id % 3) AS wave FROM events GROUP BY 1)
+SELECT w AS wave, n, coalesce(sum(n) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, first, last FROM (SELECT wave::INT AS w, count(*) AS n, min(key::VARCHAR) AS first, max(key::VARCHAR) AS last FROM n GROUP BY 1)""")
+def wave_manifest(t: Tables):
+    """What each of three waves added to the archive."""
+    return _waves(t).manifest().select(F.col("_wave").alias("wave"), "n", F.col("before").cast("long").alias("before"), "first", "last")
+
+
 @query("""WITH b AS (SELECT event_id % 3 AS wave, event_id % 4000 AS key, min(event_id) AS event_id FROM events GROUP BY 1, 2), n AS (SELECT b.*, TIMESTAMP '2030-01-01' + to_days(wave::INT) AS stamp, ts FROM b JOIN events USING (event_id) QUALIFY row_number() OVER (PARTITION BY key ORDER BY wave) = 1),
 h AS (SELECT wave, (epoch(stamp)::BIGINT - epoch(date_trunc('second', ts))::BIGINT) / 3600.0::DOUBLE AS hours, ts < stamp - INTERVAL 1 DAY AS late FROM n)
 SELECT wave::INT AS wave, count(*) AS n, round(list_sort(list(hours))[floor(count(*) * 0.1)::INT + 1], 6) AS p10, round(list_sort(list(hours))[floor(count(*) * 0.5)::INT + 1], 6) AS p50, round(list_sort(list(hours))[floor(count(*) * 0.9)::INT + 1], 6) AS p90, CASE WHEN wave > 0 THEN avg(late::INT) END AS late FROM h GROUP BY wave""")
 def wave_ledger(t: Tables):
     """Three waves with overlapping keys, their arrival latency and share of late records."""
-    ledger = Ledger(t.spark, f"{shared_dir(t.spark)}/tidemark-ledger-{uuid.uuid4().hex}", ["key"], ["event_id"])
-    e = t.events.select("event_id", (F.col("event_id") % 4000).alias("key"), "ts")
-    for k in range(3):
-        ledger.record(e.filter(F.col("event_id") % 3 == k), k, f"2030-01-0{k + 1} 00:00:00")
-    s = ledger.summary("ts")
+    s = _waves(t).summary("ts")
     return s.select(F.col("_wave").alias("wave"), "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")], "late")
 
 

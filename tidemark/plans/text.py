@@ -32,10 +32,10 @@ def substring_switch(t: Tables):
     return t.documents.select("doc_id", rules.switch(F.col("text"), TRIGGERS, "other").alias("class"), rules.deciding(F.col("text"), TRIGGERS).alias("trigger"))
 
 
-@query(r"""SELECT count(*) FILTER (hit AND NOT alone) AS misfires, count(*) FILTER (hit) AS hits FROM (SELECT contains(text, 'the') OR contains(text, 'er') AS hit, regexp_matches(text, '\bthe\b') OR regexp_matches(text, '\ber\b') AS alone FROM documents WHERE lang = 'en')""")
+@query(r"""SELECT count(*) FILTER (hit AND NOT alone) AS misfires, count(*) FILTER (hit) AS hits FROM (SELECT contains(text, 'the') OR contains(text, 'er') AS hit, regexp_matches(text, '(^|[^\p{L}\p{N}_])(?:the|er)($|[^\p{L}\p{N}_])') AS alone FROM documents)""")
 def misfire(t: Tables):
     one = [("b", ("the", "er"))]
-    return t.documents.filter("lang = 'en'").agg(F.count_if(rules.misfire(F.col("text"), one)).alias("misfires"), F.count_if(rules.any_of(F.col("text"), one[0][1])).alias("hits"))
+    return t.documents.agg(F.count_if(rules.misfire(F.col("text"), one)).alias("misfires"), F.count_if(rules.any_of(F.col("text"), one[0][1])).alias("hits"))
 
 
 @query(r"""SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '!'))::INT AS exclamations, len(regexp_extract_all(text, '[A-Z]{3,}'))::INT AS caps, len(regexp_extract_all(text, '[0-9]'))::INT AS digits, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::INT AS words FROM documents""")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators import ranks
 from ..operators.keys import same_rows, union_all
 
 
@@ -18,6 +20,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def batches(spark: SparkSession, path: str, name: str = "batch") -> list[int]:
+    """The numbers of the folders name=K that were written whole (they hold _SUCCESS)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(str(x.getPath().getParent().getName()).partition("=")[2]) for x in found)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, sha256 of every file at a path; a file is one row and is read by one task."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """page, position, body: the lines of landed answers, page by page, by Spark's own reader."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("page"), F.filter(F.split("value", "\n"), lambda x: F.btrim(x) != "").alias("lines"))
+    return whole.select("page", F.posexplode("lines").alias("position", "body"))
+
+
 def csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Every cell as text, none taken for null: quoted cells may hold line breaks."""
     schema = StructType([StructField(c, StringType()) for c in columns])
@@ -68,6 +88,65 @@ def xml_items(spark: SparkSession, path: str, tag: str, schema: str) -> DataFram
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, text, author, created, url of the entries of Atom feeds."""
+    link = "link struct<_href: string>"
+    df = xml_items(spark, path, "entry", f"id string, title string, content string, summary string, author struct<name: string>, published string, updated string, {link}")
+    return df.select("id", "title", F.coalesce("content", "summary").alias("text"), F.col("author.name").alias("author"), F.coalesce("published", "updated").alias("created"), F.col("link._href").alias("url"))
+
+
+def rss_items(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, text, author, created, url of the items of RSS feeds."""
+    df = xml_items(spark, path, "item", "guid string, title string, description string, source string, pubDate string, link string")
+    return df.select(F.coalesce("guid", "link").alias("id"), "title", F.col("description").alias("text"), F.col("source").alias("author"), F.col("pubDate").alias("created"), F.col("link").alias("url"))
+
+
+# Where interfaces keep their items, the fields of a reaction in them, and the
+# counters that make up its engagement.
+INTERFACES = {
+    "lemmy": ("posts", "post struct<id: long, name: string, body: string, published: string, ap_id: string>, creator struct<name: string>, counts struct<score: long, comments: long>", {"id": "post.id", "title": "post.name", "text": "post.body", "author": "creator.name", "created": "post.published", "url": "post.ap_id"}, ("counts.score", "counts.comments")),
+    "mastodon": ("statuses", "id string, content string, created_at string, url string, account struct<acct: string>, favourites_count long, reblogs_count long, replies_count long", {"id": "id", "title": None, "text": "content", "author": "account.acct", "created": "created_at", "url": "url"}, ("favourites_count", "reblogs_count", "replies_count")),
+    "hackernews": ("hits", "objectID string, title string, story_text string, comment_text string, author string, created_at string, story_url string, points long, num_comments long", {"id": "objectID", "title": "title", "text": ("story_text", "comment_text"), "author": "author", "created": "created_at", "url": "story_url"}, ("points", "num_comments")),
+    "pageviews": ("items", "article string, timestamp string, views long", {"id": "article", "title": "article", "text": None, "author": None, "created": "timestamp", "url": None}, ("views",)),
+}
+
+
+def answers(df: DataFrame, column: str, interface: str) -> DataFrame:
+    """id, title, text, author, created, url, engagement of the items in JSON answers of a
+    known interface; missing counters count as 0."""
+    items, schema, fields, counters = INTERFACES[interface]
+    rows = json_items(df, column, items, schema)
+    of = lambda x: F.lit(None).cast("string") if x is None else F.coalesce(*x) if isinstance(x, tuple) else F.col(x).cast("string")
+    return rows.select(*[of(x).alias(k) for k, x in fields.items()], engagement(*counters).alias("engagement"))
+
+
+def airport_delays(spark: SparkSession, path: str) -> DataFrame:
+    """entity, kind, reason, delay, detail of airport status documents, whose two kinds of
+    record (delays of programmes and closures) are one table."""
+    ground = xml_items(spark, path, "Ground_Delay", "ARPT string, Reason string, Avg string, Max string").select(F.col("ARPT").alias("entity"), F.lit("ground_delay").alias("kind"), F.col("Reason").alias("reason"), F.col("Avg").alias("delay"), F.concat_ws(" | ", F.nullif(F.col("Reason"), F.lit("")), F.nullif(F.col("Max"), F.lit(""))).alias("detail"))
+    closed = xml_items(spark, path, "Airport", "ARPT string, Reason string, Start string, Reopen string").select(F.col("ARPT").alias("entity"), F.lit("closure").alias("kind"), F.col("Reason").alias("reason"), F.lit(None).cast("string").alias("delay"), F.concat_ws(" | ", F.nullif(F.col("Reason"), F.lit("")), F.nullif(F.col("Start"), F.lit("")), F.nullif(F.col("Reopen"), F.lit(""))).alias("detail"))
+    return ground.unionByName(closed).filter("entity IS NOT NULL")
+
+
+def status_incidents(spark: SparkSession, path: str, tiers: dict[str, str], default: str = "infra") -> DataFrame:
+    """The items of status pages as incidents, with the tier of the page they are from."""
+    items = rss_items(spark, path)
+    host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
+    tier = F.coalesce(*[F.when(host == h, F.lit(v)) for h, v in tiers.items()], F.lit(default))
+    return items.select("id", "title", F.col("text").alias("detail"), F.col("created").alias("started_utc"), host.alias("entity"), tier.alias("tier"))
+
+
+def enumerated(fetch, first: str | None, oldest: str, created: str = "created"):
+    """Rows of a paginated interface, page after page, until a page reaches past the oldest
+    time wanted, is empty, or is the last: fetch(token) -> (rows, next token). Rows older
+    than the edge are left out."""
+    token, more = first, True
+    while more:
+        rows, token = fetch(token)
+        yield from (r for r in rows if r[created] >= oldest)
+        more = bool(rows) and token is not None and min(r[created] for r in rows) >= oldest
+
+
 def json_items(df: DataFrame, column: str, items: str, schema: str) -> DataFrame:
     """The objects of a list inside a JSON answer, a row each."""
     kind = f"struct<`{items}`: array<struct<{schema}>>>"
@@ -110,28 +189,52 @@ def nested_round_trip(parent: DataFrame, child: DataFrame, key: str, name: str,
     return same_rows(a, parent) and same_rows(b, child)
 
 
+def write_table(df: DataFrame, path: str) -> str:
+    """Parquet, or CSV where a column has a type that Parquet can't hold; the format used."""
+    try:
+        df.write.mode("overwrite").parquet(path)
+        return "parquet"
+    except AnalysisException:
+        df.select(*[F.to_json(c).alias(c) if k.startswith(("map", "array", "struct")) else F.col(c).cast("string").alias(c) for c, k in df.dtypes]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        return "csv"
+
+
+def nullified(df: DataFrame) -> DataFrame:
+    """df with empty texts and NaN as nulls, as a database is given them."""
+    return df.withColumns({c: F.nullif(F.col(c), F.lit("")) if k == "string" else F.nanvl(F.col(c), F.lit(None)) for c, k in df.dtypes if k in ("string", "double", "float")})
+
+
 def save_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+    nullified(df).write.mode("overwrite").saveAsTable(name)
+
+
+def save_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, rows: int = 5000) -> None:
+    """The rows of a database table replaced (it is emptied, not dropped, so that its keys
+    stay), in batches; the driver of the database must be on Spark's path."""
+    w = nullified(df).write.mode("overwrite").option("truncate", True).option("batchsize", rows)
+    w.jdbc(url, table, properties=properties or {})
 
 
-def within_budget(df: DataFrame, limit: int, text: str, rank: Sequence, droppable: Sequence[str] = (), cuts: Sequence[int] = (600, 400, 280)) -> DataFrame:
+def within_budget(df: DataFrame, limit: int, text: str, rank: Sequence, droppable: Sequence[str] = (), cuts: Sequence[int] = (600, 400, 280), on_topic=None) -> DataFrame:
     """df made smaller, step by step, until its JSON lines take `limit` bytes or fewer: first
-    without the droppable columns, then with its text cut (each step tried in turn), then
-    with the lowest-ranked rows left out. One aggregation sizes every step at once."""
+    only the rows on topic (where a condition is given), then without the droppable columns,
+    one by one, then with its text cut, then with the lowest-ranked rows left out. One
+    aggregation sizes every step at once; the rows that fit are found from sizes cumulated
+    in order of rank, in one more pass."""
+    shape = lambda of, cols, n: of.select(*[F.substring(c, 1, n).alias(c) if n and c == text else F.col(c) for c in cols])
     line = lambda cols, n: F.octet_length(F.to_json(F.struct(*[F.substring(c, 1, n).alias(c) if n and c == text else F.col(c) for c in cols]))) + 1
-    keep = [c for c in df.columns if c not in droppable]
-    steps = [(df.columns, None), (keep, None), *((keep, n) for n in cuts)]
-    sizes = df.agg(*[F.sum(line(cols, n)).alias(f"s{i}") for i, (cols, n) in enumerate(steps)], F.count("*").alias("n")).first()
-    shape = lambda cols, n: df.select(*[F.substring(c, 1, n).alias(c) if n and c == text else F.col(c) for c in cols])
-    for i, (cols, n) in enumerate(steps):
+    topic = F.lit(True) if on_topic is None else F.coalesce(on_topic, F.lit(False))
+    cols, steps = list(df.columns), [(list(df.columns), None, F.lit(True))]
+    if on_topic is not None:
+        steps.append((cols, None, topic))
+    for c in droppable:
+        cols = [x for x in cols if x != c]
+        steps.append((cols, None, topic))
+    steps += [(cols, n, topic) for n in cuts]
+    sizes = df.agg(*[F.sum(F.when(keep, line(own, n))).alias(f"s{i}") for i, (own, n, keep) in enumerate(steps)]).first()
+    for i, (own, n, keep) in enumerate(steps):
         if (sizes[f"s{i}"] or 0) <= limit:
-            return shape(cols, n)
-    cols, n = steps[-1]
-    rows = sizes["n"]
-    out = shape(cols, n)
-    while rows:
-        rows = int(rows * 0.85)
-        part = out.orderBy(*rank).limit(rows)
-        if (part.agg(F.sum(line(cols, None))).first()[0] or 0) <= limit:
-            return part
-    return out.limit(0)
+            return shape(df.filter(keep), own, n)
+    own, n, keep = steps[-1]
+    rows = ranks.running(df.filter(keep).withColumn("__size", line(own, n)), list(rank), ["__size"])
+    return shape(rows.filter(F.col("before___size") + F.col("__size") <= limit), own, n)

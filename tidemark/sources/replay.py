@@ -3,9 +3,9 @@ a live fetch would stand: spark.read.format('replay').option('path', folder).loa
 
 from __future__ import annotations
 
-import glob
 import os
 
+import pyarrow.fs as fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -22,15 +22,19 @@ class ReplaySource(DataSource):
 
 
 class ReplayReader(DataSourceReader):
-    """A partition for each landed page; the folder must be one that all executors see."""
+    """A partition for each landed page, read from any store that Arrow can reach (a path or
+    a URI); the folder must be one that all executors see."""
 
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(os.path.join(self.path, "*")))]
+        store, place = fs.FileSystem.from_uri(self.path)
+        found = store.get_file_info(fs.FileSelector(place))
+        return [InputPartition(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file]
 
     def read(self, partition: InputPartition):
-        with open(partition.value, encoding="utf-8") as f:
-            for i, line in enumerate(x for x in f.read().split("\n") if x.strip()):
+        store, _ = fs.FileSystem.from_uri(self.path)
+        with store.open_input_stream(partition.value) as f:
+            for i, line in enumerate(x for x in f.read().decode().split("\n") if x.strip()):
                 yield os.path.basename(partition.value), i, line

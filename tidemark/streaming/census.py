@@ -1,7 +1,9 @@
 """A running census of a stream beside a uniform sample of fixed size for each stratum.
 
 The sample is the k rows of smallest salted hash, so it is the same however the stream is
-cut into batches, and what two batches keep can be merged without the rows they dropped."""
+cut into batches, and what two batches keep can be merged without the rows they dropped.
+The state of each batch is a folder; which of them are whole is read from storage, so a
+restarted driver goes on from the last one."""
 
 from __future__ import annotations
 
@@ -9,12 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import quota_sample
+from ..sources import files
 
 
 class Census:
     def __init__(self, spark: SparkSession, path: str, strata: list[str], unique: list[str], value: str, k: int = 80):
         self.spark, self.path, self.strata, self.unique, self.value, self.k = spark, path, strata, unique, value, k
-        self.batch: int | None = None
+
+    def committed(self, before: int | None = None) -> int | None:
+        """The last batch whose census and sample are both written, before the given one."""
+        kept = [set(files.batches(self.spark, f"{self.path}/{kind}")) for kind in ("census", "sample")]
+        return max((k for k in kept[0] & kept[1] if before is None or k < before), default=None)
 
     def state(self, kind: str, k: int) -> str:
         return f"{self.path}/{kind}/batch={k}"
@@ -24,19 +31,22 @@ class Census:
         x = F.col(self.value).cast("double")
         count = df.groupBy(*self.strata).agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.count(x).alias("known"))
         sample = quota_sample(df, self.strata, self.unique, self.k)
-        if self.batch is not None and self.batch < k:
-            count = count.unionByName(self.spark.read.parquet(self.state("census", self.batch)))
-            sample = quota_sample(sample.unionByName(self.spark.read.parquet(self.state("sample", self.batch))), self.strata, self.unique, self.k)
+        last = self.committed(k)
+        if last is not None:
+            count = count.unionByName(self.spark.read.parquet(self.state("census", last)))
+            sample = quota_sample(sample.unionByName(self.spark.read.parquet(self.state("sample", last))), self.strata, self.unique, self.k)
         count.groupBy(*self.strata).agg(*[F.sum(c).alias(c) for c in ("n", "total", "known")]).write.mode("overwrite").parquet(self.state("census", k))
         sample.write.mode("overwrite").parquet(self.state("sample", k))
-        self.batch = k
 
     def follow(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         """The census (strata, n, total, known) and the sample."""
-        return self.spark.read.parquet(self.state("census", self.batch)), self.spark.read.parquet(self.state("sample", self.batch))
+        last = self.committed()
+        if last is None:
+            raise FileNotFoundError(f"no batch has been counted under {self.path}")
+        return self.spark.read.parquet(self.state("census", last)), self.spark.read.parquet(self.state("sample", last))
 
 
 def fraction(n: Column, census: Column) -> Column:

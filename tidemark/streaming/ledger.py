@@ -42,6 +42,14 @@ class Ledger:
         spread = hours.join(stamps, "_wave").groupBy("_wave", "n").agg(*[F.min(F.when(F.col("hi") >= at(q), F.col("hours"))).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)])
         return spread.join(late, "_wave")
 
+    def manifest(self) -> DataFrame:
+        """_wave, stamp, n (new records), before (records of all earlier waves), and the first
+        and last key of each wave: what a wave added, a row for each."""
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
+        own = self.seen().groupBy("_wave").agg(F.max("_first_seen").alias("stamp"), F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+        earlier = W.orderBy("_wave").rowsBetween(W.unboundedPreceding, -1)  # over a row for each wave
+        return own.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
     def follow(self, stream: DataFrame, stamp, checkpoint: str):
         """Record each micro-batch of a stream as a wave; stamp: batch number -> time."""
         return stream.writeStream.foreachBatch(lambda df, k: self.record(df, k, stamp(k))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
