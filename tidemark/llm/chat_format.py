@@ -9,8 +9,9 @@ character and backslashes are doubled, which `unescape` undoes exactly.
 Defined results: turns are ordered by turn number, then role, then text (nulls first);
 repeated rows are repeated turns; a null role or text is empty; roles outside the
 template are written with their name and make the conversation invalid; rows with a
-null conversation id form one conversation. A conversation is one output row, so it is
-the unit that one task holds.
+null conversation id form one conversation; other columns are not read; a table without
+rows gives none. A conversation is one output row, so it is the unit that one task holds,
+and a very long text in it a few copies of itself.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ summed apart, so that no task numbers a whole shard.
 
 Defined results: a null text is empty (size 16); null and empty texts are equal; rows
 with an equal or null id each take a place; fewer rows than shards leave the last shards
-empty; an empty table gives no rows.
+empty; other columns are not read; a very long text is hashed where it is read and moves
+nowhere; an empty table gives no rows.
 """
 
 from __future__ import annotations
