@@ -50,6 +50,12 @@ def strip_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"<[^>]+>", " "))
 
 
+def plain_page(html: Column) -> Column:
+    """A page as plain text: scripts, styles, comments and tags out, entities decoded."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
+    return squeeze(html_unescape(strip_tags(bare)))
+
+
 def split_last(c: Column, sep: str = ", ") -> tuple[Column, Column]:
     """Before and after the last separator; without one, the whole text twice."""
     after = F.substring_index(c, sep, -1)

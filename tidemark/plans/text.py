@@ -96,13 +96,6 @@ def stable_ids(t: Tables):
     return t.customer.select("c_custkey", i.alias("id"), text.half(i).alias("half"))
 
 
-@query()
-def html_text(t: Tables):
-    """Pages as plain text: scripts and tags out, entities decoded."""
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    return t.pages.select("page_id", text.squeeze(text.html_unescape(text.strip_tags(bare))).alias("text"))
-
-
 #: Raw posts, and each as comparable text with negation marked.
 RAW_POSTS = [
     ('"RT @bob: Sooooo bad!!! #NotGood https://a.b/c 12,5 :)"', "usertoken : soo bad!! # not good_neg urltoken_neg numtoken_neg emotesmile_neg"),

@@ -34,8 +34,10 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """page, position, body: the lines of landed answers, page by page, by Spark's own reader."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("page"), F.filter(F.split("value", "\n"), lambda x: F.btrim(x) != "").alias("lines"))
-    return whole.select("page", F.posexplode("lines").alias("position", "body"))
+    df = spark.read.text(path, wholetext=True)
+    rest = [c for c in df.columns if c != "value"]  # columns in the names of folders
+    whole = df.select(F.regexp_extract(F.input_file_name(), "[^/]+$", 0).alias("page"), *rest, F.filter(F.split("value", "\n"), lambda x: F.btrim(x) != "").alias("lines"))
+    return whole.select("page", *rest, F.posexplode("lines").alias("position", "body"))
 
 
 def csv_text(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
