@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, strip, tokens, whole
+from ..session import shared_dir
 from .keys import keep_first, union_all
 
 # What stands for a missing cell; patterns that corrupt texts end with.
@@ -164,6 +165,8 @@ def log_odds(df: DataFrame, text: str, focus: Column, k: int, pattern: str = r"[
     """term, a, b, z: the k terms most typical of the focus rows against the others."""
     words = df.select(focus.alias("f"), F.explode(tokens(F.col(text), pattern)).alias("term"))
     c = words.groupBy("term").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b")).filter(F.col("a") + F.col("b") >= least)
+    shared_dir(df.sparkSession)
+    c = c.checkpoint()  # read for the totals and for the scores
     n = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p, all_p = prior * (F.col("a") + F.col("b")), prior * (F.col("na") + F.col("nb"))
     logit = lambda x, m: F.log((F.col(x) + p) / (F.col(m) + all_p - F.col(x) - p))

@@ -86,3 +86,14 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     n = F.col("n")
     spread = (n * F.col("xx") - F.col("sx") * F.col("sx")) * (n * F.col("yy") - F.col("sy") * F.col("sy"))
     return m.select(F.when(spread > 0, (n * F.col("xy") - F.col("sx") * F.col("sy")) / F.sqrt(spread)).alias("rho"), n.alias("n"))
+
+
+def best_threshold(df: DataFrame, actual: str, score: str, lo: int, hi: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, tau (hundredths): the least of the thresholds with the most hits of score >= tau
+    against a 0/1 label; scores are counted by hundredth first."""
+    keys = keys or []
+    cell = df.groupBy(*keys, F.floor(F.round(F.col(score) * 100, 6)).cast("int").alias("cell"), F.col(actual).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    taus = df.sparkSession.range(lo, hi + 1).select(F.col("id").cast("int").alias("tau"))
+    hit = (F.col("cell") >= F.col("tau")).cast("int") == F.col("y")
+    hits = cell.crossJoin(F.broadcast(taus)).groupBy(*keys, "tau").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("hits"))
+    return hits.groupBy(*keys).agg(F.min_by("tau", F.struct(-F.col("hits"), "tau")).alias("tau"))

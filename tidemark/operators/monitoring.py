@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze, stable_id
+from ..session import shared_dir
 from . import keys, ranks, series
 from .cleaning import dedupe_by_regime
 
@@ -25,8 +26,10 @@ def unify(raw: DataFrame, aliases: dict[str, str], lo: str, hi: str, by_author:
     read = raw.withColumns({"created": at, "body": body}).filter(F.length("body") >= 3)
     read = read.withColumns({"thin": F.length("body") < 15, "record_id": stable_id(F.col("source"), F.col("record_native_id"), F.substring("body", 1, 200))})
     inside = read.filter(F.col("created").between(F.lit(lo).cast("timestamp"), F.lit(hi).cast("timestamp")))
-    once = keys.keep_first(inside, ["record_id"], ["created", "body"])
-    texts = dedupe_by_regime(once, "source", "author_pseudonym", "body", "record_id", by_author)
+    # Written after each shuffle, so that a count of one step doesn't make those before it again.
+    shared_dir(raw.sparkSession)
+    once = keys.keep_first(inside, ["record_id"], ["created", "body"]).checkpoint()
+    texts = dedupe_by_regime(once, "source", "author_pseudonym", "body", "record_id", by_author).checkpoint()
     found = keys.contains_first(F.lower("body"), aliases)
     branded = texts.withColumn("brand", F.when(F.coalesce("brand", F.lit("")) == "", found).otherwise(F.col("brand")))
     return {"raw": raw, "read": read, "in_window": inside, "once_by_id": once, "once_by_text": texts, "unified": branded}
@@ -174,3 +177,18 @@ def replies(df: DataFrame, group: str, replied: str, rating: str, least: int) ->
     c = lambda k: F.col(f"__{k}")
     t = series.welch(c("n0"), c("s0"), c("q0"), c("n1"), c("s1"), c("q1"))["t"]
     return own.select(group, "n", F.round("rate", 4).alias("reply_rate"), F.round("mean", 4).alias("mean_rating"), F.round(c("s1") / c("n1") - c("s0") / c("n0"), 6).alias("difference"), F.round(t, 6).alias("t"))
+
+
+# What is said of an event that so many sources bear out.
+VERDICTS = ("internal only", "weak", "two sources", "three sources")
+
+
+def verdicts(events: DataFrame, headlines: DataFrame, found: DataFrame, attention: DataFrame) -> DataFrame:
+    """strength, tier, n, incidents, verdict over events (event, brand, day): one point each
+    for an incident that corroborates, a headline of any tier, and attention."""
+    inc = found.groupBy("event").agg(F.count_if("corroborates").alias("incidents"))
+    out = events.join(headlines.select("event", "tier"), "event").join(inc, "event", "left").join(attention.select("brand", "day", "corroborates"), ["brand", "day"], "left")
+    out = out.withColumn("incidents", F.coalesce("incidents", F.lit(0)))
+    strength = (F.col("incidents") > 0).cast("int") + (F.col("tier") != "none").cast("int") + F.coalesce(F.col("corroborates"), F.lit(False)).cast("int")
+    per = out.groupBy(strength.alias("strength"), "tier").agg(F.count("*").alias("n"), F.sum("incidents").alias("incidents"))
+    return per.withColumn("verdict", F.element_at(F.array(*[F.lit(v) for v in VERDICTS]), F.col("strength") + 1))

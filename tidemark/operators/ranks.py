@@ -119,3 +119,17 @@ def cumulative_share(df: DataFrame, value: str, ties: list[Column]) -> DataFrame
     total = df.agg(F.sum(value).alias("__all"))
     rows = running(df, [F.col(value).desc(), *ties], [value]).crossJoin(F.broadcast(total))
     return rows.withColumn("share", F.try_divide(F.col(f"before_{value}") + F.col(value), F.col("__all"))).drop(f"before_{value}", "__all")
+
+
+def holdout(df: DataFrame, text: str, label: str, share: float, seed: str = "42") -> DataFrame:
+    """df with held: a share of the distinct texts of each label, drawn by hash; equal texts
+    are on one side, so nothing leaks."""
+    units = df.groupBy(text).agg(F.min(label).alias("__l"))
+    units = numbered_within(units.withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(text)))), ["__l"], [F.col("__h"), F.col(text)], "__k")
+    total = units.groupBy("__l").agg(F.max("__k").alias("__n"))
+    return df.join(units.join(total, "__l").select(text, (F.col("__k") <= share * F.col("__n")).alias("held")), text)
+
+
+def leaks(df: DataFrame, text: str, part: str) -> DataFrame:
+    """The texts that stand in more than one part of a split: none, if it is sound."""
+    return df.groupBy(text).agg(F.count_distinct(part).alias("parts")).filter("parts > 1")

@@ -93,8 +93,8 @@ def robust_z(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def concentration(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, contributors, top1_share, top5_share, gini of the positive values."""
     own = df.filter(F.col(value) > 0)
-    up, down = W.partitionBy(*keys).orderBy(F.col(value).asc()), W.partitionBy(*keys).orderBy(F.col(value).desc())
-    ranked = own.withColumns({"__i": F.row_number().over(up), "__j": F.row_number().over(down)})
+    ranked = ranks.numbered_within(own, keys, [F.col(value), F.hash(*df.columns)], "__i")
+    ranked = ranked.join(ranked.groupBy(*keys).agg(F.max("__i").alias("__n")), keys).withColumn("__j", F.col("__n") - F.col("__i") + 1)
     total, n = F.sum(value), F.count("*")
     return ranked.groupBy(*keys).agg(
         n.alias("contributors"),

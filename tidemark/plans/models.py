@@ -212,3 +212,51 @@ def leakage_audit(t: Tables):
     moved labels leave of it."""
     rows = _modelled(t).drop("fold")
     return features.leakage(rows, "doc_id", "text", "label", features.classifiers("label")["logistic"])
+
+
+@query("""WITH u AS (SELECT text, min(source) AS l FROM documents GROUP BY 1), k AS (SELECT text, row_number() OVER (PARTITION BY l ORDER BY md5('42' || text), text) <= 0.2 * count(*) OVER (PARTITION BY l) AS held FROM u)
+SELECT doc_id, held, 0 AS leaks FROM documents JOIN k USING (text)""")
+def stratified_holdout(t: Tables):
+    """A fifth of the distinct texts of each source, held out; and how many texts leak."""
+    d = ranks.holdout(t.documents.select("doc_id", "text", "source"), "text", "source", 0.2)
+    lost = ranks.leaks(d, "text", "held").agg(F.count("*").cast("int").alias("leaks"))
+    return d.crossJoin(F.broadcast(lost)).select("doc_id", "held", "leaks")
+
+
+@query(f"""WITH x AS (SELECT *, doc_id % 2 AS half FROM {SCORED}), g AS (SELECT tau, sum(((round(s * 100) >= tau)::INT = y)::INT) AS hits FROM x, (SELECT unnest(range(20, 96)) AS tau) WHERE half = 0 GROUP BY 1), b AS (SELECT arg_min(tau, (-hits, tau))::INT AS tau FROM g)
+SELECT tau, a::DOUBLE AS margin, count(*) AS n, count(*) FILTER (abs(s - tau / 100) >= a) AS decided, round(avg(((s >= tau / 100)::INT = y)::INT) FILTER (abs(s - tau / 100) >= a), 6) AS accuracy FROM x, b, (SELECT unnest([0.0, 0.105, 0.205]) AS a) WHERE half = 1 GROUP BY 1, 2""")
+def tau_transfer(t: Tables):
+    """The threshold chosen on one half, judged on the other, with abstention near it."""
+    x = _scored(t).withColumn("half", F.col("doc_id") % 2)
+    tau = metrics.best_threshold(x.filter("half = 0"), "y", "s", 20, 95)
+    margins = F.explode(F.array(*[F.lit(a) for a in (0.0, 0.105, 0.205)])).alias("margin")
+    rest = x.filter("half = 1").crossJoin(F.broadcast(tau)).select("y", "s", "tau", margins)
+    on = F.abs(F.col("s") - F.col("tau") / 100) >= F.col("margin")
+    right = ((F.col("s") >= F.col("tau") / 100).cast("int") == F.col("y")).cast("int")
+    return rest.groupBy("tau", "margin").agg(F.count("*").alias("n"), F.count_if(on).alias("decided"), F.round(F.avg(F.when(on, right)), 6).alias("accuracy"))
+
+
+@query(f"""WITH x AS (SELECT *, ('0x' || substr(md5('lc' || doc_id::VARCHAR), 1, 4))::INT / 65536 AS u FROM {SCORED}), z AS (SELECT unnest([0.15, 0.3, 0.5, 0.7, 0.85, 1.0])::DOUBLE AS size),
+g AS (SELECT size, tau, sum(((round(s * 100) >= tau)::INT = y)::INT) AS hits FROM x, z, (SELECT unnest(range(5, 96)) AS tau) WHERE doc_id % 4 > 0 AND u < size GROUP BY 1, 2), b AS (SELECT size, arg_min(tau, (-hits, tau))::INT AS tau FROM g GROUP BY 1)
+SELECT size, tau, count(*) AS n, round(avg(((round(s * 100) >= tau)::INT = y)::INT), 6) AS accuracy FROM x, b WHERE doc_id % 4 = 0 GROUP BY 1, 2""")
+def learning_curve(t: Tables):
+    """A threshold fitted on nested samples of growing size, each judged on the same held-out quarter."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("lc"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("int") / 65536
+    sizes = F.array(*[F.lit(x) for x in (0.15, 0.3, 0.5, 0.7, 0.85, 1.0)])
+    x = _scored(t)
+    train = x.filter("doc_id % 4 > 0").withColumn("u", u).select("y", "s", F.explode(F.filter(sizes, lambda z: F.col("u") < z)).alias("size"))
+    fitted = metrics.best_threshold(train, "y", "s", 5, 95, ["size"])
+    said = (F.round(F.col("s") * 100) >= F.col("tau")).cast("int")
+    return x.filter("doc_id % 4 = 0").crossJoin(F.broadcast(fitted)).groupBy("size", "tau").agg(F.count("*").alias("n"), F.round(F.avg((said == F.col("y")).cast("int")), 6).alias("accuracy"))
+
+
+CUES = {"question": r"\?", "loud": "!", "digit": "[0-9]", "mention": "@", "shout": "[A-Z]{3,}"}
+
+
+@query("WITH x AS (SELECT quality <> (n_chars > 700)::INT AS wrong, text, abs(n_chars - 700) / 10000.0 AS confidence FROM documents JOIN labels USING (doc_id)) " + " UNION ALL ".join(f"SELECT '{k}' AS cue, count(*) AS n, round(avg(wrong::INT), 6) AS error_rate, round(avg(confidence) FILTER (NOT wrong), 6) AS sure_right, round(avg(confidence) FILTER (wrong), 6) AS sure_wrong FROM x WHERE regexp_matches(text, '{p}') HAVING count(*) >= 20" for k, p in CUES.items()))
+def error_cues(t: Tables):
+    """Errors where a cue is in the text, and how sure the right and the wrong ones were."""
+    j = t.documents.join(t.labels, "doc_id")
+    x = j.select((F.col("quality") != (F.col("n_chars") > 700).cast("int")).alias("wrong"), (F.abs(F.col("n_chars") - 700) / 10000).alias("confidence"), F.explode(F.filter(F.array(*[F.when(F.rlike("text", F.lit(p)), F.lit(k)) for k, p in CUES.items()]), lambda c: c.isNotNull())).alias("cue"))
+    r = x.groupBy("cue").agg(F.count("*").alias("n"), F.round(F.avg(F.col("wrong").cast("int")), 6).alias("error_rate"), F.round(F.avg(F.when(~F.col("wrong"), F.col("confidence"))), 6).alias("sure_right"), F.round(F.avg(F.when(F.col("wrong"), F.col("confidence"))), 6).alias("sure_wrong"))
+    return r.filter("n >= 20")

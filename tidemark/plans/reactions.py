@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 from ..operators import monitoring
-from .registry import Tables, query
+from .registry import SQL, Tables, query
 
 #: Text; what makes it relevant first; kind of delay; kind of reaction; rival named; airports; cities; flags.
 PHRASES = [
@@ -227,3 +227,13 @@ def severity_against_stars(t: Tables):
     from ..operators import metrics
 
     return metrics.rank_correlation(r.withColumn("h", F.log1p("h")), "h", "rating").select(F.round("rho", 6).alias("rho"), "n")
+
+
+@query(f"""WITH h AS ({SQL["headline_evidence"]}), i AS ({SQL["incident_evidence"]}), a AS ({SQL["attention_evidence"]}), ic AS (SELECT event, count(*) FILTER (corroborates) AS corroborating FROM i GROUP BY 1),
+v AS (SELECT e.event_id AS event, coalesce(corroborating, 0) AS incidents, tier, coalesce(a.corroborates, false) AS attention, (coalesce(corroborating, 0) > 0)::INT + (tier <> 'none')::INT + coalesce(a.corroborates, false)::INT AS strength
+FROM events e JOIN h ON h.event = e.event_id LEFT JOIN ic ON ic.event = e.event_id LEFT JOIN a ON a.brand = e.event_type AND a.day = e.ts::DATE AND e.value > 99.5)
+SELECT strength, tier, count(*) AS n, sum(incidents)::BIGINT AS incidents, ['internal only', 'weak', 'two sources', 'three sources'][strength + 1] AS verdict FROM v GROUP BY 1, 2""")
+def event_verdicts(t: Tables):
+    """Events by how many independent sources bear them out: incidents, headlines, attention."""
+    events = t.events.filter("value > 98").select(F.col("event_id").alias("event"), F.when(F.col("value") > 99.5, F.col("event_type")).alias("brand"), F.to_date("ts").alias("day"))
+    return monitoring.verdicts(events, headline_evidence(t), incident_evidence(t), attention_evidence(t))

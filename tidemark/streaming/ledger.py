@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from ..operators.keys import keep_first, unseen
 from ..sources.files import exists
 
@@ -36,10 +37,7 @@ class Ledger:
         stamps = df.groupBy("_wave").agg(F.max("_first_seen").alias("stamp"), F.count("*").alias("n"))
         prior = stamps.select((F.col("_wave") + 1).alias("_wave"), F.col("stamp").alias("prior"))
         late = df.join(F.broadcast(prior), "_wave", "left").groupBy("_wave").agg(F.avg(F.when(F.col("prior").isNotNull(), (F.col(created) < F.col("prior")).cast("double"))).alias("late"))
-        at = lambda q: F.floor(F.col("n") * q) + 1
-
-        hours = df.groupBy("_wave", "hours").agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(W.partitionBy("_wave").orderBy("hours").rowsBetween(W.unboundedPreceding, 0)))
-        spread = hours.join(stamps, "_wave").groupBy("_wave", "n").agg(*[F.min(F.when(F.col("hi") >= at(q), F.col("hours"))).alias(f"p{round(q * 100)}") for q in (0.1, 0.5, 0.9)])
+        spread = ranks.quantiles(df, ["_wave"], "hours", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, nearest=True).join(stamps.select("_wave", "n"), "_wave")
         return spread.join(late, "_wave")
 
     def manifest(self) -> DataFrame:
