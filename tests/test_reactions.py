@@ -275,3 +275,28 @@ def test_statements_leave_no_views(spark):
     run(spark, "/root/testdata/sf0.001", "SELECT count(*) AS n FROM orders").collect()
     assert spark.table("orders").count() == 3
     spark.catalog.dropTempView("orders")
+
+
+def test_calibrated_margins_sum_to_one(spark):
+    r = random.Random(3)
+    rows = [(i, i % 3, *[(1.5 if i % 3 == c else -0.5) + r.gauss(0, 1) for c in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, label int, m0 double, m1 double, m2 double")
+    got = features.calibrated(df, "label", {0: "m0", 1: "m1", 2: "m2"}).collect()
+    assert all(sum(x.p) == pytest.approx(1.0) for x in got)
+    assert sum(max(range(3), key=lambda c, p=x.p: p[c]) == x.label for x in got) > 100
+
+
+def test_interval_join_with_equal_columns(spark):
+    a = spark.createDataFrame([(1, "x", 5), (2, "y", 5), (3, "x", 11)], "k int, g string, at int")
+    b = spark.createDataFrame([("x", 4, 6), ("y", 6, 9), ("x", 10, 30)], "g string, lo int, hi int")
+    got = keys.interval_join(a, b, "at", "lo", "hi", 4, ["g"]).select("k", "lo").collect()
+    assert sorted(map(tuple, got)) == [(1, 4), (3, 10)]
+
+
+def test_holdout_does_not_leak(spark):
+    rows = [(i, f"t{i % 40}", "ab"[i % 2]) for i in range(120)]
+    d = ranks.holdout(spark.createDataFrame(rows, "id int, text string, label string"), "text", "label", 0.25)
+    assert ranks.leaks(d, "text", "held").count() == 0
+    assert {x.label: x.n for x in d.filter("held").groupBy("label").agg(F.count_distinct("text").alias("n")).collect()} == {"a": 5, "b": 5}
+    best = metrics.best_threshold(spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.4), (1, 0.9)], "y int, s double"), "y", "s", 0, 100).first()
+    assert best.tau == 11

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,12 +46,12 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return digest(a) == digest(b)
 
 
-def interval_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
-    """Rows of left (a number `at`) with the rows of right whose [lo, hi] holds it. Both
-    sides meet in buckets of the given width, an equi join, so no side must be small;
-    each interval is repeated for the buckets that it touches."""
+def interval_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str, width: int, on: Sequence[str] = ()) -> DataFrame:
+    """Rows of left (a number `at`) with the rows of right whose [lo, hi] holds it and whose
+    `on` columns are equal. Both sides meet in buckets of the given width, an equi join, so no
+    side must be small; each interval is repeated for the buckets that it touches."""
     spread = right.filter(F.col(lo) <= F.col(hi)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    return left.withColumn("__b", F.floor(F.col(at) / width)).join(spread, "__b").filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__b")
+    return left.withColumn("__b", F.floor(F.col(at) / width)).join(spread, [*on, "__b"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__b")
 
 
 def contains_first(text: Column, names: dict[str, str], default: str = "") -> Column:

@@ -120,11 +120,12 @@ def headline_evidence(events: DataFrame, news: DataFrame, fails: Callable[[Colum
     by the brand's own query; and the strongest tier that has any. Headlines of a day are
     counted by text before the join."""
     said = news.groupBy("day", "asked", "says").agg(F.count("*").alias("k")).withColumn("fails", fails(F.col("says")))
-    near = events.select("event", "brand", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).join(said, "day")
+    cases = events.select("brand", "day").distinct()  # what is found depends on these alone
+    near = cases.select("brand", F.col("day").alias("__day"), F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).join(said, "day")
     names = F.regexp_count("says", F.concat(F.lit(r"(?iu)\b\Q"), F.col("brand"), F.lit(r"\E\b"))) > 0
     total = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
-    found = near.withColumn("names", names).groupBy("event").agg(F.sum("k").alias("headlines"), total(F.col("names")).alias("naming"), total(F.col("names") & F.col("fails")).alias("failing"), total(F.col("names") & F.col("fails") & (F.col("asked") == F.col("brand"))).alias("own_query"))
-    out = events.select("event").join(found, "event", "left").na.fill(0)
+    found = near.withColumn("names", names).groupBy("brand", F.col("__day").alias("day")).agg(F.sum("k").alias("headlines"), total(F.col("names")).alias("naming"), total(F.col("names") & F.col("fails")).alias("failing"), total(F.col("names") & F.col("fails") & (F.col("asked") == F.col("brand"))).alias("own_query"))
+    out = events.select("event", "brand", "day").join(found, ["brand", "day"], "left").drop("brand", "day").na.fill(0)
     return out.withColumn("tier", F.when(F.col("own_query") > 0, "own query").when(F.col("failing") > 0, "named").otherwise("none"))
 
 
@@ -138,17 +139,18 @@ def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, li
     brand, domain) that bear on it: the entity has the brand as a word, the sector covers the
     domain, or it is a direct vendor of a domain in `chain`, which is context only. The first
     `most` of an event, those that corroborate before the others."""
-    seconds = lambda c: F.unix_micros(c)
     width = days * 86_400 * 1_000_000
-    left = found.select(key, "entity", "sector", "tier", seconds(F.col("started")).alias("__at"))
-    right = events.select("event", "brand", "domain", (seconds(F.col("ts")) - width).alias("__lo"), (seconds(F.col("ts")) + width).alias("__hi"))
-    near = keys.interval_join(left, right, "__at", "__lo", "__hi", 2 * width + 1)
+    # Which incidents bear on which brand is settled first, over the list of brands.
+    brands = events.select("brand", "domain").distinct()
     word = F.regexp_count(F.lower("entity"), F.concat(F.lit(r"(?u)\b\Q"), F.lower("brand"), F.lit(r"\E\b"))) > 0
     covers = F.lit(False)
     for domain, of in sectors.items():
         covers = covers | ((F.col("domain") == domain) & F.col("sector").isin(*of))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    near = near.withColumns({"__name": yes(word & (F.length("brand") > 3)), "__sector": yes(covers), "__chain": yes((F.col("tier") == "direct") & F.col("domain").isin(*chain))}).filter("__name OR __sector OR __chain")
+    tests = {"__name": yes(word & (F.length("brand") > 3)), "__sector": yes(covers), "__chain": yes((F.col("tier") == "direct") & F.col("domain").isin(*chain))}
+    bears = found.select(key, "entity", "sector", "tier", F.unix_micros("started").alias("__at")).crossJoin(F.broadcast(brands)).withColumns(tests).filter("__name OR __sector OR __chain")
+    right = events.select("event", "brand", "domain", (F.unix_micros("ts") - width).alias("__lo"), (F.unix_micros("ts") + width).alias("__hi"))
+    near = keys.interval_join(bears, right, "__at", "__lo", "__hi", 2 * width + 1, ["brand", "domain"])
     matched = F.when(F.col("__name"), "entity").when(F.col("__sector"), "sector").otherwise("supply_chain_tier")
     out = near.select("event", key, "entity", matched.alias("matched_on"), (F.col("__name") | F.col("__sector")).alias("corroborates"))
     return ranks.top_k(out, ["event"], [F.col("corroborates").desc(), F.col(key)], most)
