@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +55,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
     _places[id(out)] = weakref.ref(out, lambda _, k=id(out): _places.pop(k, None)), path
     return out
 
 
-#: Where the frames that `stored` returned are kept.
+#: Where the frames that `stored` returned are kept, and all places that it has written to.
 _places: dict[int, tuple[weakref.ref, str]] = {}
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete the tables that were stored in the block, but those of the frames that are put
+    into the list; whatever was made of the others must be stored when the block ends."""
+    begin, keep = len(_made), []
+    yield keep
+    spared = {_places[id(df)][1] for df in keep if id(df) in _places}
+    for path in [x for x in _made[begin:] if x not in spared]:
+        _delete(spark, path)
+        _made.remove(path)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -67,9 +88,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         ref, path = _places.get(id(df), (None, ""))
         if ref and ref() is df:
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

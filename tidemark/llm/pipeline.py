@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from .common import discard, stored, table
+from .common import discard, stored, swept, table
 
 #: Patience alignment has no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -71,6 +71,9 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_joi
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        before = docs
+        with swept(spark) as keep:
+            docs = stored(stage(spark, before, sf_dir), name)
+            keep.append(docs)
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,7 @@ from .common import stored, whole_text
 
 LINE_SHARE, LINE_DOCUMENTS, LINE_MOST, MOST_LOST = 0.10, 20, 1000, 0.5
 MIN_WORDS, MOST_REPEATED = 50, 0.5
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: White space of the word rule: the space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -112,12 +113,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sour
     text = whole_text(text_col)
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("null"))
     rows = base_stats(docs, text_col).withColumns({"__row": F.monotonically_increasing_id(), "__t": F.xxhash64(text), "__host": host, "__lines": hashed_lines(text)})
-    rows = stored(rows if strip else rows.drop(text_col), "judged")  # a row's number is fixed as it is written
+    rows = rows.select(id_col, *STATISTICS, "__row", "__t", "__host", "__lines") if strip else rows.drop(text_col)
+    rows = stored(rows, "judged")  # a row's number is fixed as it is written
     lost = frequent_lines(rows.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col("__t").alias("t"), F.col("__host").alias("host"), (~F.col("base_failed")).alias("passed"), F.col("__lines").alias("lines")), **limits)
-    out = rows.drop("__t", "__host", "__lines").join(lost.select(F.col("row").alias("__row"), F.col("at").alias("__at"), F.col("words").alias("__lost")), "__row", "left")
+    out = rows.drop("__host", "__lines").join(lost.select(F.col("row").alias("__row"), F.col("at").alias("__at"), F.col("words").alias("__lost")), "__row", "left")
     out = out.withColumn("lost_words", F.coalesce("__lost", F.lit(0)).cast("long"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= most_lost * F.col("n_words")))
-    if strip:
+    if strip:  # the texts come in here, so that they are written nowhere but on the way to this join
+        results = [*STATISTICS, "lost_words", "kept"]
+        judged = out.select(F.col(id_col).alias("__id"), F.col("__t").alias("__h"), *results, "__at").dropDuplicates(["__id", "__h"])
+        rest = docs.drop(*results).withColumn("__t", F.xxhash64(text))
+        out = rest.join(judged, rest[id_col].eqNullSafe(judged["__id"]) & (rest["__t"] == judged["__h"])).drop("__id", "__h")
         less = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__at", i)), "\n")
         out = out.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(less))
-    return out.drop("__row", "__at", "__lost")
+    return out.drop("__row", "__t", "__at", "__lost")
