@@ -307,6 +307,7 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 def _read(spark: SparkSession, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
     small_batches(spark, BATCH)
     chunks = spark.read.schema("shard int, chunk int, first long, n_ids long, doc_ids array<long>, sizes array<long>, blob binary").parquet(path)
+    # A row for each file that was written: as many as the shards of `write_ids`, 16 bytes each.
     offset, offsets = 0, []
     for r in chunks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():  # a row per file
         offsets.append((r.shard, offset))
