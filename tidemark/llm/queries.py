@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, line_dedup, ngram_join, pipeline as corpus, quality_rules, sharding, token_counts, token_files, url_filter
+from . import byte_bpe, chat_format, decontaminate, fill_in_middle, importance, line_dedup, ngram_join, pipeline as corpus, quality_rules, sharding, token_counts, token_files, topk_search, url_filter
 from .common import table
 
 #: The rules of the URL query: fixed values.
@@ -94,13 +94,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index, blocks = topk_search.build_index(vectors, "vec_id", "embedding", scale=64)
+    return topk_search.search(index, blocks, vectors.filter(F.col("vec_id") % 20 == 0), "vec_id", "embedding", scale=64, k=20)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm=50)
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_line_dedup, op3_url_filter, op4_byte_bpe, op5_token_files, op6_ngram_join, op7_decontaminate, op8_chat_format, op9_quality_rules, op10_sharding, pipeline, url_rules)
+    for f in (op1_token_counts, op2_line_dedup, op3_url_filter, op4_byte_bpe, op5_token_files, op6_ngram_join, op7_decontaminate, op8_chat_format, op9_quality_rules, op10_sharding, op11_topk_search, op12_fill_in_middle, op13_importance, pipeline, url_rules)
 }
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -173,4 +190,45 @@ f AS (SELECT page_id, rule, said, row_number() OVER (PARTITION BY page_id ORDER
 SELECT p.page_id, host, path, rule, said AS rule_verdict FROM p LEFT JOIN f ON p.page_id = f.page_id AND k = 1
 """
 
-ORACLE_SQL: dict[str, str] = {"url_rules": URL_RULES_SQL, "op7_decontaminate": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_quality_rules": OP9_SQL}
+#: Every query with every other vector.
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: DuckDB has no crc32: its table by the rule, then a byte at a time, for each distinct word.
+OP13_SQL = r"""
+WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crcs),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+w AS (SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+n AS (SELECT side, id, word, count(*) AS n FROM w GROUP BY ALL),
+distinct_words AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM n)),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT)),
+                                        lambda c, y: xor(crcs[(xor(c, y) % 256)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM distinct_words, step),
+f AS (SELECT side, id, n, bucket FROM n JOIN hashed USING (word)),
+c AS (SELECT bucket, sum(CASE WHEN side = 'd' THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 'b' THEN n ELSE 0 END) AS t FROM f GROUP BY 1),
+a AS (SELECT sum(s)::DOUBLE AS alls, sum(t)::DOUBLE AS allt FROM c),
+g AS (SELECT bucket, floor(1000 * ln(((t::DOUBLE + 1) * (alls + 10000)) / ((s::DOUBLE + 1) * (allt + 10000))))::BIGINT AS gain FROM c, a),
+m AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY 1),
+r AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM documents LEFT JOIN m ON doc_id = id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS eligible FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN k <= 10 * eligible // 100 THEN k END AS rank FROM r LEFT JOIN o ON r.doc_id = o.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_topk_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_importance": OP13_SQL, "url_rules": URL_RULES_SQL, "op7_decontaminate": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_quality_rules": OP9_SQL}
