@@ -353,20 +353,6 @@ def test_stream_as_waves(spark, tmp_path):
     assert windows.drained(spark.readStream.schema("id long, k long").parquet(src).groupBy("k").count()).count() == 4
 
 
-def test_census_does_not_depend_on_batches(spark, tmp_path):
-    from tidemark.streaming.census import Census
-
-    df = spark.range(200).withColumns({"g": F.col("id") % 3, "v": F.col("id") * 1.0})
-    states = []
-    for name, cuts in (("one", [(0, 200)]), ("many", [(0, 7), (7, 90), (90, 200)])):
-        c = Census(spark, str(tmp_path / name), ["g"], ["id"], "v", k=5)
-        for k, (a, b) in enumerate(cuts):
-            c.update(df.filter((F.col("id") >= a) & (F.col("id") < b)), k)
-        states.append(c.read())
-    assert keys.same_rows(states[0][0].orderBy("g"), states[1][0]) and keys.same_rows(states[0][1], states[1][1])
-    assert states[0][1].count() == 15
-
-
 # ---- monitoring
 
 

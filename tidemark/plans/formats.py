@@ -139,17 +139,6 @@ def budget_ladder(t: Tables):
     return t.spark.createDataFrame(rows, "step string, n long, columns int")
 
 
-@query("SELECT event_id FROM events WHERE event_id < 40 AND event_id >= 8")
-def paged_enumeration(t: Tables):
-    """Pages of ten, newest first, followed until one reaches past the edge."""
-    def page(token):
-        at = 40 if token is None else token
-        rows = t.events.filter((F.col("event_id") < at) & (F.col("event_id") >= at - 10)).orderBy(F.desc("event_id")).select("event_id").collect()  # a page
-        return [{"created": r.event_id} for r in rows], at - 10 if at > 10 else None
-
-    return t.spark.createDataFrame([(r["created"],) for r in files.enumerated(page, None, 8)], "event_id long")
-
-
 #: A text; stripped of any white space; in NFKC; without entities.
 TEXTS = [("  a\tb 　", "a\tb"), ("ﬁne ½", "fine 1⁄2"), ("&lt;b&gt; &amp;amp; &eacute;", "<b> &amp; é"), ("a b", "a b"), ("", "")]
 

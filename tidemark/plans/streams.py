@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources import paged
 from ..streaming import windows
+from ..streaming.census import Census
 from ..streaming.ledger import Ledger
 from .registry import Tables, query
 
@@ -72,11 +74,45 @@ def wave_ledger(t: Tables):
 SELECT event_type, date, count(*) AS n, round(sum(value), 4) AS total, count(*) FILTER (r <= 20) AS sampled, (sum(event_id) FILTER (r <= 20))::BIGINT AS ids FROM s JOIN events USING (event_id, event_type) GROUP BY 1, 2""")
 def stream_census(t: Tables):
     """Counts and sums of every stratum beside a sample of at most 20 rows of each."""
-    from ..streaming.census import Census
-
-    base = f"{shared_dir(t.spark)}/tidemark-census-{uuid.uuid4().hex}"
-    c = Census(t.spark, f"{base}/state", ["event_type", "date"], ["event_id"], "value", k=20)
-    c.follow(_stream(t).withColumn("date", F.to_date("ts")), f"{base}/checkpoint").awaitTermination()
+    path = f"{shared_dir(t.spark)}/tidemark-census-{uuid.uuid4().hex}"
+    c = Census(t.spark, path, ["event_type", "date"], ["event_id"], ["value"], "ts", F.col("date").cast("timestamp") + F.expr("INTERVAL 1 DAY"), k=20)
+    c.follow(_stream(t).withColumn("date", F.to_date("ts"))).awaitTermination()
     census, sample = c.read()
     s = sample.groupBy("event_type", "date").agg(F.count("*").alias("sampled"), F.sum("event_id").alias("ids"))
-    return census.join(s, ["event_type", "date"]).select("event_type", "date", "n", F.round("total", 4).alias("total"), "sampled", "ids")
+    return census.join(s, ["event_type", "date"]).select("event_type", "date", "n", F.round("total_value", 4).alias("total"), "sampled", "ids")
+
+
+#: The edge of the window that the paged queries go back to.
+EDGE = "2024-01-08T00:00:00.000"
+
+
+def _enumerated(t: Tables):
+    """The events as pages of a feed for each type, newest first, and the stream of them."""
+    path = f"{shared_dir(t.spark)}/tidemark-pages-{uuid.uuid4().hex}"
+    paged.land(t.events.select("event_id", "event_type", "ts", "user_id", "value"), "event_type", "ts", ["event_id"], path)
+    body = F.from_json("body", "event_id long, ts timestamp, user_id long, value double")
+    return paged.stream(t.spark, path, edge=EDGE, time="ts", batch=16).select("feed", "token", body.alias("x")).select("feed", "token", "x.*")
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('millisecond', ts) DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+p AS (SELECT event_type, (r - 1) // 200 AS page, min(date_trunc('millisecond', ts)) AS oldest, max((n - 1) // 200) AS last FROM e GROUP BY ALL), s AS (SELECT event_type, min(page) FILTER (oldest < TIMESTAMP '{EDGE}' OR page = last) AS stop FROM p GROUP BY 1)
+SELECT e.event_type AS feed, max(stop + 1)::INT AS pages, max(CASE WHEN p.page = last THEN 'token_exhausted' ELSE 'reached_window_edge' END) AS stop, count(*) FILTER (e.ts >= TIMESTAMP '{EDGE}') AS n, (sum(event_id) FILTER (e.ts >= TIMESTAMP '{EDGE}'))::BIGINT AS ids FROM e JOIN s USING (event_type) JOIN p ON p.event_type = e.event_type AND p.page = s.stop GROUP BY 1""")
+def paged_enumeration(t: Tables):
+    """Every feed followed from its newest page to the edge of the window: pages read, why it
+    stopped, and what it gave."""
+    rows, ends = windows.followed(_enumerated(t))
+    said = t.spark.createDataFrame([(x["feed"], x["pages"], x["stop"]) for x in paged.audit(ends[0])], "feed string, pages int, stop string")  # a row for each feed
+    return rows.groupBy("feed").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).join(F.broadcast(said), "feed", "right").select("feed", "pages", "stop", F.coalesce("n", F.lit(0)).alias("n"), "ids")
+
+
+@query(f"""WITH e AS (SELECT event_type, ts::DATE AS date, event_id, user_id, value, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY md5('42|' || event_id::VARCHAR)) AS r FROM events WHERE ts >= TIMESTAMP '{EDGE}')
+SELECT event_type AS feed, date, count(*) AS n, round(avg(value), 6) AS mean, count(*) FILTER (r <= 5) AS kept, (sum(user_id) FILTER (r <= 5))::BIGINT AS users FROM e GROUP BY 1, 2""")
+def paged_census(t: Tables):
+    """Counted while paging: every row of the window is in the census, a quota of each day is kept."""
+    path = f"{shared_dir(t.spark)}/tidemark-paged-{uuid.uuid4().hex}"
+    c = Census(t.spark, path, ["feed", "date"], ["event_id"], ["value"], "ts", F.col("date"), kept=["user_id"], k=5, late=None)
+    run = c.follow(_enumerated(t).withColumn("date", F.to_date("ts")), processingTime="0 seconds")
+    windows.finished(run)
+    census, sample = c.read()
+    kept = sample.groupBy("feed", "date").agg(F.count("*").alias("kept"), F.sum("user_id").alias("users"))
+    return census.join(kept, ["feed", "date"]).select("feed", "date", "n", F.round(F.col("total_value") / F.col("known_value"), 6).alias("mean"), "kept", "users")

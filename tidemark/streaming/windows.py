@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,3 +52,23 @@ def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
         return spark.createDataFrame([], result.schema)
     paths = [f"{base}/out/batch={last[-1]}"] if mode == "complete" else [f"{base}/out/batch={k}" for k in last]
     return spark.read.schema(result.schema).parquet(*paths)
+
+
+def finished(run) -> list:
+    """Wait until a running query has read all that its sources have, and stop it; where
+    each source ended. For sources that bound their batches themselves."""
+    try:
+        run.processAllAvailable()
+        ends = [[x["endOffset"] for x in json.loads(p.json)["sources"]] for p in run.recentProgress]
+        return next((x for x in reversed(ends) if any(x)), [])
+    finally:
+        run.stop()
+
+
+def followed(stream: DataFrame) -> tuple[DataFrame, list]:
+    """The rows of a stream, batch by batch through a sink that counts each batch once, and
+    where its sources ended."""
+    base = f"{shared_dir(stream.sparkSession)}/tidemark-stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(processingTime="0 seconds").start()
+    ends = finished(run)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out"), ends
