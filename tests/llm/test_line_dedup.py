@@ -75,6 +75,44 @@ def test_recall_against_all_pairs(spark):
     assert found / wanted >= 0.99, (found, wanted)
 
 
+def pair_lines(a, b):
+    """The lines that two documents share, as the search of blocks takes them."""
+    held = {}
+    for side, doc in enumerate((a, b)):
+        for place, x in enumerate(doc):
+            held.setdefault(x, ([], []))[side].append(place)
+    return [(k, p, q, len(x.split()), 2 + k % 40) for k, (x, (p, q)) in enumerate(sorted(held.items())) if p and q]
+
+
+def test_alignment_finds_what_all_shifts_find():
+    """Pairs of documents of few and of many different lines, in any order: exactly the places
+    that a search of all shifts finds."""
+    r = random.Random(7)
+    for k in range(400):
+        lines_ = [line(r, 1, 14) for _ in range(r.choice((2, 5, 12, 60)))]
+        a, b = ([r.choice(lines_) if r.random() < 0.9 else line(r) for _ in range(r.randint(0, 40))] for _ in range(2))
+        if k % 3 == 0 and len(a) > 6:
+            b[len(b) // 2 :] = a[3:] + a[:3]
+        assert line_dedup.common_blocks(pair_lines(a, b)) == all_pairs({0: a, 1: b})[1]
+
+
+def test_the_alignment_decides(monkeypatch):
+    block = [f"line {i} of eight words in the block" for i in range(4)]
+    assert line_dedup.common_blocks(pair_lines(["x", *block], [*block, "y"])) == {0, 1, 2, 3}
+    monkeypatch.setattr(line_dedup, "patience", lambda *args: [])
+    assert line_dedup.common_blocks(pair_lines(["x", *block], [*block, "y"])) == set()
+
+
+def test_rare_lines_find_any_earlier_holder(spark):
+    """A block with gaps whose lines are first held, two by two, by other documents."""
+    r = random.Random(8)
+    b = [line(r, 8, 8) for _ in range(4)]
+    fill = lambda: line(r, 30, 30)
+    docs = {1: [b[0], fill(), b[1]], 2: [b[1], fill(), b[2]], 3: [b[2], fill(), b[3]], 4: [b[0], fill(), b[1], fill(), b[2], fill(), b[3]], 5: [b[0], fill(), b[1], fill(), b[2], fill(), b[3]]}
+    assert removed(spark, docs) == all_pairs(docs)
+    assert removed(spark, docs)[5] == {0, 2, 4, 6}
+
+
 def test_blocks_of_mixed_owners(spark):
     """Each line of the block stands first in a document of its own; 9 has it from 8."""
     r = random.Random(5)

@@ -1,20 +1,25 @@
 """Line dedup by pairwise alignment.
 
-A document is aligned with the first documents that hold what it holds, on all lines that
-the two share. A pair is found through a key, whose first holder is the document with the
-least id: keys are the shortest runs of shared lines of MIN_WORDS words or more, from
-each line onwards and up to each line, and two shared lines at most GAP lines apart, with
-their distance. So a run of shared lines is found whoever holds its lines singly, and
-keys and pairs grow with the corpus and not with the square of a group. A pair's rare
-lines (in RARE documents at most; all of them if it shares none) that are unique in both
-anchor a patience diff; between anchors it recurs, then grows over equal neighbours.
-Aligned common blocks of MIN_WORDS words or more are deleted from the later document, and
-so are those in what is left, in whatever order they stand: a passage that stands twice
-goes twice. The first document that holds a line never loses it, so every line stays
-somewhere.
-
-A block with gaps all of whose runs are short is found if its earlier document is the
-first to hold some two neighbours of the block at their distance.
+Documents overlap where they share a line that is rare (in RARE documents at most): by its
+hash a document meets every earlier document that holds it. Lines in more documents lead
+to too many; a document meets the first holder of each run of them instead: of the
+shortest runs of MIN_WORDS words or more, from each line onwards and up to each line, and
+of two of them at most GAP lines apart, with their distance. So a block is found through
+any rare line of it, or through a run if all of its lines are frequent, and pairs grow
+with the corpus and not with the square of a group.
+
+A pair is aligned by patience diff over all lines that the two share: lines that are
+unique on both sides anchor the longest chain in order, rare ones first, and the gaps
+between anchors are aligned alike. Each aligned line is followed along equal lines, at the
+same distance and at most GAP other lines apart; such a block of MIN_WORDS words or more
+goes from the later document. What is left is aligned again, without the pairs of lines
+that have been followed, until no pair of lines is left: blocks in another order, and
+passages that stand twice, are found by a later alignment. Where no line is unique any
+more, the rarest ones anchor. The first document that holds a line never loses it, so
+every line stays somewhere.
+
+A block with gaps, all of whose lines are in more than RARE documents and all of whose runs
+are short, is found if its earlier document is the first to hold two neighbours of it.
 
 Defined results: lines are compared without case and outer or repeated white space;
 lines without words are no lines, and go where a document loses any; a null text is
@@ -28,6 +33,7 @@ rows.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,43 +44,60 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, whole_text
 from .quality_rules import SPACE, SPACES, has_word
 
-#: Words of a block; documents that a rare line is in; lines of other owners that a block
-#: may hold between its own.
-MIN_WORDS, RARE, GAP = 20, 64, 2
+#: Words of a block; documents that a rare line is in at the most; other lines that a block
+#: may hold between two of its own.
+MIN_WORDS, RARE, GAP = 20, 16, 2
 
 
-def patience(a: list[int], b: list[int], rare: set[int]) -> list[tuple[int, int]]:
-    """Pairs of places (in a, in b) of an alignment of two sequences of line names. The
-    outermost anchors are rare names; deeper ones any that is unique on both sides."""
+def patience(a: list[tuple[int, int]], b: list[tuple[int, int]], rare: set[int], done: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of places of an alignment of two sequences of (place, name), in order, without
+    the pairs that are done. The outermost anchors are rare names if there are any; deeper
+    ones any name that is unique on both sides; the least frequent where none is unique."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b), True)]
     while todo:
         a0, a1, b0, b1, outer = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            out.append((a0, b0))
+        while a0 < a1 and b0 < b1 and a[a0][1] == b[b0][1] and (a[a0][0], b[b0][0]) not in done:
+            out.append((a[a0][0], b[b0][0]))
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while a0 < a1 and b0 < b1 and a[a1 - 1][1] == b[b1 - 1][1] and (a[a1 - 1][0], b[b1 - 1][0]) not in done:
             a1, b1 = a1 - 1, b1 - 1
-            out.append((a1, b1))
+            out.append((a[a1][0], b[b1][0]))
         if a0 >= a1 or b0 >= b1:
             continue
         once_a, once_b = _once(a, a0, a1), _once(b, b0, b1)
-        names = [x for x in once_a if x in once_b]
-        if outer and any(x in rare for x in names):
-            names = [x for x in names if x in rare]
-        chain = _increasing(sorted((once_a[x], once_b[x]) for x in names))
+        anchors = [(i, once_b[x], x) for x, i in once_a.items() if x in once_b and (a[i][0], b[once_b[x]][0]) not in done]
+        if outer and any(x in rare for _, _, x in anchors):
+            anchors = [y for y in anchors if y[2] in rare]
+        if outer and not anchors and not out:
+            anchors = _rarest(a, b, done)
+        chain = _increasing(sorted((i, j) for i, j, _ in anchors))
         if not chain:
             continue
-        out += chain
+        out += [(a[i][0], b[j][0]) for i, j in chain]
         edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
         todo += [(p + 1, r, q + 1, s, False) for (p, q), (r, s) in zip(edges, edges[1:], strict=False) if p + 1 < r and q + 1 < s]
     return sorted(out)
 
 
-def _once(x: list[int], lo: int, hi: int) -> dict[int, int]:
+def _rarest(a: list[tuple[int, int]], b: list[tuple[int, int]], done: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Of the names with the fewest pairs of places, the first open pair of each place in b."""
+    held: dict[int, list[int]] = {}
+    for i, (_, name) in enumerate(a):
+        held.setdefault(name, []).append(i)
+    often = Counter(name for _, name in b)
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    for j, (place, name) in enumerate(b):
+        i = next((i for i in held.get(name, ()) if (a[i][0], place) not in done), None)
+        if i is not None:
+            best.setdefault(len(held[name]) * often[name], []).append((i, j, name))
+    return best[min(best)] if best else []
+
+
+def _once(x: list[tuple[int, int]], lo: int, hi: int) -> dict[int, int]:
     seen: dict[int, int] = {}
     for i in range(lo, hi):
-        seen[x[i]] = -1 if x[i] in seen else i
+        seen[x[i][1]] = -1 if x[i][1] in seen else i
     return {k: v for k, v in seen.items() if v >= 0}
 
 
@@ -103,47 +126,55 @@ def common_blocks(lines: list[tuple[int, list[int], list[int], int, int]], min_w
     the earlier document, places in the later one, words, documents that hold it."""
     few = {name for name, _, _, _, df in lines if df <= rare}
     words = {name: w for name, _, _, w, _ in lines}
-    if sum(len(x[2]) * x[3] for x in lines) < min_words:
-        return set()
     left = sorted((p, name) for name, places, _, _, _ in lines for p in places)
     right = sorted((p, name) for name, _, places, _, _ in lines for p in places)
+    there, here = dict(left), dict(right)
+    count = Counter(name for _, name in left)
     gone: set[int] = set()
-    run: list[tuple[int, int, int]] = []
-    for i, j in [*patience([x for _, x in left], [x for _, x in right], few), (-1, -1)]:
-        here = (left[i][0], right[j][0], words[left[i][1]]) if i >= 0 else None
-        if run and (here is None or here[0] - run[-1][0] != here[1] - run[-1][1] or not 0 < here[1] - run[-1][1] <= gap + 1):
-            if sum(w for _, _, w in run) >= min_words:
-                gone |= {y for _, y, _ in run}
+    done: set[tuple[int, int]] = set()
+    tried: Counter = Counter()
+    left_to_find = _near_enough(right, words, min_words, gap)
+    while left_to_find:
+        names = {name for _, name in left_to_find}
+        new = [x for x in patience([x for x in left if x[1] in names], left_to_find, few, done) if x not in done]
+        for i, j in new:
+            if (i, j) not in done:
+                block = _followed(i, j, there, here, gap)
+                done.update(block)
+                tried.update(y for _, y in block)
+                if sum(words[here[y]] for _, y in block) >= min_words:
+                    gone.update(y for _, y in block)
+        if not new:
+            break
+        left_to_find = [(y, name) for y, name in left_to_find if y not in gone and tried[y] < count[name]]
+    return gone
+
+
+def _near_enough(right: list[tuple[int, int]], words: dict[int, int], min_words: int, gap: int) -> list[tuple[int, int]]:
+    """The lines that have enough words within reach of each other to make a block."""
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    for x in [*right, None]:
+        if run and (x is None or x[0] - run[-1][0] > gap + 1):
+            if sum(words[name] for _, name in run) >= min_words:
+                out += run
             run = []
-        if here:
-            run.append(here)
-    return gone | _diagonals(left, [x for x in right if x[0] not in gone], words, min_words, gap)
+        if x is not None:
+            run.append(x)
+    return out
 
 
-def _diagonals(left: list[tuple[int, int]], right: list[tuple[int, int]], words: dict[int, int], min_words: int, gap: int) -> set[int]:
-    """Places in right that stand in a common block, in any order of blocks: runs of equal
-    lines at the same distance of places, found for all distances at once."""
-    if sum(words[x] for _, x in right) < min_words:
-        return set()
-    held: dict[int, list[int]] = {}
-    for p, name in left:
-        held.setdefault(name, []).append(p)
-    arrays = {name: np.array(p) for name, p in held.items()}
-    there, here, off = dict(left), dict(right), left[-1][0]
-    size = off + right[-1][0] + 1
-    last, total, begin = np.full(size, -gap - 2), np.zeros(size, np.int64), np.zeros(size, np.int64)
-    gone: set[int] = set()
-    for q, name in right:
-        d = q - arrays[name] + off
-        on = q - last[d] <= gap + 1
-        had = np.where(on, total[d], 0)
-        now = had + words[name]
-        begin[d], last[d], total[d] = np.where(on, begin[d], q), q, now
-        if (now >= min_words).any():
-            gone.add(q)
-        for k in d[(had < min_words) & (now >= min_words)].tolist():
-            gone.update(x for x in range(int(begin[k]), q) if x in here and there.get(x - k + off) == here[x])
-    return gone
+def _followed(i: int, j: int, there: dict[int, int], here: dict[int, int], gap: int) -> list[tuple[int, int]]:
+    """The pairs of equal lines around a pair, at its distance, at most `gap` lines apart."""
+    out = [(i, j)]
+    for step in (1, -1):
+        far, off = 0, step
+        while abs(off - far) <= gap + 1:
+            if j + off in here and there.get(i + off) == here[j + off]:
+                out.append((i + off, j + off))
+                far = off
+            off += step
+    return out
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -204,8 +235,9 @@ def keys_of(lines: list[tuple[int, bytes, int]], min_words: int = MIN_WORDS, gap
     return out
 
 
-def _sequences(min_words: int, gap: int):
-    """Of rows sorted by document (id, t): a row with the lines and keys of each."""
+def _sequences(min_words: int, rare: int, gap: int):
+    """Of rows sorted by document (id, t): a row with the lines of each, and the keys of its
+    frequent lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -214,7 +246,7 @@ def _sequences(min_words: int, gap: int):
 
         def end_doc():
             if doc is not None:
-                places = sorted((p, name, x["w"]) for name, x in lines.items() for p in x["at"])
+                places = sorted((p, name, x["w"]) for name, x in lines.items() if x["df"] > rare for p in x["at"])
                 keys = (xxhash.xxh3_128_intdigest(k) for k in keys_of(places, min_words, gap))
                 halves = np.array([(k & 0xFFFFFFFFFFFFFFFF, k >> 64) for k in keys], np.uint64).view(np.int64).reshape(-1, 2).tolist()
                 out.append((*doc, list(lines.values()), [{"k": k, "l": m} for k, m in halves]))
@@ -298,11 +330,14 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, gap:
     owners = stored(owners, "owners")  # else its partitions are kept for the join, and a hot line can't be split
     shared = lines.join(owners, ["h", "g"]).select("id", "t", "h", "g", "w", "df", "first", "at")
     kinds = "id long, t long, lines array<struct<h:long,g:long,w:int,df:long,first:long,at:array<int>>>, keys array<struct<k:long,l:long>>"
-    held = stored(shared.repartition("id", "t").sortWithinPartitions("id", "t").mapInArrow(_sequences(min_words, gap), kinds), "sequences")
+    held = stored(shared.repartition("id", "t").sortWithinPartitions("id", "t").mapInArrow(_sequences(min_words, rare, gap), kinds), "sequences")
     keys = held.select("id", "t", F.explode("keys").alias("key")).select("id", "t", "key.k", "key.l")
     firsts = keys.groupBy("k", "l").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter(F.col("last") > F.col("owner")).drop("last")
-    pairs = keys.join(stored(firsts, "keys"), ["k", "l"]).filter(F.col("id") > F.col("owner")).select("id", "t", "owner").distinct()
-    pairs = stored(pairs, "pairs")
+    by_run = keys.join(stored(firsts, "keys"), ["k", "l"]).filter(F.col("id") > F.col("owner")).select("id", "t", "owner")
+    # Lines with the same holders (RARE at most) give the same pairs.
+    holders = shared.filter(F.col("df") <= rare).groupBy("h", "g").agg(F.sort_array(F.collect_set(F.struct("id", "t"))).alias("who")).select("who").distinct()
+    by_line = holders.select("who", F.explode("who").alias("x")).select("x.id", "x.t", F.explode(F.filter("who", lambda y: y["id"] < F.col("x.id"))["id"]).alias("owner"))
+    pairs = stored(by_line.unionByName(by_run).distinct(), "pairs")
     theirs = pairs.join(held.select(F.col("id").alias("owner"), "lines"), "owner").select("id", "t", "owner", "lines")
     later = held.join(pairs.select("id", "t").distinct(), ["id", "t"], "left_semi").select("id", "t", F.lit(None).cast("long").alias("owner"), "lines")
     ordered = later.unionByName(theirs).repartition("id", "t").sortWithinPartitions("id", "t", F.col("owner").asc_nulls_first())
