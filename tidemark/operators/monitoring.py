@@ -13,6 +13,7 @@ from ..functions.text import squeeze, stable_id
 from ..session import shared_dir
 from . import keys, ranks, series
 from .cleaning import dedupe_by_regime
+from .containment import contained
 
 
 def unify(raw: DataFrame, aliases: dict[str, str], lo: str, hi: str, by_author: Sequence[str]) -> dict[str, DataFrame]:
@@ -108,9 +109,9 @@ def against_ratings(df: DataFrame, flag: str, rating: str) -> DataFrame:
 
 def first_contained(df: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """df with name: the first of the names, in order, that the text contains; rows without
-    one go. Distinct texts are compared with the names, which are a list of brands."""
-    each = df.groupBy(text).agg(F.count("*").alias("__n"))
-    found = each.join(F.broadcast(names.filter(F.length(name) > 0)), F.contains(F.col(text), F.col(name))).groupBy(text).agg(F.min(name).alias(name))
+    one go. Distinct texts meet the names that share a rare run of characters with them."""
+    each = df.select(F.col(text), F.col(text).alias("__says")).distinct()
+    found = contained(each, text, "__says", names, name).groupBy(text).agg(F.min(name).alias(name))
     return df.join(found, text)
 
 
@@ -140,17 +141,23 @@ def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, li
     domain, or it is a direct vendor of a domain in `chain`, which is context only. The first
     `most` of an event, those that corroborate before the others."""
     width = days * 86_400 * 1_000_000
-    # Which incidents bear on which brand is settled first, over the list of brands.
-    brands = events.select("brand", "domain").distinct()
-    word = F.regexp_count(F.lower("entity"), F.concat(F.lit(r"(?u)\b\Q"), F.lower("brand"), F.lit(r"\E\b"))) > 0
-    covers = F.lit(False)
-    for domain, of in sectors.items():
-        covers = covers | ((F.col("domain") == domain) & F.col("sector").isin(*of))
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    tests = {"__name": yes(word & (F.length("brand") > 3)), "__sector": yes(covers), "__chain": yes((F.col("tier") == "direct") & F.col("domain").isin(*chain))}
-    bears = found.select(key, "entity", "sector", "tier", F.unix_micros("started").alias("__at")).crossJoin(F.broadcast(brands)).withColumns(tests).filter("__name OR __sector OR __chain")
     right = events.select("event", "brand", "domain", (F.unix_micros("ts") - width).alias("__lo"), (F.unix_micros("ts") + width).alias("__hi"))
-    near = keys.interval_join(bears, right, "__at", "__lo", "__hi", 2 * width + 1, ["brand", "domain"])
+    rows = found.select(key, "entity", "sector", "tier", F.unix_micros("started").alias("__at"))
+    # Each way to bear on an event is a join of its own: by brand, for the brands that an
+    # entity names, or by domain, for those that a sector covers or that are listed.
+    brands = events.select("brand").filter(F.length("brand") > 3).distinct().withColumn("__b", F.lower("brand"))
+    entities = rows.filter("entity IS NOT NULL").select("entity", F.lower("entity").alias("__e")).distinct()
+    word = F.regexp_count("__e", F.concat(F.lit(r"(?u)\b\Q"), F.col("__b"), F.lit(r"\E\b"))) > 0
+    by_name = contained(entities, "entity", "__e", brands, "__b").join(entities, "entity").filter(word).join(brands, "__b").select("entity", "brand")
+    covered = found.sparkSession.createDataFrame([(d, s) for d, of in sectors.items() for s in of], "domain string, sector string")
+    listed = F.explode(F.array(*[F.lit(d) for d in chain]).cast("array<string>")).alias("domain")
+    ways = {"__name": (rows.join(by_name, "entity"), "brand"), "__sector": (rows.join(F.broadcast(covered), "sector"), "domain"), "__chain": (rows.filter("tier = 'direct'").select("*", listed), "domain")}
+    near = None
+    for way, (left, on) in ways.items():
+        part = keys.interval_join(left.select(key, "entity", "__at", on), right.select("event", on, "__lo", "__hi"), "__at", "__lo", "__hi", 2 * width + 1, [on])
+        part = part.select("event", key, "entity", *[F.lit(w == way).alias(w) for w in ways])
+        near = part if near is None else near.unionByName(part)
+    near = near.groupBy("event", key, "entity").agg(*[F.bool_or(w).alias(w) for w in ways])
     matched = F.when(F.col("__name"), "entity").when(F.col("__sector"), "sector").otherwise("supply_chain_tier")
     out = near.select("event", key, "entity", matched.alias("matched_on"), (F.col("__name") | F.col("__sector")).alias("corroborates"))
     return ranks.top_k(out, ["event"], [F.col("corroborates").desc(), F.col(key)], most)
@@ -159,12 +166,18 @@ def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, li
 def attention_evidence(events: DataFrame, views: DataFrame, days: int = 2, least: int = 5) -> DataFrame:
     """events (brand, day) with the mean of views (hint, date, views) within `days`, over
     hints that hold the brand's first word, against the median of all other days."""
-    word = F.lower(F.substring_index("brand", " ", 1))
-    hints = views.select("hint").distinct()
-    names = events.select("brand").distinct().join(F.broadcast(hints), F.contains(F.lower("hint"), word)).select("brand", "hint")  # two lists of names
+    hints = views.filter("hint IS NOT NULL").select("hint", F.lower("hint").alias("__h")).distinct()
+    words = events.select("brand", F.lower(F.substring_index("brand", " ", 1)).alias("__w")).distinct()
+    names = contained(hints, "hint", "__h", words, "__w").join(words, "__w").select("brand", "hint")
     daily = views.join(names, "hint").groupBy("brand", "date").agg(F.sum("views").alias("views"))
-    each = events.join(daily, "brand").withColumn("__near", F.abs(F.datediff("day", "date")) <= days)
-    out = each.groupBy("brand", "day").agg(F.avg(F.when(F.col("__near"), F.col("views"))).alias("here"), F.median(F.when(~F.col("__near"), F.col("views"))).alias("usual"), F.count_if(~F.col("__near")).alias("__n"))
+    # A brand's days are one array, which no calendar makes long; an event leaves its own out.
+    days_of = daily.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("views", "date"))).alias("__d"))
+    near = lambda x: F.abs(F.datediff(F.col("day"), x["date"])) <= days
+    out = events.select("brand", "day").distinct().join(days_of, "brand").withColumns({"__in": F.filter("__d", near), "__out": F.filter("__d", lambda x: ~near(x))}).withColumn("__n", F.size("__out").cast("long"))
+    mid = lambda k: F.get("__out", k.cast("int"))["views"]
+    usual = (mid(F.floor((F.col("__n") - 1) / 2)) + mid(F.floor(F.col("__n") / 2))) / 2.0
+    mean = F.aggregate("__in", F.lit(0.0), lambda s, x: s + x["views"]) / F.when(F.size("__in") > 0, F.size("__in"))
+    out = out.select("brand", "day", mean.alias("here"), F.when(F.col("__n") > 0, usual).alias("usual"), "__n")
     ratio = F.col("here") / F.greatest("usual", F.lit(1))
     out = out.filter((F.col("__n") >= least) & F.col("here").isNotNull())
     return out.select("brand", "day", F.round("here", 1).alias("here"), F.round("usual", 1).alias("usual"), F.round(ratio, 2).alias("ratio"), ((ratio >= 1.25) | (ratio <= 0.8)).alias("corroborates"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import posts, rules, text
 from ..operators import cleaning
+from ..operators.containment import contained
 from .registry import Tables, query
 
 LABELS = [("shout", "[A-Z]{3,}"), ("number", r"[0-9]+"), ("greeting", r"\bthe\b"), ("ending", r"ing\b")]
@@ -147,3 +148,12 @@ def two_regime_dedupe(t: Tables):
     k = F.col("event_id")
     d = t.events.select("event_id", F.when(k % 2 == 0, "store").otherwise("social").alias("source"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("author"), F.concat(F.lit("Late "), (k % 97).cast("string"), F.lit("!")).alias("body"))
     return cleaning.dedupe_by_regime(d, "source", "author", "body", "event_id", by_author=("store",)).select("event_id", "source")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL)
+SELECT name, count(*) AS n, min(doc_id) AS first FROM w JOIN d ON contains(text, name) GROUP BY 1""")
+def names_in_texts(t: Tables):
+    """In how many documents each word of the benchmark stands, also within longer words."""
+    names = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("name"))
+    docs = t.documents.select("doc_id", F.lower("text").alias("says"))
+    return contained(docs, "doc_id", "says", names, "name").groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
