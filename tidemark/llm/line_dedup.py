@@ -335,7 +335,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE, gap:
     firsts = keys.groupBy("k", "l").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter(F.col("last") > F.col("owner")).drop("last")
     by_run = keys.join(stored(firsts, "keys"), ["k", "l"]).filter(F.col("id") > F.col("owner")).select("id", "t", "owner")
     # Lines with the same holders (RARE at most) give the same pairs.
-    holders = shared.filter(F.col("df") <= rare).groupBy("h", "g").agg(F.sort_array(F.collect_set(F.struct("id", "t"))).alias("who")).select("who").distinct()
+    holders = held.select("id", "t", F.explode(F.filter("lines", lambda x: x["df"] <= rare)).alias("x")).select("id", "t", "x.h", "x.g").groupBy("h", "g").agg(F.sort_array(F.collect_set(F.struct("id", "t"))).alias("who")).select("who").distinct()
     by_line = holders.select("who", F.explode("who").alias("x")).select("x.id", "x.t", F.explode(F.filter("who", lambda y: y["id"] < F.col("x.id"))["id"]).alias("owner"))
     pairs = stored(by_line.unionByName(by_run).distinct(), "pairs")
     theirs = pairs.join(held.select(F.col("id").alias("owner"), "lines"), "owner").select("id", "t", "owner", "lines")
