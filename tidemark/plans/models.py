@@ -173,19 +173,16 @@ def rule_fidelity(t: Tables):
     return rules.fidelity(t.documents, F.lower("text"), truth, lexicon.TOPIC_TRIGGERS, lexicon.TOPIC_DEFAULT)
 
 
-#: Texts with topics, from which the triggers are found again.
-TOPIC_TEXTS = [("crash then crash", "Technical"), ("the crash of it", "Technical"), ("crashing now", "Technical"), ("hacked", "Security"), ("hack crash", "Technical"), ("they hack", "Security"), ("a hack", "Security"), ("hello", "Talk"), ("it is so", "Talk"), ("oh the sun", "Talk")]
-
-
-@query("SELECT * FROM (VALUES ('Technical', 1, 'as'), ('Security', 1, 'ac')) v(class, place, trigger)")
+@query(r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, toxic = 1 AS hit, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS words FROM documents JOIN labels USING (doc_id)),
+p AS MATERIALIZED (SELECT doc_id, hit, unnest(words) AS trigger FROM d), s AS MATERIALIZED (SELECT trigger, count(*) AS df, count(*) FILTER (hit) AS ins, list(doc_id) FILTER (hit) AS docs FROM p GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (hit) >= 0.95 * count(*)),
+r AS (SELECT 0 AS place, ''::VARCHAR AS trigger, 0::BIGINT AS gain, []::BIGINT[] AS covered UNION ALL
+SELECT place + 1, b.trigger, b.gain, list_concat(covered, b.fresh) FROM r, LATERAL (SELECT s.trigger, len(list_filter(docs, lambda x: NOT list_contains(r.covered, x))) AS gain, list_filter(docs, lambda x: NOT list_contains(r.covered, x)) AS fresh FROM s ORDER BY 2 DESC, ins / df DESC, df DESC, s.trigger LIMIT 1) b WHERE b.gain > 0 AND place < 12)
+SELECT place, trigger FROM r WHERE place > 0""")
 def mined_rule(t: Tables):
-    """The shortest covers of two topics by substrings, found again class by class."""
-    k = F.col("event_id") % len(TOPIC_TEXTS) + 1
-    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in TOPIC_TEXTS]), k.cast("int"))
-    rows = t.events.select(pick(0).alias("text"), pick(1).alias("topic")).withColumn("chunks", text.letter_substrings(F.col("text"), 2, 8))
-    found = rules.peel(rows, "text", "chunks", "topic", ["Technical", "Security"])
-    flat = [(c, i + 1, w) for c, words in found.items() for i, w in enumerate(words)]  # at most a dozen a class
-    return t.spark.createDataFrame(flat, "class string, place int, trigger string")
+    """The shortest cover of the toxic documents by words that hardly any other document has."""
+    rows = t.documents.join(t.labels, "doc_id").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("words"), F.col("toxic").cast("int").alias("toxic"))
+    found = rules.mine_triggers(rows.withColumn("toxic", F.col("toxic").cast("string")), "words", "toxic", "1")
+    return t.spark.createDataFrame(list(enumerate(found, 1)), "place int, trigger string")  # at most a dozen
 
 
 def _modelled(t: Tables):
