@@ -300,3 +300,12 @@ def test_holdout_does_not_leak(spark):
     assert {x.label: x.n for x in d.filter("held").groupBy("label").agg(F.count_distinct("text").alias("n")).collect()} == {"a": 5, "b": 5}
     best = metrics.best_threshold(spark.createDataFrame([(0, 0.1), (0, 0.4), (1, 0.4), (1, 0.9)], "y int, s double"), "y", "s", 0, 100).first()
     assert best.tau == 11
+
+
+def test_hashtags_of_any_length(spark):
+    from tidemark.functions import posts
+
+    long = "#" + "Word" * 250 + "_end"
+    cases = {long: "# " + "word " * 250 + "end", "a #Good_FridayNow b#x": "a # good friday now b # x", "# alone #": "# alone #", "##Two": "# # two", "#ÉtéBon": "# étébon", None: "", "no tags": "no tags"}
+    got = spark.createDataFrame([(x,) for x in cases], "x string").select("x", posts.normalise(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == cases
