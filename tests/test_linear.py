@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import linear
-from tidemark.operators.calibrated import CalibratedLinear, CalibratedLinearModel, sigmoid
+from tidemark.operators.calibrated import CalibratedLinear, CalibratedLinearModel, sigmoids
 
 
 def made(spark, n=240, size=12, classes=3, seed=1):
@@ -98,7 +98,9 @@ def test_sigmoid_is_the_most_likely(spark):
     r = np.random.default_rng(5)
     m = r.normal(size=400)
     hit = r.random(400) < 1 / (1 + np.exp(-2.5 * m + 0.7))
-    a, b = sigmoid(spark.createDataFrame([(float(x), bool(h)) for x, h in zip(m, hit, strict=True)], "m double, hit boolean"), "m", "hit")
+    both = spark.createDataFrame([(float(x), bool(h)) for x, h in zip(m, hit, strict=True)], "m double, hit boolean").withColumns({"n": -F.col("m"), "never": F.lit(False)})
+    (a, b), (c, d), (_, e) = sigmoids(both, [("m", "hit"), ("n", "hit"), ("m", "never")])
+    assert abs(a + c) < 1e-6 and abs(b - d) < 1e-6 and e > 4
     t = np.where(hit, (hit.sum() + 1) / (hit.sum() + 2), 1 / ((~hit).sum() + 2))
 
     def loss(a, b):
@@ -126,3 +128,38 @@ def test_estimator_is_saved_and_loaded(spark, tmp_path):
     assert right > 0.75 and abs(right - sure) < 0.15
     odd = spark.createDataFrame([(1, [], []), (2, [3, 500], [1.0, 1.0])], "id int, idx array<int>, val array<double>")
     assert model.transform(odd).count() == 2  # rows without features, and with some that are not known
+
+
+def test_scores_of_many_models_at_once(spark):
+    from tidemark.operators import metrics
+
+    rows = [("a", 0, 0, 5), ("a", 0, 1, 2), ("a", 1, 1, 3), ("a", 2, 1, 4), ("b", 0, 2, 1), ("b", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "name string, actual int, predicted int, n long")
+    got = {r.name: (r.n, r.accuracy, r.macro_f1) for r in metrics.by_name(df, "name").collect()}
+    for name in ("a", "b"):
+        one = metrics.summary(df.filter(F.col("name") == name)).first()
+        assert got[name] == pytest.approx((one.n, one.accuracy, one.macro_f1))
+
+
+def test_predicted_labels_of_documents(spark, tmp_path):
+    """Toxic documents are told from others, on documents that were not labelled too."""
+    import random
+
+    import __spark_entry__ as e
+
+    r = random.Random(3)
+    word = lambda kind: r.choice({"bad": ["vile", "rotten"], "good": ["careful", "precise"], "poor": ["spam", "click"]}.get(kind, [f"w{i}" for i in range(60)]))
+    docs, labels = [], []
+    for i in range(160):
+        toxic, quality = i % 4 // 2, i % 2
+        text = " ".join(word("") for _ in range(20)) + " " + " ".join(word("bad") for _ in range(3 * toxic)) + " " + " ".join(word("good" if quality else "poor") for _ in range(3))
+        docs.append((i, text))
+        if i < 100:
+            labels.append((i, quality, toxic))
+    docs += [(900, None), (901, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {x.doc_id: x for x in e.queries()["predicted_labels"](spark, str(tmp_path)).collect()}
+    names = ["clean low", "clean high", "toxic low", "toxic high"]
+    assert len(got) == 162 and np.mean([got[i].label == names[i % 4] for i in range(100, 160)]) > 0.9
+    assert all(got[i].confidence == round(got[i].p, 4) for i in got)

@@ -14,39 +14,45 @@ from . import ranks
 from .linear import STEPS, Problem, fit, margins
 
 
-def sigmoid(rows: DataFrame, margin: str, hit: str, steps: int = 60) -> tuple[float, float]:
-    """a, b of the most likely 1 / (1 + exp(a m + b)), targets drawn in by the counts of both
-    classes; Newton's method on sums over the rows, a job a step."""
-    n = rows.agg(F.count_if(hit).alias("p"), F.count_if(~F.col(hit)).alias("q")).first()
-    high, low = (n.p + 1.0) / (n.p + 2.0), 1.0 / (n.q + 2.0)
-    a, b = 0.0, float(np.log((n.q + 1.0) / (n.p + 1.0)))
-    m, t = F.col(margin), F.when(F.col(hit), high).otherwise(low)
-
-    def sums(a: float, b: float):
-        z = a * m + b
-        p = 1 / (1 + F.exp(z))
-        loss = t * z + F.when(z > 0, F.log1p(F.exp(-z))).otherwise(-z + F.log1p(F.exp(z)))
-        s = p * (1 - p)
-        r = rows.agg(F.sum(loss), F.sum((t - p) * m), F.sum(t - p), F.sum(s * m * m) + 1e-12, F.sum(s * m), F.sum(s) + 1e-12).first()
-        return [x or 0.0 for x in r]
-
-    f, ga, gb, haa, hab, hbb = sums(a, b)
+def sigmoids(rows: DataFrame, curves: list[tuple[str, str]], steps: int = 30) -> list[tuple[float, float]]:
+    """For each (margin, hit) pair of columns the a, b of the most likely 1 / (1 + exp(a m + b)),
+    targets drawn in by the counts of both classes: Newton's method with backtracking, all
+    curves in the same job a step."""
+    k = len(curves)
+    counts = rows.agg(*[F.count_if(h).alias(f"p{i}") for i, (_, h) in enumerate(curves)], F.count("*").alias("n")).first()
+    hits = np.array([counts[f"p{i}"] for i in range(k)], float)
+    high, low = (hits + 1) / (hits + 2), 1 / (counts.n - hits + 2)
+
+    def sums(at: np.ndarray) -> np.ndarray:
+        out = []
+        for i, (margin, h) in enumerate(curves):
+            m, t = F.col(margin), F.when(F.col(h), float(high[i])).otherwise(float(low[i]))
+            z = float(at[i, 0]) * m + float(at[i, 1])
+            p = 1 / (1 + F.exp(z))
+            s = p * (1 - p)
+            out += [F.sum(x) for x in (t * z + F.when(z > 0, F.log1p(F.exp(-z))).otherwise(-z + F.log1p(F.exp(z))), (t - p) * m, t - p, s * m * m, s * m, s)]
+        return np.array([x or 0.0 for x in rows.agg(*[c.alias(f"s{j}") for j, c in enumerate(out)]).first()]).reshape(k, 6)
+
+    at = np.stack([np.zeros(k), np.log((counts.n - hits + 1) / (hits + 1))], 1)
+    now = sums(at)
     for _ in range(steps):
-        if abs(ga) < 1e-6 and abs(gb) < 1e-6:
+        if np.abs(now[:, 1:3]).max() < 1e-6:
             break
+        _, ga, gb, haa, hab, hbb = now.T
+        haa, hbb = haa + 1e-12, hbb + 1e-12
         det = haa * hbb - hab * hab
-        da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
-        size, new = 1.0, None
-        while size > 1e-10:
-            new = sums(a + size * da, b + size * db)
-            if new[0] < f + 1e-4 * size * (ga * da + gb * db):
+        move = np.stack([-(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det], 1)
+        size = np.ones((k, 1))
+        while True:
+            new = sums(at + size * move)
+            bad = (new[:, :1] > now[:, :1] + 1e-4 * size * (now[:, 1:3] * move).sum(1, keepdims=True) + 1e-12) & (size > 0)
+            if not bad.any():
                 break
-            size /= 2
-        else:
+            size = np.where(bad, np.where(size > 1e-6, size / 2, 0), size)
+        if not size.any():
             break
-        a, b = a + size * da, b + size * db
-        f, ga, gb, haa, hab, hbb = new
-    return a, b
+        at, now = at + size * move, new
+    return [(float(a), float(b)) for a, b in at]
 
 
 class Settings(Params):
@@ -77,7 +83,8 @@ class CalibratedLinear(Settings, Estimator, DefaultParamsReadable, DefaultParams
         problems = [Problem(get("loss"), get("reg")), *(Problem(get("loss"), get("reg"), k) for k in range(get("folds")))]
         w = fit(rows, problems, len(names), size, get("steps"))
         apart = margins(rows, w[1:], by_fold=True).select("class", "margins").persist()
-        curves = [sigmoid(apart.select(F.get("margins", F.lit(c)).alias("m"), (F.col("class") == c).alias("hit")), "m", "hit") for c in range(len(names))]
+        each = apart.select(*[F.get("margins", F.lit(c)).alias(f"m{c}") for c in range(len(names))], *[(F.col("class") == c).alias(f"h{c}") for c in range(len(names))])
+        curves = sigmoids(each, [(f"m{c}", f"h{c}") for c in range(len(names))])
         rows.unpersist()
         apart.unpersist()
         return CalibratedLinearModel(names, w[0], curves)

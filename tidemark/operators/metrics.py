@@ -42,6 +42,16 @@ def summary(counts: DataFrame) -> DataFrame:
     )
 
 
+def by_name(counts: DataFrame, name: str) -> DataFrame:
+    """name, n, accuracy, macro_f1 of the confusion counts of many models at once."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    side = lambda c: F.struct(F.col(c).alias("class"), F.when(F.lit(c == "actual"), F.col("n")).otherwise(0).alias("act"), F.when(F.lit(c == "actual"), hit).otherwise(0).alias("hit"))
+    each = counts.select(name, "n", F.explode(F.array(side("actual"), side("predicted"))).alias("x"))
+    per = each.groupBy(name, "x.class").agg(F.sum("n").alias("both"), F.sum("x.act").alias("act"), F.sum("x.hit").alias("hit"))
+    f1 = F.coalesce(F.try_divide(2 * F.col("hit"), F.col("both")), F.lit(0.0))
+    return per.groupBy(name).agg(F.sum("act").alias("n"), (F.sum("hit") / F.sum("act")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+
+
 def pairs_confused(counts: DataFrame) -> DataFrame:
     """actual, predicted, n, share of the actual class, for what was confused."""
     share = F.col("n") / F.sum("n").over(W.partitionBy("actual"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, posts, rules, text
-from ..operators import features, metrics, ranks
+from ..operators import features, keys, linear, metrics, ranks
+from ..operators.calibrated import CalibratedLinear
 from .registry import Tables, query
 
 SCORED = "(SELECT doc_id, quality::INT AS y, (n_chars % 101) / 100 AS s, (n_chars > 700)::INT AS p FROM documents JOIN labels USING (doc_id))"
@@ -197,10 +198,80 @@ def model_candidates(t: Tables):
     return features.cross_validated(_modelled(t).select("label", "fold", "features"), "label", "fold", features.classifiers("label"))
 
 
+#: The four classes of a labelled document, by toxic and quality.
+CLASSES = ["clean low", "clean high", "toxic low", "toxic high"]
+#: Strengths of regularisation and ranges of character n-grams that are tried.
+REGS, RANGES = [0.1, 0.03, 0.01, 3e-3, 1e-3, 3e-4, 1e-4, 3e-5, 1e-5], [(2, 2), (2, 3), (2, 4), (2, 5), (3, 4), (3, 5)]
+
+
+def _classed(t: Tables):
+    """Labelled documents with their class, folds of texts, and the text without accents."""
+    d = t.documents.select("doc_id", "text").filter("text IS NOT NULL").join(t.labels, "doc_id").select("doc_id", "text", (2 * F.col("toxic") + F.col("quality")).cast("int").alias("class"))
+    return ranks.folds(d, "text", "class", 3).withColumn("plain", posts.strip_accents(F.lower("text")))
+
+
+def _sparse(rows, features_of):
+    """Sparse rows over the vocabulary of the features, and its size."""
+    shared = features_of.withColumnRenamed(features_of.columns[1], "feature").checkpoint()
+    known, size = linear.vocabulary(shared)
+    return linear.sparse(rows, "doc_id", shared, known), size
+
+
+def _characters(d, lo: int, hi: int):
+    words = F.filter(F.split("plain", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return features.tfidf(d, "doc_id", features.char_ngrams(words, lo, hi), least=3)
+
+
+def _macro(counts):
+    """name, n, accuracy, macro_f1 of confusion counts."""
+    per = metrics.by_name(counts.withColumnsRenamed({"class": "actual", "said": "predicted"}), "name")
+    return per.select("name", "n", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query()
+def linear_candidates(t: Tables):
+    """Losses over words, characters and their union with surface statistics, four classes, the
+    same folds of texts; all losses of a set of features in the same passes."""
+    d = _classed(t).checkpoint()
+    words = features.tfidf(d, "doc_id", features.word_ngrams(_words(), 1, 2), least=2)
+    chars = _characters(d, 2, 3)
+    stats = features.scaled(d, "doc_id", posts.surface(F.col("text")))
+    sets = {"words": words, "characters": chars, "union": features.union("doc_id", {"word": (words, 1.0), "char": (chars, 1.0), "stats": (stats, 0.5)})}
+    out = []
+    for name, block in sets.items():
+        rows, size = _sparse(d.select("doc_id", "class", "fold"), block)
+        tried = {f"{name}, {loss}": (loss, 1e-3) for loss in linear.LOSSES}
+        out.append(linear.cross_validated(rows, tried, len(CLASSES), size, 3, steps=8))
+    return _macro(keys.union_all(out))
+
+
 @query()
 def parameter_grid(t: Tables):
-    """One model at several regularisations."""
-    return features.cross_validated(_modelled(t).select("label", "fold", "features"), "label", "fold", features.grid("label", [0.001, 0.01, 0.1]))
+    """A sweep of the regularisation over words, all strengths in the same passes, and one of
+    the range of character n-grams."""
+    d = _classed(t).checkpoint()
+    rows, size = _sparse(d.select("doc_id", "class", "fold"), features.tfidf(d, "doc_id", _words(), least=2))
+    out = [linear.cross_validated(rows, {f"reg {r:g}": ("squared_hinge", r) for r in REGS}, len(CLASSES), size, 3, steps=8)]
+    for lo, hi in RANGES:
+        rows, size = _sparse(d.select("doc_id", "class", "fold"), _characters(d, lo, hi))
+        out.append(linear.cross_validated(rows, {f"characters {lo}-{hi}": ("squared_hinge", 1e-3)}, len(CLASSES), size, 3, steps=8))
+    return _macro(keys.union_all(out))
+
+
+@query()
+def predicted_labels(t: Tables):
+    """A calibrated model of the four classes, fitted on the labelled documents and applied to
+    all: label, confidence and whether the topic rule finds a topic. Weights of words are over
+    all documents, the vocabulary is that of the labelled ones."""
+    d = _classed(t).checkpoint()
+    every = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("plain", posts.strip_accents(F.lower("text")))
+    words = features.tfidf(every, "doc_id", _words(), least=2).withColumnRenamed("term", "feature").checkpoint()
+    known, _ = linear.vocabulary(words.join(d.select("doc_id"), "doc_id", "left_semi"))
+    label = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("class") + 1)
+    train = linear.sparse(d.select("doc_id", "text", label.alias("truth")), "doc_id", words, known)
+    model = CalibratedLinear(labelCol="truth", folds=2, reg=1e-3, steps=12).fit(train)
+    out = model.transform(linear.sparse(every.select("doc_id", lexicon.topic(F.col("text")).alias("rule")), "doc_id", words, known))
+    return out.select("doc_id", "label", "confidence", F.array_max("p").alias("p"), "rule")
 
 
 @query()
