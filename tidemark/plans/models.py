@@ -230,19 +230,18 @@ def _macro(counts):
 
 @query()
 def linear_candidates(t: Tables):
-    """Losses over words, characters and their union with surface statistics, four classes, the
-    same folds of texts; all losses of a set of features in the same passes."""
+    """Losses over words and their union with surface statistics, four classes, the same folds
+    of texts; all losses of a set of features in the same passes."""
     d = _classed(t).checkpoint()
-    words = features.tfidf(d, "doc_id", features.word_ngrams(_words(), 1, 2), least=2)
-    chars = _characters(d, 2, 3)
+    words = features.tfidf(d, "doc_id", _words(), least=2)
     stats = features.scaled(d, "doc_id", posts.surface(F.col("text")))
-    sets = {"words": words, "characters": chars, "union": features.union("doc_id", {"word": (words, 1.0), "char": (chars, 1.0), "stats": (stats, 0.5)})}
+    sets = {"words": words, "words and statistics": features.union("doc_id", {"word": (words, 1.0), "stats": (stats, 0.5)})}
     out = []
     for name, block in sets.items():
         rows, size = _sparse(d.select("doc_id", "class", "fold"), block)
         tried = {f"{name}, {loss}": (loss, 1e-3) for loss in linear.LOSSES}
         out.append(linear.cross_validated(rows, tried, len(CLASSES), size, 3, steps=8))
-    return _macro(keys.union_all(out))
+    return _macro(keys.union_all(*out))
 
 
 @query()
@@ -255,7 +254,7 @@ def parameter_grid(t: Tables):
     for lo, hi in RANGES:
         rows, size = _sparse(d.select("doc_id", "class", "fold"), _characters(d, lo, hi))
         out.append(linear.cross_validated(rows, {f"characters {lo}-{hi}": ("squared_hinge", 1e-3)}, len(CLASSES), size, 3, steps=8))
-    return _macro(keys.union_all(out))
+    return _macro(keys.union_all(*out))
 
 
 @query()
