@@ -258,14 +258,17 @@ def test_files_landed_digested_and_shrunk(spark, tmp_path):
 def test_census_goes_on_after_a_restart(spark, tmp_path):
     from tidemark.streaming.census import Census
 
-    df = spark.range(90).withColumns({"g": F.col("id") % 3, "v": F.col("id") * 1.0})
-    census = lambda: Census(spark, str(tmp_path), ["g"], ["id"], "v", k=5)
+    df = spark.range(90).withColumns({"g": F.col("id") % 3, "v": F.col("id") * 1.0, "at": F.timestamp_seconds("id")})
+    census = lambda: Census(spark, str(tmp_path / "c"), ["g"], ["id"], ["v"], "at", F.col("at"), k=5, late=None)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("id long, g long, v double, at timestamp").parquet(str(tmp_path / "in"))
     with pytest.raises(FileNotFoundError):
         census().read()
     for k in range(3):
-        census().update(df.filter(F.col("id") % 3 == k), k)  # a new object each time
-    census().update(df.filter(F.col("id") % 3 == 2), 2)  # and the last batch again
-    assert census().read()[0].agg(F.sum("n"), F.sum("total")).first()[:] == (90, sum(range(90)))
+        df.filter(F.col("id") % 3 == k).write.mode("append").parquet(str(tmp_path / "in"))
+        census().follow(stream).awaitTermination()  # a new object each time
+    census().follow(stream).awaitTermination()  # and again, with nothing new
+    assert census().read()[0].agg(F.sum("n"), F.sum("total_v")).first()[:] == (90, sum(range(90)))
 
 
 def test_statements_leave_no_views(spark):
