@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from . import ranks
+
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows of child without a parent; a null key is an orphan."""
@@ -54,6 +57,36 @@ def interval_join(left: DataFrame, right: DataFrame, at: str, lo: str, hi: str,
     return left.withColumn("__b", F.floor(F.col(at) / width)).join(spread, [*on, "__b"]).filter((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("__b")
 
 
+def first_within(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, lo: str, hi: str, span: str, item: str, k: int) -> DataFrame:
+    """span, item: for each of spans (span, on, lo, hi) the k least distinct items of those
+    points (on, at, item) whose `on` is equal and whose `at` is within [lo, hi], without a row
+    for each pair. Points are numbered by (on, at), so a span is a run of numbers, which two
+    runs of 2 ** j numbers cover; of every such run the k least are known from its halves. So
+    a span meets 2 k items, however many points it holds, and points cost a row for each j."""
+    shared_dir(points.sparkSession)
+    # Items by their place in order, which is all that the runs carry.
+    items = ranks.numbered(points.select(F.col(item).alias("__item")).distinct(), [F.col("__item")], "__i").checkpoint()
+    own = points.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*on, at]])).join(items, F.col(item) == F.col("__item"))
+    asked = spans.filter(F.col(lo) <= F.col(hi)).select(*on, lo, hi).distinct()
+    edge = lambda c, order: asked.select(*on, F.col(c).alias("__t"), F.lit(order).alias("__o"), F.lit(0).alias("__n"), F.lit(None).cast("long").alias("__i"), F.col(lo).alias("__lo"), F.col(hi).alias("__hi"))
+    rows = edge(lo, 0).unionByName(edge(hi, 2)).unionByName(own.select(*on, F.col(at).alias("__t"), F.lit(1).alias("__o"), F.lit(1).alias("__n"), "__i"), allowMissingColumns=True)
+    rows = ranks.running(rows, [*map(F.col, on), F.col("__t"), F.col("__o"), F.col("__i"), F.col("__lo"), F.col("__hi")], ["__n"]).checkpoint()
+    both = rows.filter("__o <> 1").groupBy(*on, "__lo", "__hi").agg(F.min("before___n").alias("__a"), F.max("before___n").alias("__b")).filter("__a < __b")
+    both = both.withColumn("__j", F.length(F.bin(F.col("__b") - F.col("__a"))) - 1).checkpoint()
+    last = both.agg(F.max("__j")).first()[0]
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__x")))), 1, k)  # of two rows
+    runs = level = rows.filter("__o = 1").select(F.col("before___n").alias("__p"), F.array("__i").alias("__x"), F.lit(0).alias("__j"))
+    for j in range(1, (last or 0) + 1):
+        later = level.select((F.col("__p") - (1 << (j - 1))).alias("__p"), "__x").filter("__p >= 0")
+        halves = level.select("__p", "__x").unionByName(later).groupBy("__p").agg(least.alias("__x"), F.count("*").alias("__n"))
+        level = halves.filter("__n = 2").select("__p", "__x", F.lit(j).alias("__j")).checkpoint()
+        runs = runs.unionByName(level)
+    ends = F.explode(F.array("__a", F.col("__b") - F.pow(F.lit(2), F.col("__j")).cast("long"))).alias("__p")
+    met = both.select(*on, "__lo", "__hi", "__j", ends).join(runs, ["__j", "__p"]).groupBy(*on, "__lo", "__hi").agg(least.alias("__x"))
+    known = met.select(*on, F.col("__lo").alias(lo), F.col("__hi").alias(hi), F.explode("__x").alias("__i")).join(items, "__i")
+    return spans.select(span, *on, lo, hi).join(known, [*on, lo, hi]).select(span, F.col("__item").alias(item))
+
+
 def contains_first(text: Column, names: dict[str, str], default: str = "") -> Column:
     """The value of the first name, longest names first, that the text contains."""
     ordered = sorted(names.items(), key=lambda x: -len(x[0]))

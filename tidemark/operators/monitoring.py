@@ -139,7 +139,8 @@ def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, li
     """Incidents (key, started, entity, sector, tier) within `days` of an event (event, ts,
     brand, domain) that bear on it: the entity has the brand as a word, the sector covers the
     domain, or it is a direct vendor of a domain in `chain`, which is context only. The first
-    `most` of an event, those that corroborate before the others."""
+    `most` of an event, those that corroborate before the others. Of each way to bear on an
+    event its first `most` are enough: one behind them is behind as many in the end."""
     width = days * 86_400 * 1_000_000
     right = events.select("event", "brand", "domain", (F.unix_micros("ts") - width).alias("__lo"), (F.unix_micros("ts") + width).alias("__hi"))
     rows = found.select(key, "entity", "sector", "tier", F.unix_micros("started").alias("__at"))
@@ -154,8 +155,8 @@ def incident_evidence(events: DataFrame, found: DataFrame, sectors: dict[str, li
     ways = {"__name": (rows.join(by_name, "entity"), "brand"), "__sector": (rows.join(F.broadcast(covered), "sector"), "domain"), "__chain": (rows.filter("tier = 'direct'").select("*", listed), "domain")}
     near = None
     for way, (left, on) in ways.items():
-        part = keys.interval_join(left.select(key, "entity", "__at", on), right.select("event", on, "__lo", "__hi"), "__at", "__lo", "__hi", 2 * width + 1, [on])
-        part = part.select("event", key, "entity", *[F.lit(w == way).alias(w) for w in ways])
+        part = keys.first_within(left.select(F.struct(key, "entity").alias("__x"), "__at", on), right.select("event", on, "__lo", "__hi"), [on], "__at", "__lo", "__hi", "event", "__x", most)
+        part = part.select("event", "__x.*", *[F.lit(w == way).alias(w) for w in ways])
         near = part if near is None else near.unionByName(part)
     near = near.groupBy("event", key, "entity").agg(*[F.bool_or(w).alias(w) for w in ways])
     matched = F.when(F.col("__name"), "entity").when(F.col("__sector"), "sector").otherwise("supply_chain_tier")
