@@ -141,3 +141,16 @@ def test_killed_and_resumed(spark, tmp_path):
     for _ in range(2):  # a third run finds nothing more
         windows.finished(run(False))
         assert ids(spark.read.parquet(str(tmp_path / "out"))) == sorted((f, i) for f, n in (("a", 95), ("b", 40), ("c", 3)) for i in range(n))
+
+
+def test_batches_of_a_long_feed_are_few(spark, tmp_path):
+    paged.land(feeds(spark), "f", "at", ["id"], str(tmp_path / "p"), size=2)
+    reader = paged.PagedReader({"path": str(tmp_path / "p"), "time": "at", "batch": "1"})
+    start, tokens, n = reader.initialOffset(), [], 0
+    while any(not x["stop"] for x in start.values()):
+        end = reader.latestOffset()
+        parts = reader.partitions(start, end)
+        assert parts == paged.PagedReader({"path": str(tmp_path / "p"), "time": "at"}).partitions(start, end)  # as a restarted query reads it
+        tokens += [t for p in parts if p.feed == "a" for t in p.tokens]
+        start, n = end, n + 1
+    assert tokens == [str(i) for i in range(48)] and n == 7  # 1, 1, 2, 4, ... of 48 pages

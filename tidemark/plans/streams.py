@@ -91,7 +91,7 @@ def _enumerated(t: Tables):
     path = f"{shared_dir(t.spark)}/tidemark-pages-{uuid.uuid4().hex}"
     paged.land(t.events.select("event_id", "event_type", "ts", "user_id", "value"), "event_type", "ts", ["event_id"], path)
     body = F.from_json("body", "event_id long, ts timestamp, user_id long, value double")
-    return paged.stream(t.spark, path, edge=EDGE, time="ts", batch=16).select("feed", "token", body.alias("x")).select("feed", "token", "x.*")
+    return paged.stream(t.spark, path, edge=EDGE, time="ts", batch=16, most=1 << 62).select("feed", "token", body.alias("x")).select("feed", "token", "x.*")
 
 
 @query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('millisecond', ts) DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events),

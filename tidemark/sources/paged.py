@@ -3,9 +3,10 @@ page tokens for each feed, back to the edge of a window.
 
 spark.readStream.format("paged").option("path", ...).option("edge", ...).load() gives
 (feed, token, position, body). The offset is, for each feed, the token of its next page,
-the pages that lie behind it and why it has stopped, if it has. A batch takes at most
-`batch` pages of each feed, one partition a page; what the driver reads of a page is its
-head (the next token and its oldest time), the rows are read by executors. A batch that
+the pages that lie behind it and why it has stopped, if it has. A batch takes `batch` pages
+of each feed or as many as lie behind it, up to LARGEST, so that the batches of a long feed
+are few; a partition is a run of at most TOGETHER of them. What the driver reads of a page is
+its head (the next token and its oldest time), the rows are read by executors. A batch that
 was not committed is read again by its tokens, so that a sink which counts a batch once
 has each row once. Rows before the edge of the window are left out.
 """
@@ -23,8 +24,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..operators.ranks import numbered_within
 
-#: Rows of a page, pages of each feed in a batch, pages of a feed in all.
+#: Rows of a page, pages of each feed in the first batch, pages of a feed in all.
 PAGE, BATCH, MOST = 200, 8, 10_000
+#: Pages of each feed in a batch, and of a partition, at the most.
+LARGEST, TOGETHER = 2048, 64
 FIRST = "0"
 
 
@@ -82,7 +85,7 @@ class LandedPages:
 @dataclass
 class Page(InputPartition):
     feed: str
-    token: str
+    tokens: list[str]
 
 
 class PagedSource(DataSource):
@@ -111,6 +114,7 @@ class PagedReader(DataSourceStreamReader):
         self.edge, self.time = options.get("edge", ""), options.get("time", "created")
         self.batch, self.most = int(options.get("batch", BATCH)), int(options.get("most", MOST))
         self.at: dict | None = None
+        self.walked: dict[str, tuple[dict, list[str]]] = {}  # of each feed the last walk of latestOffset
 
     def initialOffset(self) -> dict:
         return {feed: {"next": FIRST, "pages": 0, "stop": ""} for feed in self.pages.feeds()}
@@ -131,20 +135,32 @@ class PagedReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         start = self.initialOffset() if self.at is None else self.at
-        self.at = {feed: self._walk(feed, at, self.batch)[1] for feed, at in start.items()}
-        return self.at
+        end = {}
+        for feed, at in start.items():
+            tokens, end[feed] = self._walk(feed, at, max(self.batch, min(at["pages"], LARGEST)))
+            self.walked[feed] = (at, tokens)
+        self.at = end
+        return end
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         """Also of a batch that is read again; a restarted query calls this first, with the
         last batch that was planned, and goes on from its end."""
         if self.at is None:
             self.at = end
-        return [Page(feed, token) for feed, at in start.items() for token in self._walk(feed, at, end[feed]["pages"] - at["pages"])[0]]
+        out = []
+        for feed, at in start.items():
+            n = end[feed]["pages"] - at["pages"]
+            begin, tokens = self.walked.get(feed, (None, []))
+            if begin != at or len(tokens) != n:
+                tokens = self._walk(feed, at, n)[0]
+            out += [Page(feed, tokens[i : i + TOGETHER]) for i in range(0, n, TOGETHER)]
+        return out
 
     def read(self, partition: Page):
-        for i, body in enumerate(self.pages.rows(partition.feed, partition.token)):
-            if not self.edge or str(json.loads(body).get(self.time) or "") >= self.edge:
-                yield partition.feed, partition.token, i, body
+        for token in partition.tokens:
+            for i, body in enumerate(self.pages.rows(partition.feed, token)):
+                if not self.edge or str(json.loads(body).get(self.time) or "") >= self.edge:
+                    yield partition.feed, token, i, body
 
     def commit(self, end: dict) -> None:
         pass
